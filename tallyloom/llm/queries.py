@@ -27,9 +27,74 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), _vocabulary())
 
 
+def op3_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tallyloom.llm.op3_fertility import judge_documents
+
+    return judge_documents(table(spark, sf_dir, "documents"), _vocabulary("byte_bpe_multi_50k.tiktoken"), _vocabulary("piece_bpe_32k.model"))
+
+
+def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tallyloom.llm.op4_exact_dedup import exact_groups
+
+    return exact_groups(table(spark, sf_dir, "documents"))
+
+
+def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tallyloom.llm.op5_mixing import mix
+
+    return mix(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
     "op2_packing": op2_packing,
+    "op3_fertility": op3_fertility,
+    "op4_exact_dedup": op4_exact_dedup,
+    "op5_mixing": op5_mixing,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op4_exact_dedup": r"""
+        WITH d AS (
+            SELECT doc_id, length(coalesce(text, '')) AS points,
+                   sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g')) AS text_sha256
+            FROM documents),
+        g AS (
+            SELECT doc_id, text_sha256, count(*) OVER (PARTITION BY text_sha256) AS group_size,
+                   first_value(doc_id) OVER (PARTITION BY text_sha256 ORDER BY points DESC, doc_id) AS keep_id
+            FROM d)
+        SELECT doc_id, keep_id, CAST(group_size AS BIGINT) AS group_size, doc_id = keep_id AS kept, text_sha256 FROM g
+    """,
+    "op5_mixing": r"""
+        WITH d AS (
+            SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size,
+                   md5('mix:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS digest
+            FROM documents),
+        s AS (
+            SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
+        w AS (
+            SELECT source, source_size, [3.0, 1.0, 2.0][1 + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3]::DOUBLE AS weight,
+                   row_number() OVER (ORDER BY source NULLS LAST) AS place, 2.0::DOUBLE * source_size AS cap
+            FROM s),
+        l AS (
+            SELECT *, cap / weight AS fill,
+                   (sum(source_size) OVER ()::DOUBLE * 1.5::DOUBLE - coalesce(sum(cap) OVER b, 0.0))
+                   / (sum(weight) OVER () - coalesce(sum(weight) OVER b, 0.0)) AS level
+            FROM w WINDOW b AS (ORDER BY cap / weight, place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+        f AS (
+            SELECT level FROM l WHERE fill > level ORDER BY fill, place LIMIT 1),
+        t AS (
+            SELECT source, source_size, coalesce(least(cap, (SELECT level FROM f) * weight), cap) AS target FROM l),
+        p AS (
+            SELECT *, CASE WHEN source_size > 0 THEN CAST(floor(target + 0.5) AS BIGINT) // source_size ELSE 0 END AS times,
+                   CAST(floor(target + 0.5) AS BIGINT) AS goal
+            FROM t),
+        o AS (
+            SELECT d.*, coalesce(sum(size) OVER (PARTITION BY source ORDER BY digest, doc_id
+                                                 ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
+            FROM d)
+        SELECT doc_id, size, source_size, target,
+               CAST(times * size + greatest(0, least(size, goal - times * source_size - before)) AS BIGINT) AS taken
+        FROM o JOIN p ON o.source IS NOT DISTINCT FROM p.source
+    """,
+}
