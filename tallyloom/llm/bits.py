@@ -10,16 +10,16 @@ from pyspark.sql import functions as F
 BITS = 1 << 25
 
 
-def bitmap_of(keys: DataFrame, key: Column) -> bytes:
-    """Bit (key mod BITS) is set for every key. One row of 4 KiB per bucket reaches the driver, BITS / 32768 at most."""
-    place = F.pmod(key, F.lit(BITS)) + 1  # Spark numbers bits from 1
+def bitmap_of(keys: DataFrame, key: Column, bits: int = BITS) -> bytes:
+    """Bit (key mod bits) is set for every key. One row of 4 KiB per bucket reaches the driver, bits / 32768 at most."""
+    place = F.pmod(key, F.lit(bits)) + 1  # Spark numbers bits from 1
     rows = (
         keys.select(place.alias("place"))
         .groupBy(F.bitmap_bucket_number("place").alias("bucket"))
         .agg(F.bitmap_construct_agg(F.bitmap_bit_position("place")).alias("bits"))
         .collect()
     )
-    out = bytearray(BITS // 8)
+    out = bytearray(bits // 8)
     for r in rows:
         at = (r.bucket - 1) * 4096
         out[at : at + len(r.bits)] = r.bits
@@ -28,5 +28,5 @@ def bitmap_of(keys: DataFrame, key: Column) -> bytes:
 
 def maybe_in(bitmap: np.ndarray, keys: np.ndarray) -> np.ndarray:
     """Whether each key may be among those of the map: never false for one that is."""
-    place = keys.astype(np.int64) & (BITS - 1)
+    place = keys.astype(np.int64) & (8 * len(bitmap) - 1)
     return (bitmap[place >> 3] >> (place & 7).astype(np.uint8)) & 1 == 1

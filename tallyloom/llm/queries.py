@@ -45,6 +45,12 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents"))
 
 
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tallyloom.llm.op7_substring_dedup import remove_repeats
+
+    return remove_repeats(table(spark, sf_dir, "documents")).drop("kept_text")
+
+
 def op8_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tallyloom.llm.op8_minhash import near_groups
 
@@ -57,6 +63,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_fertility": op3_fertility,
     "op4_exact_dedup": op4_exact_dedup,
     "op5_mixing": op5_mixing,
+    "op7_substring_dedup": op7_substring_dedup,
     "op8_minhash": op8_minhash,
 }
 
@@ -104,6 +111,21 @@ ORACLE_SQL: dict[str, str] = {
                CAST(times * size + greatest(0, least(size, goal - times * source_size - before)) AS BIGINT) AS taken
         FROM o JOIN p ON o.source IS NOT DISTINCT FROM p.source
     """,
+    "op7_substring_dedup": r"""
+        WITH w AS (
+            SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents),
+        v AS (
+            SELECT doc_id, unnest(range(1, len(words) - 18)) AS a, words FROM w WHERE len(words) >= 20),
+        o AS (
+            SELECT doc_id, a, row_number() OVER (PARTITION BY sha256(array_to_string(words[a:a + 19], ' ')) ORDER BY doc_id, a) AS nth FROM v),
+        c AS (
+            SELECT DISTINCT doc_id, a + k AS place FROM o, range(0, 20) t(k) WHERE nth > 1),
+        i AS (SELECT doc_id, list(place) AS gone FROM c GROUP BY doc_id)
+        SELECT w.doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(coalesce(len(gone), 0) AS BIGINT) AS n_removed,
+               sha256(coalesce(array_to_string(CASE WHEN gone IS NULL THEN words
+                      ELSE list_filter(words, lambda x, i: NOT list_contains(gone, i)) END, ' '), '')) AS kept_sha256
+        FROM w LEFT JOIN i USING (doc_id)
+    """,
     "op8_minhash": r"""
         WITH RECURSIVE w AS (
             SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
