@@ -95,3 +95,33 @@ def mix(
     out = lambda df, more: df.select("doc_id", "size", "source_size", "target", (F.col("times") * F.col("size") + more).cast("long").alias("taken"))
     far = joined.filter(~at_end)
     return out(far, F.when(F.col("bucket") < F.col("end"), F.col("size")).otherwise(0)).unionByName(out(joined.filter(at_end), part))
+
+
+def repeat_documents(
+    docs: DataFrame,
+    weights: tuple[int, ...] = (3, 1, 2),
+    share: float = 1.5,
+    epochs: int = 2,
+    seed: str = "mix",
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    source_col: str = "source",
+) -> DataFrame:
+    """The mix itself: every row of docs, all columns, as often as `mix` takes it.
+
+    A document that takes part of its words beyond whole repetitions (one per source at most) gives one more row with
+    that many first words, joined by one space; an n_chars column follows the text. Documents that take nothing go.
+    Rows that share an id are one document here: their takes are equal unless one of them is the one that is cut, and
+    then each of them takes the largest. Nulls, empty texts and empty tables as in `mix`; columns keep their names.
+    """
+    taken = mix(docs, weights, share, epochs, seed, id_col, text_col, source_col).groupBy(F.col("doc_id").alias("_id")).agg(F.max("taken").alias("_taken"), F.max("size").alias("_size"))
+    d = docs.join(taken.filter("_taken > 0"), docs[id_col].cast("long").eqNullSafe(F.col("_id")))
+    whole = F.floor(F.col("_taken") / F.col("_size")).cast("int")
+    rest = (F.col("_taken") % F.col("_size")).cast("int")
+    copies = d.withColumn("_copy", F.explode(F.sequence(F.lit(0), whole - F.when(rest > 0, 0).otherwise(1))))
+    cut_here = F.col("_copy") == F.when(rest > 0, whole).otherwise(-1)
+    part = F.array_join(F.slice(F.regexp_extract_all(F.col(text_col), F.lit(f"({WORD})"), F.lit(1)), 1, rest), " ")
+    out = copies.withColumn(text_col, F.when(cut_here, part).otherwise(F.col(text_col)))
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.when(cut_here, F.char_length(text_col).cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
+    return out.select(*docs.columns)

@@ -5,11 +5,12 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tallyloom.llm.columns import table
 
 
-def _vocabulary(name: str = "byte_bpe_50k.json") -> str:
+def vocabulary(name: str = "byte_bpe_50k.json") -> str:
     import public_tokenizers
 
     return public_tokenizers.path(name)
@@ -18,19 +19,19 @@ def _vocabulary(name: str = "byte_bpe_50k.json") -> str:
 def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tallyloom.llm.op1_token_counts import count_tokens
 
-    return count_tokens(table(spark, sf_dir, "documents"), _vocabulary())
+    return count_tokens(table(spark, sf_dir, "documents"), vocabulary())
 
 
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tallyloom.llm.op2_packing import pack
 
-    return pack(table(spark, sf_dir, "documents"), _vocabulary())
+    return pack(table(spark, sf_dir, "documents"), vocabulary())
 
 
 def op3_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tallyloom.llm.op3_fertility import judge_documents
 
-    return judge_documents(table(spark, sf_dir, "documents"), _vocabulary("byte_bpe_multi_50k.tiktoken"), _vocabulary("piece_bpe_32k.model"))
+    return judge_documents(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_multi_50k.tiktoken"), vocabulary("piece_bpe_32k.model"))
 
 
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -45,12 +46,49 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents"))
 
 
+def op6_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tallyloom.llm.op6_html import extract
+
+    return extract(table(spark, sf_dir, "pages"))
+
+
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tallyloom.llm.op7_substring_dedup import remove_repeats
 
     return remove_repeats(table(spark, sf_dir, "documents")).drop("kept_text")
 
 
+def op9_url_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """pages has no time of fetching and no list comes with it: both follow from rules, stated below and in the SQL."""
+    from tallyloom.llm.op9_url_lists import active_entries, host_of
+
+    pages = table(spark, sf_dir, "pages")
+    captures = pages.select("page_id", "url", F.expr("date_add(date'2024-01-01', cast(pmod(page_id, 366) as int))").alias("fetched_on"))
+    hosts = pages.select(host_of(F.col("url")).alias("host")).filter("host <> ''").distinct()
+    rows = [f"named_struct('m', {m}, 'kind', '{kind}', 'pattern', {what}, 'category', '{category}', 'action', '{action}', 'listed_on', date'{day}')" for m, kind, what, category, action, day in LISTED]
+    entries = hosts.selectExpr("host", f"inline(array({', '.join(rows)}))").filter("length(host) % 4 = m")
+    return active_entries(captures, entries).withColumn("fetched_on", F.col("fetched_on").cast("string"))
+
+
+#: (length of a host's name mod 4, kind, what of the host is the pattern, category, action, day): hosts that are listed,
+#: taken off and listed again, the domain above a host (listed and taken off), and a part of a host's paths.
+LISTED = (
+    (0, "host", "host", "spam", "add", "2024-02-01"),
+    (0, "host", "host", "spam", "remove", "2024-05-01"),
+    (0, "host", "host", "spam", "add", "2024-09-15"),
+    (1, "domain", "regexp_extract(host, '([^.]+[.][^.]+)$', 1)", "adult", "add", "2024-03-10"),
+    (1, "domain", "regexp_extract(host, '([^.]+[.][^.]+)$', 1)", "adult", "remove", "2024-04-10"),
+    (2, "prefix", "concat(host, '/en')", "malware", "add", "2024-06-01"),
+)
+
+
+def op10_arc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tallyloom.llm.op10_arc import archive_round_trip
+
+    found = archive_round_trip(table(spark, sf_dir, "pages"))
+    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op8_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tallyloom.llm.op8_minhash import near_groups
 
@@ -63,8 +101,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_fertility": op3_fertility,
     "op4_exact_dedup": op4_exact_dedup,
     "op5_mixing": op5_mixing,
+    "op6_html": op6_html,
     "op7_substring_dedup": op7_substring_dedup,
     "op8_minhash": op8_minhash,
+    "op9_url_lists": op9_url_lists,
+    "op10_arc": op10_arc,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -149,4 +190,36 @@ ORACLE_SQL: dict[str, str] = {
         SELECT d.doc_id, CAST(coalesce(n.n_shingles, 0) AS BIGINT) AS n_shingles, m.c AS component_id, d.doc_id = m.c AS kept
         FROM documents d LEFT JOIN n USING (doc_id) JOIN (SELECT a, min(c) AS c FROM r GROUP BY a) m ON m.a = d.doc_id
     """,
+    "op9_url_lists": r"""
+        WITH c AS (
+            SELECT page_id, url, lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)', 1)) AS host,
+                   regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)', 1) AS path,
+                   CAST(date '2024-01-01' + CAST(page_id % 366 AS INTEGER) AS DATE) AS fetched_on
+            FROM pages),
+        h AS (SELECT DISTINCT host, length(host) % 4 AS m FROM c WHERE host <> ''),
+        e AS (
+            SELECT 'host' AS kind, host AS pattern, 'spam' AS category, date '2024-02-01' AS valid_from, date '2024-05-01' AS valid_to FROM h WHERE m = 0
+            UNION ALL SELECT 'host', host, 'spam', date '2024-09-15', NULL FROM h WHERE m = 0
+            UNION SELECT 'domain', regexp_extract(host, '([^.]+[.][^.]+)$', 1), 'adult', date '2024-03-10', date '2024-04-10' FROM h WHERE m = 1
+            UNION ALL SELECT 'prefix', host || '/en', 'malware', date '2024-06-01', NULL FROM h WHERE m = 2),
+        l AS (
+            SELECT c.page_id, count(*) AS n, min(category) AS reason FROM c JOIN e
+              ON CASE kind WHEN 'host' THEN c.host = pattern
+                           WHEN 'domain' THEN c.host = pattern OR ends_with(c.host, '.' || pattern)
+                           ELSE c.host || c.path = pattern OR starts_with(c.host || c.path, pattern || '/') END
+             AND valid_from <= fetched_on AND (valid_to IS NULL OR fetched_on < valid_to)
+            GROUP BY c.page_id)
+        SELECT c.page_id, url, host, CAST(fetched_on AS VARCHAR) AS fetched_on, CAST(coalesce(n, 0) AS BIGINT) AS n_active, coalesce(n, 0) > 0 AS blocked, reason AS first_reason
+        FROM c LEFT JOIN l USING (page_id)
+    """,
+    "op10_arc": r"""
+        WITH p AS (
+            SELECT page_id, CAST(octet_length(encode(coalesce(html, ''))) AS BIGINT) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest
+            FROM pages),
+        f AS (SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS first_id FROM p)
+        SELECT page_id, payload_bytes, payload_digest,
+               CASE WHEN payload_bytes >= 100 AND page_id <> first_id THEN 'revisit' ELSE 'response' END AS record_type,
+               CASE WHEN payload_bytes >= 100 AND page_id <> first_id THEN first_id END AS refers_to
+        FROM f
+    """,
 }
