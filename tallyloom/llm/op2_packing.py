@@ -88,7 +88,7 @@ class Packer:
     block can't fill becomes sequences whose lengths are powers of two, which need no padding.
     """
 
-    def __init__(self, task: int, capacity: int = 1024, piece: int = 256, block: int = 192, slack: int = 1):
+    def __init__(self, task: int, capacity: int = 1024, piece: int = 256, block: int = 192, slack: int = 3):
         self.capacity, self.piece, self.block, self.slack = capacity, piece, block, slack
         self.next_id = task << 33
         self.held: list[tuple] = []
@@ -110,10 +110,8 @@ class Packer:
         for a in range(0, full, self.capacity):
             self._emit([(doc, a, view[4 * a : 4 * (a + self.capacity)], total)])
         rest = total - full
-        cuts = -(-rest // self.piece)
-        for k in range(cuts):
-            a, b = full + rest * k // cuts, full + rest * (k + 1) // cuts
-            self.held.append((doc, a, view[4 * a : 4 * b], total))
+        for a in range(full, total, self.piece):  # the last piece is shorter: short pieces even the sums out
+            self.held.append((doc, a, view[4 * a : 4 * min(a + self.piece, total)], total))
         self.tokens += rest
         if self.tokens >= self.block * self.capacity:
             self._seal(self.block)
