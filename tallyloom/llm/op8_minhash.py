@@ -15,8 +15,10 @@ from tallyloom.llm.graph import components
 from tallyloom.llm.shingles import mix, shingle_set, word_memory
 from tallyloom.shared import cut
 
-#: Minima of a signature; the first BANDS * ROWS of them make band keys, the low two bits of all are packed.
-MINIMA, BANDS, ROWS = 256, 36, 5
+#: Minima that make band keys.
+BANDS, ROWS = 36, 5
+#: Bins of the signature that estimates: one permutation, the smallest hash of each bin, of which two bits are packed.
+BINS = 1024
 #: Members of one bucket that are compared in one block; larger buckets are split.
 BLOCK = 2048
 #: Members of a split bucket that are put into all of its blocks, to tie the blocks together.
@@ -25,15 +27,15 @@ PIVOTS = 32
 ERRORS = 5.0
 
 _rng = np.random.Generator(np.random.PCG64(20240229))
-_XOR = _rng.integers(0, 1 << 32, (MINIMA, 1), dtype=np.uint32)
-_MUL = _rng.integers(0, 1 << 31, (MINIMA, 1), dtype=np.uint32) * np.uint32(2) + np.uint32(1)
+_XOR = _rng.integers(0, 1 << 32, (BANDS * ROWS, 1), dtype=np.uint32)
+_MUL = _rng.integers(0, 1 << 31, (BANDS * ROWS, 1), dtype=np.uint32) * np.uint32(2) + np.uint32(1)
 _NO_ID = -(1 << 63)
 
 
 def minima(shingles: np.ndarray) -> np.ndarray:
-    """The smallest of the shingles' hashes under each of MINIMA hash functions."""
+    """The smallest of the shingles' hashes under each of BANDS * ROWS hash functions."""
     x = (shingles >> np.uint64(32)).astype(np.uint32)
-    out = np.full(MINIMA, 0xFFFFFFFF, dtype=np.uint32)
+    out = np.full(BANDS * ROWS, 0xFFFFFFFF, dtype=np.uint32)
     for a in range(0, len(x), 512):
         v = (x[a : a + 512] ^ _XOR) * _MUL
         v ^= v >> np.uint32(16)
@@ -44,30 +46,41 @@ def minima(shingles: np.ndarray) -> np.ndarray:
 
 def band_keys(m: np.ndarray) -> np.ndarray:
     """One 64-bit key for each band."""
-    rows = m[: BANDS * ROWS].reshape(BANDS, ROWS).astype(np.uint64)
+    rows = m.reshape(BANDS, ROWS).astype(np.uint64)
     key = np.arange(1, BANDS + 1, dtype=np.uint64)
     for k in range(ROWS):
         key = mix(key * np.uint64(0x9E3779B97F4A7C15) + rows[:, k])
     return key.view(np.int64)
 
 
-def pack_bits(m: np.ndarray) -> bytes:
-    """The low two bits of the minima as two planes of MINIMA bits."""
-    return np.packbits(np.stack([m & 1, m >> 1 & 1]).astype(np.uint8), axis=1, bitorder="little").tobytes()
+def pack_bits(shingles: np.ndarray) -> bytes:
+    """Three planes of BINS bits: which bins have a shingle, and the low two bits of the smallest hash in each."""
+    x = mix(shingles ^ np.uint64(0x5851F42D4C957F2D))
+    least = np.full(BINS, 0xFFFFFFFFFFFFFFFF, dtype=np.uint64)
+    np.minimum.at(least, x % np.uint64(BINS), x // np.uint64(BINS))
+    full = least != 0xFFFFFFFFFFFFFFFF
+    planes = np.stack([full, full & (least & np.uint64(1) == 1), full & (least & np.uint64(2) == 2)])
+    return np.packbits(planes, axis=1, bitorder="little").tobytes()
 
 
 def estimates(one: np.ndarray, others: np.ndarray) -> np.ndarray:
-    """Similarity of one packed signature to others, corrected for equal low bits of different minima (one in four)."""
-    x = one ^ others
-    half = x.shape[-1] // 2
-    unequal = np.bitwise_count(x[..., :half] | x[..., half:]).sum(axis=-1)
-    return ((1 - unequal / MINIMA) - 0.25) / 0.75
+    """Similarity of one packed signature to others by bit counts.
+
+    Of the bins that both fill, those with equal bits are counted, less the quarter of the others that agree by chance;
+    the bins that either fills are the whole. Sets far smaller than BINS are compared almost as they are.
+    """
+    k = BINS // 64
+    a, b = (one[:k], one[k : 2 * k], one[2 * k :]), (others[..., :k], others[..., k : 2 * k], others[..., 2 * k :])
+    both = a[0] & b[0]
+    count = lambda x: np.bitwise_count(x).sum(axis=-1, dtype=np.int64)
+    equal, shared = count(both & ~(a[1] ^ b[1]) & ~(a[2] ^ b[2])), count(both)
+    return (equal - shared / 4) / 0.75 / np.maximum(count(a[0] | b[0]), 1)
 
 
 def cutoff(threshold: float) -> float:
     """Below this estimate a pair is dismissed."""
     m = threshold + (1 - threshold) / 4
-    return threshold - ERRORS * (m * (1 - m) / MINIMA) ** 0.5 / 0.75
+    return threshold - ERRORS * (m * (1 - m) / BINS) ** 0.5 / 0.75
 
 
 def forest(ids: np.ndarray, bits: np.ndarray, least: float) -> list[tuple[int, int]]:
@@ -153,7 +166,7 @@ def near_groups(docs: DataFrame, threshold_percent: int = 80, width: int = 5, id
                     continue
                 m = minima(s)
                 d = xxhash.xxh3_128_digest(s.tobytes())
-                out.append((len(s), int.from_bytes(d[:8], "little", signed=True), int.from_bytes(d[8:], "little", signed=True), band_keys(m), pack_bits(m)))
+                out.append((len(s), int.from_bytes(d[:8], "little", signed=True), int.from_bytes(d[8:], "little", signed=True), band_keys(m), pack_bits(s)))
             n, f1, f2, keys, bits = zip(*out, strict=True) if out else ((), (), (), (), ())
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(f1, pa.int64()), pa.array(f2, pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(bits, pa.binary())], names=["doc_id", "n", "f1", "f2", "keys", "bits"])
 
@@ -167,16 +180,17 @@ def near_groups(docs: DataFrame, threshold_percent: int = 80, width: int = 5, id
         for b in batches:
             keys = b.column("keys").values.to_numpy(zero_copy_only=False).reshape(b.num_rows, BANDS) if b.num_rows else np.zeros((0, BANDS), dtype=np.int64)
             row, band = np.nonzero(maybe_in(bitmap, keys))
-            yield pa.RecordBatch.from_arrays([pa.array(keys[row, band]), b.column("v").take(pa.array(row)), b.column("bits").take(pa.array(row))], names=["key", "v", "bits"])
+            yield pa.RecordBatch.from_arrays([pa.array(keys[row, band]), b.column("v").take(pa.array(row))], names=["key", "v"])
 
-    members = cut(vertices.select("v", "keys", "bits").mapInArrow(shared_keys, "key long, v long, bits binary").join(buckets, "key"), "members")
+    members = cut(vertices.select("v", "keys").mapInArrow(shared_keys, "key long, v long").join(buckets, "key"), "members")
+    signatures = vertices.select("v", "bits")
     blocks = F.ceil(F.col("m") / BLOCK).cast("int")
     own = F.pmod(F.xxhash64("v"), blocks).cast("int")
     everywhere = F.sequence(F.lit(0), blocks - 1)
 
     def spread(df: DataFrame, to_all) -> DataFrame:
-        """Rows of a block together; those of to_all in every block of their bucket."""
-        dealt = df.withColumn("block", F.explode(F.when((blocks > 1) & to_all, everywhere).otherwise(F.array(own))))
+        """Rows of a block together, with signatures; those of to_all in every block of their bucket."""
+        dealt = df.join(signatures, "v").withColumn("block", F.explode(F.when((blocks > 1) & to_all, everywhere).otherwise(F.array(own))))
         return dealt.repartition("key", "block").sortWithinPartitions("key", "block")
 
     def first_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
