@@ -418,3 +418,41 @@ def set3_roll_up(spark, sf_dir):
 def srt14_verbatim(spark, sf_dir):
     lines = B.lines_as_messages(spark, sf_dir).select("session_id", "locator", F.lit(1).cast("long").alias("line_no"), F.col("text").alias("line"))
     return summaries.verbatim(lines, QUESTION).select("session_id", "locator", "total")
+
+
+@query()
+def red14_redaction(spark, sf_dir):
+    """(pattern, times) over all documents: arbitration between rules has no SQL; tests hold it against its cases."""
+    from tallyloom.functions.redact import redaction_report
+
+    return redaction_report(B.table(spark, sf_dir, "documents"))
+
+
+_TALK_SQL = r"""WITH t AS (
+        SELECT CAST(conv_id AS VARCHAR) AS session_id, turn + 1 AS locator, role, text,
+               len(list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> '')) AS n FROM conversations)
+    SELECT session_id, locator, n >= 8 AS clusterable FROM t WHERE role = 'user'"""
+
+
+@query(_TALK_SQL)
+def win6_messages(spark, sf_dir):
+    c = B.table(spark, sf_dir, "conversations")
+    e = c.selectExpr(
+        "cast(conv_id as string) as session_id", "cast(turn as bigint) as record", "0 as pos", "cast(null as timestamp) as ts", "if(role = 'user', 'user', 'assistant') as kind", "text",
+        *(f"cast(null as string) as {n}" for n in ("tool_event", "tool_name", "call_id", "command", "skill", "success", "is_error")),
+    )
+    return repetition.read_messages(e).select("session_id", "locator", "clusterable")
+
+
+@query("""WITH d AS (SELECT DISTINCT user_id % 3 AS h, CAST(ts AS DATE) AS day, event_id FROM events)
+    SELECT CAST(day AS VARCHAR) AS day, CAST(h AS VARCHAR) AS source_agent, count(*) AS sessions FROM d GROUP BY ALL""")
+def str4_day_counts(spark, sf_dir):
+    """A stream over the events table, drained into memory: tumbling days."""
+    from tallyloom.streaming.sessions import day_counts
+
+    schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
+    stream = spark.readStream.schema(schema).option("pathGlobFilter", "events*").parquet(f"{sf_dir}/")
+    rows = stream.selectExpr("cast(user_id % 3 as string) as source_agent", "cast(ts as timestamp) as archived_at")
+    q = day_counts(rows).writeStream.format("memory").queryName("str4_day_counts").outputMode("complete").trigger(availableNow=True).start()
+    q.awaitTermination()
+    return spark.table("str4_day_counts").withColumn("day", F.col("day").cast("string"))
