@@ -456,3 +456,34 @@ def str4_day_counts(spark, sf_dir):
     q = day_counts(rows).writeStream.format("memory").queryName("str4_day_counts").outputMode("complete").trigger(availableNow=True).start()
     q.awaitTermination()
     return spark.table("str4_day_counts").withColumn("day", F.col("day").cast("string"))
+
+
+_FAILED_SQL = f"""WITH {B.METRICS_SQL},
+    fl AS (SELECT named.session_id, tool, tool_ordinal AS locator FROM named JOIN tl USING (session_id, record) WHERE NOT named.ok),
+    rd AS (SELECT *, row_number() OVER (PARTITION BY session_id, tool ORDER BY locator) AS turn FROM fl WHERE tool IS NOT NULL),
+    bf AS (SELECT *, (SELECT count(*) FROM rd x WHERE x.session_id = rd.session_id AND x.turn < rd.turn) AS earlier FROM rd),
+    ck AS (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY locator) AS nth FROM bf WHERE earlier < 4)"""
+
+
+@query(_FAILED_SQL + " SELECT session_id, tool, CAST(locator AS BIGINT) AS locator FROM ck WHERE nth <= 4")
+def win11_error_anchors(spark, sf_dir):
+    from tallyloom.operators import evidence
+
+    return evidence.picked(evidence.failures(B.events(spark, sf_dir)), 4)
+
+
+@query(f"""WITH {B.METRICS_SQL}, x AS (SELECT tl.session_id, command, tool_ordinal AS locator, row_number() OVER (PARTITION BY tl.session_id ORDER BY tool_ordinal) AS nth
+        FROM tl JOIN cc ON cc.session_id = tl.session_id AND cc.busiest_command = tl.command)
+    SELECT session_id, command, CAST(locator AS BIGINT) AS locator FROM x WHERE nth <= 10""")
+def agg04_busiest_anchors(spark, sf_dir):
+    from tallyloom.operators import evidence
+
+    return evidence.busiest_runs(B.events(spark, sf_dir))
+
+
+@query(_FAILED_SQL + ", an AS (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY locator) AS k FROM fl) SELECT an.session_id, CAST(an.locator AS BIGINT) AS locator FROM an JOIN ck USING (session_id, locator) WHERE k <= 4 AND ck.nth <= 4")
+def fil15_servable(spark, sf_dir):
+    from tallyloom.operators import evidence
+
+    failed = evidence.failures(B.events(spark, sf_dir))
+    return evidence.servable(evidence.any_failures(failed, 4), evidence.picked(failed, 4)).select("session_id", "locator")
