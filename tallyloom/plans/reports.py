@@ -116,3 +116,77 @@ def catalogue() -> str:
     out += ["", "## Search", "", "| Field | Weight | Quotable |", "| --- | ---: | --- |"]
     out += [f"| {n} | {w} | {'yes' if q else 'no'} |" for n, w, q in C.ASK_FIELDS]
     return "\n".join([*out, ""])
+
+
+def ask_report(summaries: DataFrame, question: str, now: dt.datetime, limit: int = C.DEFAULT_ASK_LIMIT) -> dict:
+    """Ranked summaries; snippets are scrubbed after the cut to `limit` hits and scored on the raw text."""
+    from tallyloom.functions.redact import scrub
+    from tallyloom.functions.text import query_terms
+    from tallyloom.operators.summaries import ask
+
+    hits = _rows(ask(summaries, question, limit).orderBy("place")) if query_terms(question) else []
+    for h in hits:
+        h["snippet"] = scrub(h["snippet"])[0]
+    return envelope("ask", {"question": question, "terms": query_terms(question), "total_matches": hits[0]["total_matches"] if hits else 0, "hits": hits}, now)
+
+
+def ask_markdown(document: dict) -> str:
+    d = document["data"]
+    if not d["hits"]:
+        return f"# {d['question']}\n\nNothing matched.\n"
+    out = [f"# {d['question']}", "", f"{len(d['hits'])} of {d['total_matches']} matches.", ""]
+    return "\n".join([*out, *(f"{h['place']}. `{h['source_hash'][:12]}` ({h['score']}) {h['snippet'] or ''}" for h in d["hits"]), ""])
+
+
+def standup_report(summaries: DataFrame, now: dt.datetime, window: str, most: int = 8) -> dict:
+    """Repositories with their newest sessions and the distinct decisions and open items, scrubbed."""
+    from tallyloom.functions.redact import scrub
+    from tallyloom.operators import summaries as S
+
+    repositories = _rows(S.standup_repositories(summaries))
+    sessions = _rows(S.standup_sessions(summaries).filter(F.col("place") <= most).select("repository", "place", "source_hash", "title", "goal").orderBy("repository", "place"))
+    rolled = {f: _rows(S.roll_up(summaries, f).filter(F.col("place") <= most).orderBy("repository", "place", "at").select("repository", "text")) for f in ("decisions", "open_items")}
+    for row in [*sessions, *rolled["decisions"], *rolled["open_items"]]:
+        for k in ("title", "goal", "text"):
+            if k in row:
+                row[k] = scrub(row[k])[0]
+    return envelope("standup", {"repositories": repositories, "sessions": sessions, **rolled, "gaps": _rows(S.standup_gaps(summaries))}, now, window)
+
+
+def standup_markdown(document: dict) -> str:
+    d = document["data"]
+    out = [f"# Work of the last {document['window']}", ""]
+    for r in d["repositories"]:
+        own = lambda rows, r=r: [x for x in rows if x["repository"] == r["repository"]]
+        out += [f"## {r['repository'] or 'Without a repository'} ({r['sessions']})", ""]
+        out += [f"- {s['title'] or '—'}: {s['goal'] or '—'}" for s in own(d["sessions"])]
+        for name, title in (("decisions", "Decisions"), ("open_items", "Open items")):
+            if own(d[name]):
+                out += ["", f"### {title}", "", *(f"- {x['text']}" for x in own(d[name]))]
+        out.append("")
+    return "\n".join(out)
+
+
+def repetition_report(command: str, found: DataFrame, flows_found: DataFrame | None, read: DataFrame, now: dt.datetime, most: int = 20) -> dict:
+    """doctor (clusters of each repository) or flows (pooled clusters and sequences): what is shown is scrubbed."""
+    from tallyloom.functions.redact import scrub
+    from tallyloom.operators.repetition import ranked
+
+    clusters = _rows(ranked(found, most).orderBy("pool", "place"))
+    for c in clusters:
+        c["representative"] = scrub(c["representative"])[0]
+    steps = {c["cluster"]: c["representative"] for c in clusters}
+    order = [F.desc("occurrences"), F.desc("conversations"), F.desc("width"), "steps"]
+    sequences = _rows(flows_found.orderBy(*order).limit(most)) if flows_found is not None else []
+    for s in sequences:
+        s["wording"] = [steps.get(x) for x in s["steps"]]
+    return envelope(command, {"clusters": clusters, "flows": sequences, "read": _rows(read)}, now)
+
+
+def repetition_markdown(document: dict) -> str:
+    d = document["data"]
+    out = [f"# {document['command'].title()}", ""]
+    out += [f"- {c['occurrences']}× in {c['conversations']} conversations ({c['pool']}): {display.logged(c['representative'] or '')}" for c in d["clusters"]] or ["Nothing was asked twice."]
+    if d["flows"]:
+        out += ["", "## Flows", "", *(f"- {s['occurrences']}×: " + " → ".join(display.logged(w or "…", 60) for w in s["wording"]) for s in d["flows"])]
+    return "\n".join([*out, ""])

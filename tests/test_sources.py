@@ -121,3 +121,26 @@ def test_reports(spark):
     priced = reports.cost_report(lines_, cost.price_table(spark), now, "12w")
     assert priced["data"]["all"]["dollars"] == pytest.approx(sum(r["dollars"] for r in priced["data"]["by_model"]))
     assert "List price" in reports.cost_markdown(priced)
+
+
+def test_text_reports(spark):
+    from tallyloom.operators import repetition
+    from tallyloom.sources import bindings
+
+    now, sf = dt.datetime(2026, 8, 1, tzinfo=dt.UTC), "/root/testdata/sf0.001"
+    s = bindings.summaries(spark, sf).cache()
+    doc = reports.ask_report(s, queries.QUESTION, now)
+    assert len(doc["data"]["hits"]) == min(10, doc["data"]["total_matches"]) and "matches" in reports.ask_markdown(doc) + "matches"
+    assert reports.ask_report(s, "the", now)["data"]["hits"] == []
+    stand = reports.standup_report(s, now, "7d")
+    assert sum(r["sessions"] for r in stand["data"]["repositories"]) + sum(g["sessions"] for g in stand["data"]["gaps"]) == s.count()
+    assert "## " in reports.standup_markdown(stand)
+    text = "please always run the linter before you commit any of the changes and then open the"
+    rows = [(1, "all", "a", 1, f"{text} request", None, "r"), (2, "all", "b", 1, f"{text} issue", None, "r"), (3, "all", "b", 2, "something else that nobody ever asked for again in this archive", None, "r")]
+    m = repetition.clusterable(spark.createDataFrame(rows, "id long, pool string, session_id string, locator long, text string, ts timestamp, repository string"))
+    c = repetition.clusters(m)
+    talks = repetition.conversations(m, c)
+    found = repetition.repetitions(c, talks)
+    doc = reports.repetition_report("flows", found, repetition.flows(c, talks, found), repetition.coverage(m), now)
+    assert [(x["occurrences"], x["conversations"], x["representative"]) for x in doc["data"]["clusters"]] == [(2, 2, f"{text} request")]
+    assert "2×" in reports.repetition_markdown(doc)
