@@ -20,6 +20,8 @@ from tallyloom.shared import cut
 MINIMISER = 4
 #: Super-k-mers of one bucket that are sorted at a time; what is first among them goes on to the next time.
 CHUNK = 20_000
+#: Documents whose super-k-mers are made, and of which equal ones are put together, at a time.
+GROUP = 1000
 #: Bits of the map of minimisers that occur twice or more (16 MiB).
 BITS = 1 << 27
 _NO_ID = -(1 << 63)
@@ -105,6 +107,13 @@ class Bucket:
         return self.marks
 
 
+def in_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The same rows, GROUP at a time."""
+    for b in batches:
+        for at in range(0, b.num_rows, GROUP):
+            yield b.slice(at, GROUP)
+
+
 def words_of(text: str | None) -> list[bytes]:
     return (text or "").encode().split()
 
@@ -125,8 +134,8 @@ def repeated_passages(docs: DataFrame, window: int = 20, id_col: str = "doc_id",
     A window is `window` consecutive words. One that also starts earlier (smaller id, or earlier in its document) is
     marked. Consecutive windows with one minimiser travel as one packed string to the minimiser's bucket. A first pass
     counts minimisers with partial aggregation; a bitmap of fixed size over those that occur twice or more keeps
-    the other super-k-mers out of the shuffle. Equal super-k-mers of one batch are one row (the later ones are marked
-    at once), so a passage that a third of all rows share reaches its bucket once a batch. A bucket is read as a sorted
+    the other super-k-mers out of the shuffle. Equal super-k-mers of GROUP documents are one row (the later ones are
+    marked at once), so a passage that a third of all rows share reaches its bucket once a group. A bucket is read as a sorted
     stream and sorted CHUNK super-k-mers at a time.
     """
     spark = docs.sparkSession
@@ -134,7 +143,7 @@ def repeated_passages(docs: DataFrame, window: int = 20, id_col: str = "doc_id",
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = worker_value("words", word_memory)
-        for b in batches:
+        for b in in_groups(batches):
             keys = [super_kmers(words_of(t), known, window)[2] for t in b.column(1).to_pylist()]
             key, n = np.unique(np.concatenate([np.zeros(0, dtype=np.int64), *keys]), return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(n.astype(np.int64))], names=["key", "n"])
@@ -144,7 +153,7 @@ def repeated_passages(docs: DataFrame, window: int = 20, id_col: str = "doc_id",
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, bitmap = worker_value("words", word_memory), np.frombuffer(wanted.value, dtype=np.uint8)
-        for b in batches:
+        for b in in_groups(batches):
             held: dict[bytes, tuple[int, int, int]] = {}
             out = []
             for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
@@ -229,7 +238,7 @@ def remove_repeats(docs: DataFrame, window: int = 20, id_col: str = "doc_id", te
         return b.filter(pa.array(found == inside, pa.bool_()))
 
     def untouched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in in_groups(batches):
             b = chosen(b, False)
             yield shown(b.column(0), b.column(1).to_pylist(), [None] * b.num_rows)
 
@@ -238,7 +247,7 @@ def remove_repeats(docs: DataFrame, window: int = 20, id_col: str = "doc_id", te
             yield chosen(b, True)
 
     def reduce(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in in_groups(batches):
             yield shown(b.column("doc_id"), b.column("text").to_pylist(), b.column("ranges").to_pylist())
 
     other = base.mapInArrow(touched, "doc_id long, text string").join(ranges, "doc_id", "left").select("doc_id", "text", "ranges").mapInArrow(reduce, schema)
