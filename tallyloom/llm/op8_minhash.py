@@ -17,8 +17,8 @@ from tallyloom.shared import cut
 
 #: Minima that make band keys.
 BANDS, ROWS = 36, 5
-#: Bins of the signature that estimates: one permutation, the smallest hash of each bin, of which two bits are packed.
-BINS = 1024
+#: Bins of the signature that estimates: one permutation, the smallest hash of each bin, of which BITS low bits are packed.
+BINS, BITS = 1024, 4
 #: Members of one bucket that are compared in one block; larger buckets are split.
 BLOCK = 2048
 #: Members of a split bucket that are put into all of its blocks, to tie the blocks together.
@@ -54,33 +54,49 @@ def band_keys(m: np.ndarray) -> np.ndarray:
 
 
 def pack_bits(shingles: np.ndarray) -> bytes:
-    """Three planes of BINS bits: which bins have a shingle, and the low two bits of the smallest hash in each."""
+    """1 + BITS planes of BINS bits: which bins have a shingle, and the low bits of the smallest hash in each."""
     x = mix(shingles ^ np.uint64(0x5851F42D4C957F2D))
     least = np.full(BINS, 0xFFFFFFFFFFFFFFFF, dtype=np.uint64)
     np.minimum.at(least, x % np.uint64(BINS), x // np.uint64(BINS))
     full = least != 0xFFFFFFFFFFFFFFFF
-    planes = np.stack([full, full & (least & np.uint64(1) == 1), full & (least & np.uint64(2) == 2)])
+    planes = np.stack([full, *(full & (least >> np.uint64(k) & np.uint64(1) == 1) for k in range(BITS))])
     return np.packbits(planes, axis=1, bitorder="little").tobytes()
 
 
+def _counts(one: np.ndarray, others: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Bins with equal bits, bins that both fill, bins that either fills."""
+    k = BINS // 64
+    both, unequal = one[:k] & others[..., :k], np.uint64(0)
+    for p in range(1, 1 + BITS):
+        unequal = unequal | (one[p * k : (p + 1) * k] ^ others[..., p * k : (p + 1) * k])
+    count = lambda x: np.bitwise_count(x).sum(axis=-1, dtype=np.int64)
+    return count(both & ~unequal), count(both), np.maximum(count(one[:k] | others[..., :k]), 1)
+
+
 def estimates(one: np.ndarray, others: np.ndarray) -> np.ndarray:
     """Similarity of one packed signature to others by bit counts.
 
-    Of the bins that both fill, those with equal bits are counted, less the quarter of the others that agree by chance;
-    the bins that either fills are the whole. Sets far smaller than BINS are compared almost as they are.
+    Of the bins that both fill, those with equal bits are counted, corrected for the share of the others that agree by
+    chance; the bins that either fills are the whole. Sets far smaller than BINS are compared almost as they are.
     """
-    k = BINS // 64
-    a, b = (one[:k], one[k : 2 * k], one[2 * k :]), (others[..., :k], others[..., k : 2 * k], others[..., 2 * k :])
-    both = a[0] & b[0]
-    count = lambda x: np.bitwise_count(x).sum(axis=-1, dtype=np.int64)
-    equal, shared = count(both & ~(a[1] ^ b[1]) & ~(a[2] ^ b[2])), count(both)
-    return (equal - shared / 4) / 0.75 / np.maximum(count(a[0] | b[0]), 1)
+    equal, both, either = _counts(one, others)
+    chance = 0.5**BITS
+    return (equal - both * chance) / (1 - chance) / either
 
 
-def cutoff(threshold: float) -> float:
-    """Below this estimate a pair is dismissed."""
-    m = threshold + (1 - threshold) / 4
-    return threshold - ERRORS * (m * (1 - m) / BINS) ** 0.5 / 0.75
+def possible(one: np.ndarray, others: np.ndarray, threshold: float) -> np.ndarray:
+    """Whether each pair may reach the threshold: its estimate isn't ERRORS standard errors below it.
+
+    The bins are a sample without replacement of the joint set, whose size follows from how many bins it fills; bins
+    that both fill with different minima agree by chance in BITS bits.
+    """
+    equal, both, either = _counts(one, others)
+    chance = 0.5**BITS
+    joint = -BINS * np.log1p(-np.minimum(either, BINS - 1) / BINS)
+    sampled = threshold * (1 - threshold) / either * np.maximum(1 - either / joint, 0)
+    different = np.maximum(both - threshold * either, 1)
+    error = np.sqrt(sampled + different * chance / (1 - chance) / either**2)
+    return (equal - both * chance) / (1 - chance) / either >= threshold - ERRORS * error
 
 
 def forest(ids: np.ndarray, bits: np.ndarray, least: float) -> list[tuple[int, int]]:
@@ -151,7 +167,7 @@ def near_groups(docs: DataFrame, threshold_percent: int = 80, width: int = 5, id
     spark = docs.sparkSession
     ident = F.coalesce(as_id(docs, id_col), F.lit(_NO_ID).cast("long"))
     base = docs.select(ident.alias("doc_id"), docs[text_col].alias("text"))
-    least = cutoff(threshold_percent / 100)
+    least = threshold_percent / 100
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
@@ -253,7 +269,7 @@ def near_groups(docs: DataFrame, threshold_percent: int = 80, width: int = 5, id
         for r in runs(batches, ("key", "block")):
             ids, part, bits = np.array(r["v"]), np.array(r["component"]), as_bits(r["bits"])
             for k in np.flatnonzero(part != r["main"][0]):
-                other = np.flatnonzero((estimates(bits[k], bits) >= least) & (part != part[k]))
+                other = np.flatnonzero(possible(bits[k], bits, least) & (part != part[k]))
                 found.update((min(ids[k], v), max(ids[k], v)) for v in ids[other])
             if len(found) > 100_000:
                 yield links(list(found))
