@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import html
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -14,10 +15,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyloom.llm.columns import as_id
+from tallyloom.shared import cut
 
-#: Distinct pages of a host, and share of them, in which a subtree has to recur to be part of the site's template. The
-#: share bounds the template of a host to (subtrees of a page) / LEAST_SHARE subtrees.
-LEAST_PAGES, LEAST_SHARE = 3, 0.1
+#: Distinct pages of a host in which a subtree has to recur to be part of the site's template, whatever the host's size.
+LEAST_PAGES = 3
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|"
@@ -178,26 +179,37 @@ class Page:
         if node.text and node.tag in _BLOCK and node.tag not in ("html", "body", "head") and not node.holds_main and not (node.inside and node.tag in _CONTENT):
             self.subtrees.append((digest - (1 << 63), node.blocks_from, len(self.blocks)))
 
-    def main_text(self, template: set[int]) -> str:
-        """Blocks of the articles (without any: of the page), less what is dropped by tag or name and the template."""
-        gone = np.zeros(len(self.blocks) + 1, dtype=bool)
-        if template:
-            for digest, a, z in self.subtrees:
-                if digest in template:
-                    gone[a:z] = True
+    def kept(self) -> tuple[list[str], list[tuple[int, int, int]]]:
+        """Blocks of the articles (without any: of the page), less what is dropped by tag or name, and the subtrees that cover any of them."""
         has_main = any(inside and not drop for _, inside, drop in self.blocks)
-        return "\n\n".join(t for k, (t, inside, drop) in enumerate(self.blocks) if not drop and not gone[k] and (inside or not has_main))
+        stays = [not drop and (inside or not has_main) for _, inside, drop in self.blocks]
+        at = list(accumulate(stays, initial=0))
+        return [t for (t, _, _), stay in zip(self.blocks, stays, strict=True) if stay], [(d, at[a], at[z]) for d, a, z in self.subtrees if at[a] < at[z]]
+
+    def main_text(self, template: set[int]) -> str:
+        """What is kept, less the template."""
+        return without(*self.kept(), template)
+
+
+def without(texts: list[str], subtrees: Iterable[tuple[int, int, int]], template: set[int]) -> str:
+    """The blocks outside the subtrees that are in the template."""
+    gone = np.zeros(len(texts), dtype=bool)
+    for digest, a, z in subtrees:
+        if digest in template:
+            gone[a:z] = True
+    return "\n\n".join(t for t, x in zip(texts, gone, strict=True) if not x)
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """One row per row of pages: (page_id, url, text, n_chars).
 
-    1. Every page gives the distinct hashes of its subtrees; for each host and hash the distinct pages (by a digest of
-       the page, so copies of one page count once) are counted with partial aggregation.
-    2. Hashes found in LEAST_PAGES pages and in LEAST_SHARE of the host's pages are its template, an array of bounded
-       length per host, which joins the pages by host (broadcast by AQE where small, else split where skewed).
-    3. The template's subtrees are deleted, and what tags, roles, classes and ids mark as menus, headers, footers,
-       sidebars, notices, adverts, forms, scripts, styles and comments; what is left is decoded and joined.
+    1. Every page gives the distinct hashes of its subtrees, rows of (host, page, subtree), where page is a digest of
+       its html, so copies of one page count once. Those found in LEAST_PAGES pages of a host or more, counted with
+       partial aggregation, are its template.
+    2. The rows meet the template by host and subtree (a join that AQE splits where skewed) and are gathered by page:
+       each page has its own subtrees that are template, never more than it has subtrees.
+    3. Pages meet these by host and page, as blocks of text without what tags, roles, classes and ids mark as menus,
+       headers, footers, sidebars, notices, adverts, forms, scripts, styles and comments; the template's are deleted.
 
     Nulls: a null html counts as empty; a null url stays null, and such pages count as one host without name; a null id
     stays null. Empty html: empty text. Very long html: one page at a time in memory, time in proportion. Ties and
@@ -206,30 +218,34 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     host = F.coalesce(F.lower(F.regexp_extract(pages[url_col], r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1)), F.lit(""))
     base = pages.select(as_id(pages, id_col, "page_id"), pages[url_col].cast("string").alias("url"), host.alias("host"), F.coalesce(pages[html_col], F.lit("")).alias("html"))
 
+    def digest_of(source: str) -> int:
+        return xxhash.xxh64_intdigest(source.encode("utf-8", "replace")) - (1 << 63)
+
     def subtrees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             hosts, sources, digests = [], [], []
             for name, source in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                own = xxhash.xxh64_intdigest(source.encode("utf-8", "replace")) - (1 << 63)
                 found = {d for d, _, _ in Page(source).subtrees}
                 hosts += [name] * len(found)
-                sources += [own] * len(found)
+                sources += [digest_of(source)] * len(found)
                 digests += found
             yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(sources, pa.int64()), pa.array(digests, pa.int64())], names=["host", "page", "subtree"])
 
-    seen = base.select("host", "html").mapInArrow(subtrees, "host string, page long, subtree long").distinct()
-    times = seen.groupBy("host", "subtree").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= LEAST_PAGES)
-    size = base.select("host", F.xxhash64("html").alias("page")).distinct().groupBy("host").agg(F.count(F.lit(1)).alias("pages"))
-    templates = times.join(size, "host").filter(F.col("n") >= LEAST_SHARE * F.col("pages")).groupBy("host").agg(F.sort_array(F.collect_set("subtree")).alias("template"))
+    def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sources = b.column("html").to_pylist()
+            texts, found = zip(*(Page(x).kept() for x in sources), strict=True) if sources else ((), ())
+            columns = [pa.array([[s[k] for s in x] for x in found], pa.list_(t)) for k, t in enumerate((pa.int64(), pa.int32(), pa.int32()))]
+            yield pa.RecordBatch.from_arrays([*(b.column(n) for n in ("page_id", "url", "host")), pa.array(map(digest_of, sources), pa.int64()), pa.array(texts, pa.list_(pa.string())), *columns], names=["page_id", "url", "host", "page", "texts", "subtrees", "first", "past"])
 
     def texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, template = None, set()
         for b in batches:
-            out = []
-            for source, found in zip(b.column("html").to_pylist(), b.column("template").to_pylist(), strict=True):
-                if found != held:
-                    held, template = found, set(found or ())
-                out.append(Page(source).main_text(template))
+            c = [b.column(n).to_pylist() for n in ("texts", "subtrees", "first", "past", "template")]
+            out = [without(t, zip(d, a, z, strict=True), set(found or ())) for t, d, a, z, found in zip(*c, strict=True)]
             yield pa.RecordBatch.from_arrays([b.column("page_id"), b.column("url"), pa.array(out, pa.string()), pa.array(map(len, out), pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
-    return base.join(templates, "host", "left").select("page_id", "url", "html", "template").mapInArrow(texts, "page_id long, url string, text string, n_chars long")
+    seen = cut(base.select("host", "html").mapInArrow(subtrees, "host string, page long, subtree long").distinct(), "subtrees")
+    template = seen.groupBy("host", "subtree").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= LEAST_PAGES).select("host", "subtree")
+    own = seen.join(template, ["host", "subtree"]).groupBy("host", "page").agg(F.collect_set("subtree").alias("template"))
+    parsed = base.mapInArrow(blocks, "page_id long, url string, host string, page long, texts array<string>, subtrees array<long>, first array<int>, past array<int>")
+    return parsed.join(own, ["host", "page"], "left").select("page_id", "url", "texts", "subtrees", "first", "past", "template").mapInArrow(texts, "page_id long, url string, text string, n_chars long")

@@ -244,6 +244,16 @@ def test_templates_are_what_recurs(spark):
     assert op6_html.extract(spark.createDataFrame([], "page_id long, url string, html string, text string")).count() == 0
 
 
+def test_a_template_is_alike_at_every_size_of_host(spark):
+    page = lambda k, n: f"<div>{'Seen thrice' if k < 3 else f'Seen {min(k, n - 2)} twice'}</div><p>Own {k} of {n}</p>"
+    rows = [(1000 * n + k, f"http://h{n}.example/{k}", page(k, n)) for n in (5, 60) for k in range(n)]
+    rows += [(70000, "http://h60.example/again", page(50, 60))] * 2  # copies count once
+    got = {r.page_id: r.text for r in op6_html.extract(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)).collect()}
+    assert len(got) == 66
+    assert all(got[1000 * n + k] == (f"Own {k} of {n}" if k < 3 else f"Seen {min(k, n - 2)} twice\n\nOwn {k} of {n}") for n in (5, 60) for k in range(n))
+    assert got[70000] == got[60050] == "Seen 50 twice\n\nOwn 50 of 60"
+
+
 def brute_passages(rows, k=20):
     docs = {}
     for r in rows:
