@@ -13,7 +13,7 @@ from typing import BinaryIO
 
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from tallyloom.llm.columns import as_id
@@ -28,6 +28,8 @@ NAMED = {
     1: "URL IP-address Archive-date Content-type Archive-length",
     2: "URL IP-address Archive-date Content-type Result-code Checksum Location Offset Filename Archive-length",
 }
+#: What an address and a date look like, by which a header line is told whose URL has no scheme.
+IP, DATE = re.compile(r"-|[0-9.]+|[0-9A-Fa-f:.]*:[0-9A-Fa-f:.]*"), re.compile(r"[0-9]{14}")
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
@@ -59,8 +61,9 @@ def read_arc(stream: BinaryIO) -> Iterator[ArcRecord]:
     """Records of an ARC file in order, one at a time in memory.
 
     The version comes from the first block; until then a line is read by its number of fields. A URL with spaces is
-    kept whole, since the other fields are counted from the right. Blank lines between records are skipped, as are
-    lines that aren't a header (what a wrong length leaves over).
+    kept whole, since the other fields are counted from the right. A URL without a scheme is taken if address and date
+    are well-formed. Blank lines between records are skipped, as are lines that aren't a header (what a wrong length
+    leaves over).
     """
     version, offset = None, 0
     while line := stream.readline():
@@ -70,7 +73,9 @@ def read_arc(stream: BinaryIO) -> Iterator[ArcRecord]:
             continue
         kind = version or (2 if len(text.split(" ")) >= len(FIELDS[2]) else 1)
         parts = text.rsplit(" ", len(FIELDS[kind]) - 1)
-        if len(parts) != len(FIELDS[kind]) or not parts[-1].isdigit() or ":" not in parts[0]:
+        if len(parts) != len(FIELDS[kind]) or not parts[-1].isdigit():
+            continue
+        if ":" not in parts[0] and not (IP.fullmatch(parts[1]) and DATE.fullmatch(parts[2])):
             continue
         fields = dict(zip(FIELDS[kind], parts, strict=True))
         length = int(fields["length"])
@@ -118,19 +123,19 @@ def to_warc(record: ArcRecord, archive: str) -> WarcRecord:
     """The equivalent WARC record.
 
     Its identifier is a name-based UUID of archive, offset, URL and date, so converting again gives the same. A version
-    block becomes warcinfo; HTTP captures become response, anything else resource. Digests are computed from what is
-    there, never taken over.
+    block becomes warcinfo; a block of HTTP becomes response whatever its URL, anything else resource. Digests are
+    computed from what is there, never taken over.
     """
     f, block = record.fields, record.block
     ident = uuid.uuid5(uuid.NAMESPACE_URL, f"{archive}#{record.offset}#{f['url']}#{f['date']}")
     out = {"WARC-Record-ID": f"<urn:uuid:{ident}>", "WARC-Date": iso_date(f["date"])}
-    if f["url"].startswith("filedesc:"):
+    http = block.startswith(b"HTTP/")
+    if f["url"].startswith("filedesc:") and not http:
         block = f"software: tallyloom\r\nformat: WARC File Format 1.1\r\nconversion-of: {f['url']}\r\n".encode()
         return WarcRecord({"WARC-Type": "warcinfo", **out, "WARC-Filename": f["url"].removeprefix("filedesc://"), "Content-Type": "application/warc-fields"}, block)
     out["WARC-Target-URI"] = f["url"]
     if f["ip"] not in ("-", "0.0.0.0"):
         out["WARC-IP-Address"] = f["ip"]
-    http = f["url"].lower().startswith(("http:", "https:")) and block.startswith(b"HTTP/")
     kind, mime, payload = ("response", "application/http; msgtype=response", split_http(block)[1]) if http else ("resource", f["mime"], block)
     out |= {"WARC-Block-Digest": f"sha256:{sha256(block)}", "WARC-Payload-Digest": f"sha256:{sha256(payload)}"}
     if f["mime"] not in ("-", "no-type"):
@@ -164,8 +169,8 @@ def opened(content: bytes) -> BinaryIO:
     return io.BufferedReader(gzip.GzipFile(fileobj=io.BytesIO(content))) if content[:2] == b"\x1f\x8b" else io.BytesIO(content)
 
 
-def write_arc(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", date: str = "20240101000000") -> None:
-    """Write pages as gzipped ARC files below path, one file a partition; versions 1 and 2 take turns.
+def write_arc(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", date: str = "20240101000000") -> int:
+    """Write pages as gzipped ARC files below path, one file a partition; versions 1 and 2 take turns. Returns the number of pages.
 
     Spark's text writer stores the records (all of it is UTF-8) and puts the line feed after each that ARC asks for.
     """
@@ -185,7 +190,9 @@ def write_arc(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str
                 out.append(header_line(version, url or "http://unknown.invalid/", "192.0.2.1", date, "text/html", len(block), **more) + block)
             yield pa.RecordBatch.from_arrays([pa.array([x.decode() for x in out], pa.string())], names=["value"])
 
-    base.mapInArrow(records, "value string").write.option("compression", "gzip").text(path)
+    written = Observation()
+    base.observe(written, F.count(F.lit(1)).alias("n")).mapInArrow(records, "value string").write.option("compression", "gzip").text(path)
+    return written.get.get("n", 0)
 
 
 def header_of(block: bytes, name: bytes) -> bytes | None:
@@ -194,11 +201,11 @@ def header_of(block: bytes, name: bytes) -> bytes | None:
     return m[1] if m else None
 
 
-def convert(spark, arc_path: str, warc_path: str, least_bytes: int = 100) -> None:
-    """Convert the ARC files below arc_path to gzipped WARC files below warc_path.
+def convert(spark, arc_path: str, warc_path: str, least_bytes: int = 100, pages: int = 0) -> None:
+    """Convert the ARC files below arc_path to gzipped WARC files below warc_path; fails if it finds fewer captures than pages.
 
-    Of records with equal payloads of least_bytes or more the one with the smallest page id keeps its payload, the
-    others become revisits. The first of each digest is found by partial aggregation; records meet it in a join by
+    Of responses with equal payloads of least_bytes or more the one with the smallest page id keeps its payload, the
+    others become revisits; resources stay whole. The first of each digest is found by partial aggregation; records meet it in a join by
     digest that AQE splits where one payload is very frequent.
     """
     files = spark.read.format("binaryFile").load(arc_path).select("path", "content")
@@ -212,7 +219,7 @@ def convert(spark, arc_path: str, warc_path: str, least_bytes: int = 100) -> Non
                     if w.fields["WARC-Type"] == "warcinfo":
                         continue
                     page = header_of(w.block, b"X-Page-Id")
-                    rows.append((int(page) if page else None, w.fields["WARC-Record-ID"], w.fields["WARC-Payload-Digest"], len(split_http(w.block)[1]), w.to_bytes()))
+                    rows.append((int(page) if page else None, w.fields["WARC-Record-ID"], w.fields["WARC-Payload-Digest"], len(split_http(w.block)[1]) if w.fields["WARC-Type"] == "response" else 0, w.to_bytes()))
                     held += len(w.block)
                     if held > 8 << 20:
                         yield batch(rows)
@@ -252,7 +259,10 @@ def convert(spark, arc_path: str, warc_path: str, least_bytes: int = 100) -> Non
     again = ~F.col("page_id").eqNullSafe(F.col("first_page")) & F.col("first_id").isNotNull()
     again = again & (F.col("size") >= least_bytes)
     joined = records.join(firsts, "digest", "left").select("record", F.when(again, F.col("first_id")).alias("revisits"))
-    joined.mapInArrow(written, "value string").write.option("compression", "gzip").text(warc_path)
+    found = Observation()
+    joined.observe(found, F.count(F.lit(1)).alias("n")).mapInArrow(written, "value string").write.option("compression", "gzip").text(warc_path)
+    if (n := found.get.get("n", 0)) < pages:
+        raise ValueError(f"{arc_path}: {n} captures were read of {pages} that were written")
 
 
 def read_back(spark, warc_path: str) -> DataFrame:
@@ -296,6 +306,9 @@ def archive_round_trip(pages: DataFrame, id_col: str = "page_id", url_col: str =
 
     Archives lie in the shared folder. Each file is one partition's records; it is read as a stream.
 
+    Any url is kept, also without a scheme or of another than HTTP; the run fails if fewer captures are read than pages
+    were written.
+
     Nulls: a null html is an empty payload; a null url becomes http://unknown.invalid/; a null id stays null and is
     never the first of equal payloads while there are others. Empty payloads and those below least_bytes are always
     responses. Very long payloads: one record at a time in memory. Ties: smallest page id. Repeated rows: rows of the
@@ -303,6 +316,6 @@ def archive_round_trip(pages: DataFrame, id_col: str = "page_id", url_col: str =
     """
     spark = pages.sparkSession
     arc, warc = table_path(spark, "arc"), table_path(spark, "warc")
-    write_arc(pages, arc, id_col, url_col, html_col)
-    convert(spark, arc, warc, least_bytes)
+    n = write_arc(pages, arc, id_col, url_col, html_col)
+    convert(spark, arc, warc, least_bytes, n)
     return read_back(spark, warc)

@@ -389,3 +389,20 @@ def test_archive_round_trip(spark):
         want[(page, len(data), hashlib.sha256(data).hexdigest(), "revisit" if again else "response", first if again else None)] += 1
     assert got == want
     assert op10_arc.archive_round_trip(spark.createDataFrame([], "page_id long, url string, html string, refers_to string")).count() == 0
+
+
+def test_archive_keeps_pages_of_any_url(spark, tmp_path):
+    text = "a\r\n\r\nb" * 40
+    urls = ["example.com/a", "//host/a", "ftp://host/a", "filedesc://page", "mailto:a@b", "-", "", "path with blanks", "x 1.2.3.4 20240101000000 text/html 5"]
+    rows = [(k, url, html) for k, (url, html) in enumerate([(u, h) for u in urls for h in (text, f"{text}{u}")])]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(2)
+    got = {r.page_id: (r.payload_bytes, r.payload_digest, r.record_type, r.refers_to, r.target_uri) for r in op10_arc.archive_round_trip(pages).collect()}
+    first = {h: min(p for p, _, x in rows if x == h) for _, _, h in rows}
+    assert len(got) == len(rows)
+    for p, url, h in rows:
+        again = p != first[h]
+        assert got[p] == (len(h), hashlib.sha256(h.encode()).hexdigest(), "revisit" if again else "response", first[h] if again else None, url.replace(" ", "%20") or "http://unknown.invalid/")
+    arc = str(tmp_path / "arc")
+    assert op10_arc.write_arc(pages, arc) == len(rows)
+    with pytest.raises(ValueError, match=f"{len(rows)} captures were read of {len(rows) + 1}"):
+        op10_arc.convert(spark, arc, str(tmp_path / "warc"), pages=len(rows) + 1)
