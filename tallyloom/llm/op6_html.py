@@ -22,10 +22,12 @@ LEAST_PAGES = 3
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|"
-    r"<(script|style|noscript|template|svg|iframe|textarea|math|object)\b[^>]*>.*?(?:</\1\s*>|\Z)|"
     r"<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']+|\"[^\"]*\"|'[^']*')*+)>",
     re.S | re.I,
 )
+#: Elements left out with all that is in them, unless they close themselves; without an end tag the first four reach to the end of the page.
+_TO_END = frozenset("script style iframe textarea".split())
+_RAW = {name: re.compile(rf"</{name}(?=[\s/>])[^>]*>", re.I) for name in (*_TO_END, "noscript", "template", "svg", "math", "object")}
 _ATTRIBUTE = re.compile(r"""([a-zA-Z-]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
 _PART = re.compile(r"[^a-z0-9]+")
 
@@ -47,6 +49,10 @@ _NAMES = frozenset(
     "pagination pager share sharing social related recommended recommendations comment comments respond replies disqus footer "
     "masthead topbar widget widgets toolbar login signup search skip".split()
 )
+#: Names among these of what may hold articles that aren't the page's own.
+_LISTS = frozenset("related recommended recommendations comment comments respond replies disqus".split())
+#: Before a name: the class of a wrapper that tells what is or isn't beside the article.
+_BESIDE = frozenset("no not non with without has".split())
 #: What carries an article's own words: never taken for a template inside the article.
 _CONTENT = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre li dd dt td th tr table figcaption figure b i em strong a span ul ol dl article main".split())
 
@@ -60,24 +66,40 @@ class _Node:
     text: bool = False
     hash: object = field(default_factory=xxhash.xxh64)
     blocks_from: int = 0
+    name: int = 0
 
 
-def _dropped(tag: str, attributes: str, inside: bool) -> bool:
-    """Whether an element is none of the article, by its tag, role, class or id."""
+#: What a class or id says: nothing, perhaps none of the article, surely none, or a list of others' articles.
+_NONE, _PERHAPS, _SURELY, _LIST = range(4)
+
+
+def _named(value: str, inside: bool) -> int:
+    """What the names in a class or id say."""
+    found = _NONE
+    for token in value.split():
+        parts = [x for x in _PART.split(token) if x]
+        hits = [x for k, x in enumerate(parts) if (x in _NAMES or (x == "header" and not inside)) and not (k and parts[k - 1] in _BESIDE)]
+        if hits:
+            found = max(found, _LIST if not _LISTS.isdisjoint(hits) else _SURELY if len(hits) == len(parts) else _PERHAPS)
+    return found
+
+
+def _dropped(tag: str, attributes: str, inside: bool) -> tuple[bool, int]:
+    """Whether an element is none of the article by its tag, role or style, and what its class and id say."""
     if tag in _NOT_CONTENT or (tag == "header" and not inside):
-        return True
+        return True, _NONE
+    found = _NONE
     if not attributes.strip(" /"):
-        return False
+        return False, found
     for name, value in _ATTRIBUTE.findall(attributes):
         name, value = name.lower(), value.strip("\"'").lower()
         if name in ("class", "id") and tag not in ("html", "body", "article", "main"):
-            if not _NAMES.isdisjoint(_PART.split(value)) or (not inside and "header" in _PART.split(value)):
-                return True
+            found = max(found, _named(value, inside))
         elif name == "role" and value in _ROLES or name == "hidden" or name == "aria-hidden" and value == "true":
-            return True
+            return True, found
         elif name == "style" and "display:none" in value.replace(" ", ""):
-            return True
-    return False
+            return True, found
+    return False, found
 
 
 class Page:
@@ -91,24 +113,34 @@ class Page:
     def __init__(self, source: str):
         self.blocks: list[tuple[str, bool, bool]] = []
         self.subtrees: list[tuple[int, int, int]] = []
+        self.named: list[tuple[int, int, int, bool, bool]] = []
         self.parts: list[str] = []
         self.stack = [_Node("", False, False)]
-        at = 0
-        for m in _TOKEN.finditer(source):
+        at, unclosed = 0, set()
+        while m := _TOKEN.search(source, at):
             if m.start() > at:
                 self._text(source[at : m.start()])
             at = m.end()
-            if m[3]:
-                tag = m[3].lower()
-                if m[2]:
-                    self._close(tag)
+            if not m[2]:
+                continue
+            tag = m[2].lower()
+            if m[1]:
+                self._close(tag)
+            elif tag not in _RAW:
+                self._open(tag, m[3] or "")
+            elif not m[3].endswith("/"):
+                end = None if tag in unclosed else _RAW[tag].search(source, at)
+                if end:
+                    at = end.end()
                 else:
-                    self._open(tag, m[4] or "")
+                    unclosed.add(tag)
+                    at = len(source) if tag in _TO_END else at
         if at < len(source):
             self._text(source[at:])
         self._flush()
         while len(self.stack) > 1:
             self._pop()
+        self._drop_named()
 
     def _text(self, raw: str) -> None:
         text = html.unescape(raw) if "&" in raw else raw
@@ -149,8 +181,9 @@ class Page:
             if self.stack[k].tag in _SCOPE.get(tag, ("table",)):
                 break
         up = self.stack[-1]
-        drop = up.drop or _dropped(tag, attributes, up.inside)
-        self.stack.append(_Node(tag, drop, up.inside or (tag in ("article", "main") and not drop), blocks_from=len(self.blocks)))
+        drop, name = _dropped(tag, attributes, up.inside)
+        drop |= up.drop
+        self.stack.append(_Node(tag, drop, up.inside or (tag in ("article", "main") and not drop), blocks_from=len(self.blocks), name=_NONE if drop else name))
         self.stack[-1].hash.update(tag.encode("utf-8", "replace"))
         if attributes.endswith("/") and tag not in _BLOCK:
             self._pop()
@@ -176,28 +209,65 @@ class Page:
         up.hash.update(digest.to_bytes(8, "little"))
         up.text |= node.text
         up.holds_main |= node.holds_main or node.tag in ("article", "main", "body")
+        if node.name and len(self.blocks) > node.blocks_from:
+            self.named.append((node.blocks_from, len(self.blocks), node.name, up.inside, node.holds_main))
         if node.text and node.tag in _BLOCK and node.tag not in ("html", "body", "head") and not node.holds_main and not (node.inside and node.tag in _CONTENT):
             self.subtrees.append((digest - (1 << 63), node.blocks_from, len(self.blocks)))
 
-    def kept(self) -> tuple[list[str], list[tuple[int, int, int]]]:
-        """Blocks of the articles (without any: of the page), less what is dropped by tag or name, and the subtrees that cover any of them."""
-        has_main = any(inside and not drop for _, inside, drop in self.blocks)
-        stays = [not drop and (inside or not has_main) for _, inside, drop in self.blocks]
-        at = list(accumulate(stays, initial=0))
-        return [t for (t, _, _), stay in zip(self.blocks, stays, strict=True) if stay], [(d, at[a], at[z]) for d, a, z in self.subtrees if at[a] < at[z]]
+    def _drop_named(self) -> None:
+        """Drop what classes and ids mark, but not what holds the article.
+
+        An element that holds articles, or whose name isn't sure and that is part of one, stays with half or more of
+        the articles' text; where no article stays, one whose name isn't sure stays with half or more of the page's
+        text. The articles of comments and the like count only where they are more than all other text.
+        """
+        if not self.named:
+            return
+        size = np.array([0 if drop else len(t) for t, _, drop in self.blocks], dtype=np.int64)
+        inner = size * np.array([inside for _, inside, _ in self.blocks], dtype=bool)
+        listed = np.zeros(len(size), dtype=bool)
+        for a, z, name, _, _ in self.named:
+            listed[a:z] |= name == _LIST
+        others, own, gone = int(size[~listed].sum()), int(inner[~listed].sum()), np.zeros(len(size), dtype=bool)
+        loose = []
+        for a, z, name, inside, holds in self.named:
+            n = int(inner[a:z].sum())
+            if name == _LIST:
+                stays = holds and 2 * n >= inner.sum() and n > others
+            else:
+                stays = n > 0 and (holds or (inside and name == _PERHAPS)) and 2 * n >= own
+                if not stays and not inside and not holds and name == _PERHAPS and 2 * int(size[a:z].sum()) >= others:
+                    loose.append((a, z))
+                    continue
+            if not stays:
+                gone[a:z] = True
+        article = bool(inner[~gone].sum())
+        for a, z in loose:
+            if article:
+                gone[a:z] = True
+        self.blocks = [(t, inside, drop or bool(x)) for (t, inside, drop), x in zip(self.blocks, gone, strict=True)]
+
+    def kept(self) -> tuple[list[str], list[bool], list[tuple[int, int, int]]]:
+        """Blocks that aren't dropped by tag or name, whether they are in an article, and the subtrees that cover any of them."""
+        at = list(accumulate((not drop for _, _, drop in self.blocks), initial=0))
+        texts, insides = [t for t, _, drop in self.blocks if not drop], [inside for _, inside, drop in self.blocks if not drop]
+        return texts, insides, [(d, at[a], at[z]) for d, a, z in self.subtrees if at[a] < at[z]]
 
     def main_text(self, template: set[int]) -> str:
         """What is kept, less the template."""
-        return without(*self.kept(), template)
+        return main_of(*self.kept(), template)
 
 
-def without(texts: list[str], subtrees: Iterable[tuple[int, int, int]], template: set[int]) -> str:
-    """The blocks outside the subtrees that are in the template."""
+def main_of(texts: list[str], insides: list[bool], subtrees: Iterable[tuple[int, int, int]], template: set[int]) -> str:
+    """The blocks outside the subtrees that are in the template; only those of articles, if these are half or more of the text."""
     gone = np.zeros(len(texts), dtype=bool)
     for digest, a, z in subtrees:
         if digest in template:
             gone[a:z] = True
-    return "\n\n".join(t for t, x in zip(texts, gone, strict=True) if not x)
+    stays = [(t, inside) for t, inside, x in zip(texts, insides, gone, strict=True) if not x]
+    inner = sum(len(t) for t, inside in stays if inside)
+    whole = 2 * inner < sum(len(t) for t, _ in stays)
+    return "\n\n".join(t for t, inside in stays if inside or whole)
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
@@ -210,6 +280,7 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
        each page has its own subtrees that are template, never more than it has subtrees.
     3. Pages meet these by host and page, as blocks of text without what tags, roles, classes and ids mark as menus,
        headers, footers, sidebars, notices, adverts, forms, scripts, styles and comments; the template's are deleted.
+       Articles are the text where they are half or more of what is left, else all of that is.
 
     Nulls: a null html counts as empty; a null url stays null, and such pages count as one host without name; a null id
     stays null. Empty html: empty text. Very long html: one page at a time in memory, time in proportion. Ties and
@@ -234,18 +305,18 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             sources = b.column("html").to_pylist()
-            texts, found = zip(*(Page(x).kept() for x in sources), strict=True) if sources else ((), ())
+            texts, insides, found = zip(*(Page(x).kept() for x in sources), strict=True) if sources else ((), (), ())
             columns = [pa.array([[s[k] for s in x] for x in found], pa.list_(t)) for k, t in enumerate((pa.int64(), pa.int32(), pa.int32()))]
-            yield pa.RecordBatch.from_arrays([*(b.column(n) for n in ("page_id", "url", "host")), pa.array(map(digest_of, sources), pa.int64()), pa.array(texts, pa.list_(pa.string())), *columns], names=["page_id", "url", "host", "page", "texts", "subtrees", "first", "past"])
+            yield pa.RecordBatch.from_arrays([*(b.column(n) for n in ("page_id", "url", "host")), pa.array(map(digest_of, sources), pa.int64()), pa.array(texts, pa.list_(pa.string())), pa.array(insides, pa.list_(pa.bool_())), *columns], names=["page_id", "url", "host", "page", "texts", "insides", "subtrees", "first", "past"])
 
     def texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            c = [b.column(n).to_pylist() for n in ("texts", "subtrees", "first", "past", "template")]
-            out = [without(t, zip(d, a, z, strict=True), set(found or ())) for t, d, a, z, found in zip(*c, strict=True)]
+            c = [b.column(n).to_pylist() for n in ("texts", "insides", "subtrees", "first", "past", "template")]
+            out = [main_of(t, inside, zip(d, a, z, strict=True), set(found or ())) for t, inside, d, a, z, found in zip(*c, strict=True)]
             yield pa.RecordBatch.from_arrays([b.column("page_id"), b.column("url"), pa.array(out, pa.string()), pa.array(map(len, out), pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
     seen = cut(base.select("host", "html").mapInArrow(subtrees, "host string, page long, subtree long").distinct(), "subtrees")
     template = seen.groupBy("host", "subtree").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= LEAST_PAGES).select("host", "subtree")
     own = seen.join(template, ["host", "subtree"]).groupBy("host", "page").agg(F.collect_set("subtree").alias("template"))
-    parsed = base.mapInArrow(blocks, "page_id long, url string, host string, page long, texts array<string>, subtrees array<long>, first array<int>, past array<int>")
-    return parsed.join(own, ["host", "page"], "left").select("page_id", "url", "texts", "subtrees", "first", "past", "template").mapInArrow(texts, "page_id long, url string, text string, n_chars long")
+    parsed = base.mapInArrow(blocks, "page_id long, url string, host string, page long, texts array<string>, insides array<boolean>, subtrees array<long>, first array<int>, past array<int>")
+    return parsed.join(own, ["host", "page"], "left").select("page_id", "url", "texts", "insides", "subtrees", "first", "past", "template").mapInArrow(texts, "page_id long, url string, text string, n_chars long")

@@ -234,6 +234,22 @@ def test_html():
     assert op6_html.Page("<p>x<script>never closed").main_text(set()) == "x"
 
 
+def test_html_keeps_the_article():
+    text = lambda page: op6_html.Page(page).main_text(set())
+    long = "Long words of the article. " * 9
+    for raw in ("<svg class='i'/>", "<svg-icon>", "<svg>", "<script-x>", "<template/>", "<svg a='x>y'><g>no</g></svg>", "<script>no</script >", "<object>no</object>"):
+        assert text(f"<p>One</p>{raw}<p>Two</p>") == "One\n\nTwo", raw
+    assert text("<p>One</p><svg><g>no</g></svg><svg/><p>Two</p>") == "One\n\nTwo"
+    for name in ("no-sidebar", "with-sidebar", "layout-sidebar-right", "sidebar", "post comments-open"):
+        article = f"<article><p>{long}</p></article><div class=sidebar>no</div><section id=comments><article>no</article></section>"
+        assert text(f"<body><div class='{name}'>{article}</div><div class=footer>no</div>") == long.strip(), name
+    assert text(f"<div class='layout-sidebar-right'><p>{long}</p><div class=nav-menu>no</div></div><p>End</p>") == f"{long.strip()}\n\nEnd"
+    assert text(f"<article><div class='social-post'><p>{long}</p></div><p>End</p><div class=share-box>no</div></article>") == f"{long.strip()}\n\nEnd"
+    assert text(f"<article><p>Short</p></article><div class=sidebar>{long}</div><div id=comments><p>{long}</p></div>") == "Short"
+    assert text(f"<div><p>{long}</p></div><article>Card</article><article>Card 2</article>") == f"{long.strip()}\n\nCard\n\nCard 2"
+    assert text(f"<div>Our motto</div><main><p>{long}</p></main>") == long.strip()
+
+
 def test_templates_are_what_recurs(spark):
     body = lambda k: f"<body><div>Our site</div><article><p>Text {k}</p><p>Said by many</p><div><p>Get the app</p></div></article></body>"
     rows = [(k, f"http://h.example/{k}", body(k)) for k in range(6)] + [(9, "http://i.example/", body(9)), (10, None, None), (11, "http://h.example/0", body(0)), (None, "", "<div>Our site</div><p>alone")]
