@@ -7,7 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyloom.llm.bits import bitmap_of, maybe_in
@@ -91,7 +91,7 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     Nulls: a null text counts as empty; a null id is an id of its own, smaller than others. Empty text: all empty texts
     are equal. Very long text: chunks of 64 KiB, memory in proportion to one text. Ties: smallest id. Repeated rows:
-    counted each, and kept each if their id is the one that stays. Empty table: no rows. Other columns are ignored.
+    counted each, and marked kept each if their id is the one that stays (keep_first takes one of them). Empty table: no rows. Other columns are ignored.
     """
     base = docs.select(as_id(docs, id_col), docs[text_col].alias("text"))
     make = lambda: worker_value(("Polynomials", prime, bases), lambda: Polynomials(prime, bases))
@@ -172,7 +172,37 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     )
 
 
+def body_sha(text) -> Column:
+    """text_sha256 of exact_groups."""
+    return F.sha2(F.translate(F.coalesce(text, F.lit("")), BLANKS, ""), 256)
+
+
+def one_each(docs: DataFrame, kept: DataFrame, by: list[str], id_col: str, text_col: str) -> DataFrame:
+    """One row of docs for each id and text (less blanks) that meets a row of kept in the columns by, doc_id and perhaps text_sha256.
+
+    Only rows of ids that kept has more than once are shuffled with all their columns, by partial aggregation: the row
+    with the most code points stays, then the first by its JSON.
+    """
+    row = docs.withColumns({"_stays": docs[id_col].cast("long"), "_sha": body_sha(docs[text_col])})
+    times = cut(kept.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")), "kept-ids")
+    once = times.filter("n = 1").select("doc_id")
+    again = kept.join(times.filter("n > 1").select(F.col("doc_id").alias("_again")), F.col("doc_id").eqNullSafe(F.col("_again")), "left_semi").select(*by).distinct()
+
+    def met(stay: DataFrame, keys: list[str]) -> DataFrame:
+        on = F.col("_stays").eqNullSafe(F.col("doc_id_")) & (F.col("_sha") == F.col("text_sha256_") if "text_sha256" in keys else F.lit(True))
+        return row.join(stay.select(*(F.col(k).alias(f"{k}_") for k in keys)), on, "left_semi")
+
+    if times.filter("n > 1").isEmpty():
+        return met(once, by[:1]).select(*docs.columns)
+    best = F.struct(-F.length(F.coalesce(F.col(text_col), F.lit(""))), F.to_json(F.struct(*docs.columns)))
+    first = met(again, by).groupBy("_stays", "_sha").agg(F.min_by(F.struct(*docs.columns), best).alias("row")).select("row.*")
+    return met(once, by[:1]).select(*docs.columns).unionByName(first)
+
+
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs that stay, with all their columns."""
-    stay = exact_groups(docs, id_col, text_col).filter("kept").select(F.col("doc_id").alias("_stays")).distinct()
-    return docs.join(stay, docs[id_col].cast("long").eqNullSafe(F.col("_stays")), "left_semi")
+    """One row of docs for each group of equal texts, with all its columns: also of rows that repeat the id that stays."""
+    groups = cut(exact_groups(docs, id_col, text_col).select("doc_id", "kept", "text_sha256"), "exact-kept")
+    repeated = groups.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(F.col("doc_id").alias("_again"))
+    # an id that stays once, but is that of other rows too, also has to be met by its text
+    twice = groups.join(repeated, F.col("doc_id").eqNullSafe(F.col("_again")), "left_semi").filter("kept")
+    return one_each(docs, groups.filter("kept").select("doc_id", "text_sha256").unionByName(twice.select("doc_id", "text_sha256")), ["doc_id", "text_sha256"], id_col, text_col)

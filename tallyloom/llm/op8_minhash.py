@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from tallyloom.llm.bits import bitmap_of, maybe_in
 from tallyloom.llm.columns import as_id, worker_value
+from tallyloom.llm.op4_exact_dedup import one_each
 from tallyloom.operators.components import components
 from tallyloom.llm.shingles import mix, shingle_set, word_memory
 from tallyloom.shared import cut
@@ -286,6 +287,5 @@ def near_groups(docs: DataFrame, threshold_percent: int = 80, width: int = 5, id
 
 
 def keep_one(docs: DataFrame, threshold_percent: int = 80, width: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs whose id is the smallest of its component, with all their columns."""
-    stay = near_groups(docs, threshold_percent, width, id_col, text_col).filter("kept").select(F.col("doc_id").alias("_stays")).distinct()
-    return docs.join(stay, docs[id_col].cast("long").eqNullSafe(F.col("_stays")), "left_semi")
+    """The rows of docs whose id is the smallest of its component, with all their columns; of rows with equal id and text (less blanks) one."""
+    return one_each(docs, near_groups(docs, threshold_percent, width, id_col, text_col).filter("kept"), ["doc_id"], id_col, text_col)

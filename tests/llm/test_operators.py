@@ -308,6 +308,16 @@ def test_a_bucket_in_chunks_finds_the_same(monkeypatch):
     assert found[0] == found[1] == found[2] and found[0]
 
 
+def test_repeated_rows_stay_once(spark):
+    text = " ".join(f"w{k}" for k in range(60))
+    rows = [(1, text, "a"), (1, text, "a"), (1, text, "b"), (2, text, "a"), (3, "other words of three", "a"), (None, "no id", "a"), (None, "no id", "a"), (3, text, "a"), (4, "once", "a")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)
+    want = Counter([(1, text, "a"), (3, "other words of three", "a"), (None, "no id", "a"), (4, "once", "a")])
+    assert Counter(map(tuple, op4_exact_dedup.keep_first(docs).collect())) == want
+    assert Counter(map(tuple, op8_minhash.keep_one(docs.filter("doc_id is null or doc_id != 3 or text like 'o%'")).collect())) == want
+    assert Counter(map(tuple, op4_exact_dedup.keep_first(docs.filter("doc_id = 2 or doc_id = 4")).collect())) == Counter([(2, text, "a"), (4, "once", "a")])
+
+
 def brute_near(rows, width):
     sets = {}
     for r in rows:
