@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tallyloom import constants as C
 from tallyloom.functions.predicates import offset_minutes
 from tallyloom.operators.scoring import lane_scores
+from tallyloom.shared import cut
 
 
 def _sum(name: str):
@@ -32,18 +33,31 @@ def busiest_tools(tally: DataFrame, most: int = C.TOOLS_LISTED) -> DataFrame:
 
 def cadence(metrics: DataFrame) -> DataFrame:
     """One row: dated and undated sessions, active days, the busiest day (the latest of equals), lower medians, longest."""
+    metrics = cut(metrics.select("first_at", "active_ms", "span_ms"), "cadence")
     day = F.to_date("first_at")
     days = metrics.filter("first_at is not null").groupBy(day.alias("day")).agg(F.count(F.lit(1)).alias("n"))
     top = days.agg(F.count(F.lit(1)).alias("days"), F.max(F.struct("n", "day")).alias("top")).select("days", F.col("top.day").cast("string").alias("busiest_day"), F.col("top.n").alias("busiest_sessions"))
-    rest = metrics.agg(
-        F.count("first_at").alias("dated"),
-        F.sum(F.col("first_at").isNull().cast("long")).alias("undated"),
-        F.expr("percentile_disc(0.5) within group (order by active_ms)").cast("long").alias("median_active_ms"),
-        F.expr("percentile_disc(0.5) within group (order by span_ms)").cast("long").alias("median_span_ms"),
-        F.max("active_ms").alias("longest_active_ms"),
-        F.sum("active_ms").alias("total_active_ms"),
-    )
-    return rest.crossJoin(top)  # one row each
+    rest = metrics.agg(F.count("first_at").alias("dated"), F.sum(F.col("first_at").isNull().cast("long")).alias("undated"), F.max("active_ms").alias("longest_active_ms"), F.sum("active_ms").alias("total_active_ms"))
+    out = rest.crossJoin(top)  # one row each
+    for name in ("active_ms", "span_ms"):
+        out = out.crossJoin(lower_median(metrics, name).withColumnRenamed("median", f"median_{name}"))
+    return out.select("dated", "undated", "median_active_ms", "median_span_ms", "longest_active_ms", "total_active_ms", "days", "busiest_day", "busiest_sessions")
+
+
+def lower_median(df: DataFrame, name: str, step: int = 60_000) -> DataFrame:
+    """(median,): the value at place (n - 1) / 2 of the sorted ones, null without any.
+
+    Values are counted by steps (minutes), a small table that finds the step of the median; only that step's values are
+    counted one by one, so no task holds all of them.
+    """
+    values = df.filter(F.col(name).isNotNull()).select(F.col(name).cast("long").alias("value"), F.floor(F.col(name) / step).alias("step"))
+    running = Window.orderBy("step").rowsBetween(Window.unboundedPreceding, -1)
+    steps = values.groupBy("step").agg(F.count(F.lit(1)).alias("n"))
+    place = F.floor((F.sum("n").over(Window.partitionBy(F.lit(1))) - 1) / 2)
+    at = steps.withColumn("place", place).withColumn("before", F.coalesce(F.sum("n").over(running), F.lit(0))).filter("before <= place and place < before + n").select("step", (F.col("place") - F.col("before")).alias("left"))
+    inside = values.join(F.broadcast(at), "step").groupBy("left", "value").agg(F.count(F.lit(1)).alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.orderBy("value").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return inside.withColumn("before", before).filter("before <= left and left < before + n").agg(F.max("value").alias("median"))
 
 
 def timeline(metrics: DataFrame) -> DataFrame:

@@ -4,7 +4,8 @@ events: one row per event of a record, with
 session_id, source_agent, record, pos, ts, kind (user, assistant, tool or null), tool_event, tool_name, call_id, command,
 skill, success, is_error (strings or null), compaction_phase, compaction_succeeded, pre_tokens.
 Order within a session is (record, pos), never time: records may be out of order and negative gaps count as none.
-All windows share one hash partitioning by session_id, so the fold is one shuffle and one sort.
+All windows share one hash partitioning by session_id, and so do both aggregations of session_metrics: the fold is one
+shuffle of the events.
 """
 
 from __future__ import annotations
@@ -129,25 +130,84 @@ def session_metrics(events: DataFrame, sessions: DataFrame, idle_gap_ms: int = C
     """One row per session of `sessions` (session_id, source_agent, archived_at, repository, hostname, utc_offset).
 
     Counts that a harness can't express are null, never zero: commands where it records none, compactions and reviews
-    where it isn't observable, activity with fewer than two dated records.
+    where it isn't observable, activity with fewer than two dated records. One windowed pass marks each event with its
+    outcome, tool, ordinals, gap and sitting; each then counts for its session, tool, command and sitting at once.
     """
+    order = [F.col("record"), F.col("pos")]
+    session = Window.partitionBy("session_id").orderBy(*order)
+    dated = F.when(F.col("ts").isNotNull() & (F.row_number().over(Window.partitionBy("session_id", "record").orderBy(F.col("ts").isNull(), "pos")) == 1), F.min("ts").over(Window.partitionBy("session_id", "record")))
+    gap = F.greatest(F.unix_millis("at") - F.unix_millis("was"), F.lit(0))
+    e = (
+        with_outcomes(events)
+        .withColumn("at", dated)
+        .withColumn("was", F.last("at", ignorenulls=True).over(session.rowsBetween(Window.unboundedPreceding, -1)))
+        .withColumn("gap", F.when(F.col("at").isNotNull(), gap))
+        .withColumn("sitting", F.sum(F.when(F.col("gap") > idle_gap_ms, 1).otherwise(0)).over(session.rowsBetween(Window.unboundedPreceding, 0)))
+    )
     is_kind = lambda k: F.coalesce(F.col("kind") == k, F.lit(False))
-    counts = events.groupBy("session_id").agg(
-        _n(is_kind("user")).alias("user_requests"),
-        _n(is_kind("assistant")).alias("assistant_messages"),
-        _n(is_kind("tool")).alias("tool_activities"),
-        F.min("ts").alias("first_at"),
-        F.max("ts").alias("last_at"),
-        _n(F.coalesce(is_commit(F.col("command")), F.lit(False))).alias("commits"),
-        F.count("skill").alias("skills"),
-        _n(F.coalesce(is_review(F.col("skill")), F.lit(False))).alias("review_passes"),
+    phase, good = F.col("compaction_phase"), ~F.col("compaction_succeeded").eqNullSafe(False)
+    stated = F.when((phase == "complete") & good, F.col("pre_tokens"))
+    one = lambda of, label, when: F.when(when, F.struct(F.lit(of).alias("of"), label.cast("string").alias("label")))
+    of = F.array(
+        one("session", F.lit(None), F.lit(True)),
+        one("tool", F.col("tool"), F.col("ok").isNotNull()),
+        one("command", F.col("command"), F.col("command").isNotNull()),
+        one("sitting", F.col("sitting"), F.col("at").isNotNull()),
+    )
+    # a session's events are together: neither of the two aggregations moves them again
+    parts = (
+        e.withColumn("part", F.explode(F.filter(of, lambda x: x.isNotNull())))
+        .groupBy("session_id", "part.of", "part.label")
+        .agg(
+            F.count(F.lit(1)).alias("n"),
+            _n(is_kind("user")).alias("user"),
+            _n(is_kind("assistant")).alias("assistant"),
+            _n(is_kind("tool")).alias("tools"),
+            F.min("ts").alias("first_at"),
+            F.max("ts").alias("last_at"),
+            _n(F.coalesce(is_commit(F.col("command")), F.lit(False))).alias("commits"),
+            F.count("skill").alias("skills"),
+            _n(F.coalesce(is_review(F.col("skill")), F.lit(False))).alias("review_passes"),
+            _n(F.coalesce(~F.col("ok"), F.lit(False))).alias("errors"),
+            F.min("tool_ordinal").alias("first_locator"),
+            F.sum(F.when(F.col("gap") <= idle_gap_ms, F.col("gap")).otherwise(0)).cast("long").alias("active_ms"),
+            _n(phase == "start").alias("started"),
+            _n((phase == "complete") & good).alias("completed"),
+            _n((phase == "complete") & ~good).alias("failed"),
+            F.max(stated).alias("pre_tokens_max"),
+            F.sum(stated).alias("pre_tokens_sum"),
+            F.count(stated).alias("pre_tokens_stated"),
+        )
+    )
+    c = F.col
+    at = lambda of, x: F.when(c("of") == of, x)
+    sums = {n: F.sum(at("session", c(old))).alias(n) for n, old in {"user_requests": "user", "assistant_messages": "assistant", "tool_activities": "tools", "commits": "commits", "skills": "skills", "review_passes": "review_passes", "compactions_started": "started", "compactions_completed": "completed", "compactions_failed": "failed"}.items()}
+    worst = (c("n") >= C.MIN_TOOL_ATTEMPTS) & (c("errors") / c("n") > C.TOOL_ERROR_RATE) & c("label").isNotNull()
+    busiest = F.max(at("command", F.struct(c("n").alias("runs"), (-c("first_locator")).alias("sooner"), c("label").alias("command"))))
+    folded = parts.groupBy("session_id").agg(
+        *sums.values(),
+        F.min(at("session", c("first_at"))).alias("first_at"),
+        F.max(at("session", c("last_at"))).alias("last_at"),
+        F.max(at("session", c("pre_tokens_max"))).alias("pre_tokens_max"),
+        F.sum(at("session", c("pre_tokens_sum"))).alias("pre_tokens_sum"),
+        F.sum(at("session", c("pre_tokens_stated"))).alias("pre_tokens_stated"),
+        F.sum(at("tool", c("n"))).alias("attempts"),
+        F.sum(at("tool", c("errors"))).alias("errors"),
+        F.max(at("tool", worst.cast("int"))).alias("bad_tool"),
+        F.sum(at("command", c("n"))).alias("command_events"),
+        F.nullif(F.count(at("command", F.lit(1))), F.lit(0)).alias("distinct_commands"),
+        F.sum(at("command", c("n") - 1)).alias("repeats"),
+        F.sum(at("command", (c("n") > 1).cast("long"))).alias("repeated_commands"),
+        busiest["runs"].alias("busiest_runs"),
+        busiest["command"].alias("busiest_command"),
+        F.sum(at("sitting", c("n"))).alias("dated"),
+        F.sum(at("sitting", c("active_ms"))).alias("active_ms"),
+        F.count(at("sitting", F.lit(1))).alias("sittings"),
+        F.max(at("sitting", c("active_ms"))).alias("longest_sitting_ms"),
     )
-    tools = tool_tally(events)
-    worst = (F.col("attempts") >= C.MIN_TOOL_ATTEMPTS) & (F.col("errors") / F.col("attempts") > C.TOOL_ERROR_RATE) & F.col("tool").isNotNull()
-    outcomes = tools.groupBy("session_id").agg(F.sum("attempts").alias("attempts"), F.sum("errors").alias("errors"), F.max(worst.cast("int")).alias("bad_tool"))
-    out = sessions
-    for part in (counts, outcomes, command_churn(events), activity(events, idle_gap_ms), compactions(events)):
-        out = out.join(part, "session_id", "left")
+    measurable = F.coalesce(c("dated") >= 2, F.lit(False))
+    folded = folded.withColumns({n: F.when(measurable, c(n)) for n in ("active_ms", "sittings", "longest_sitting_ms")}).withColumn("pre_tokens_mean", F.expr("pre_tokens_sum div nullif(pre_tokens_stated, 0)")).drop("dated", "pre_tokens_sum")
+    out = sessions.join(folded, "session_id", "left")
     zero = lambda *names: {n: F.coalesce(F.col(n), F.lit(0).cast("long")) for n in names}
     out = out.withColumns(zero("user_requests", "assistant_messages", "tool_activities", "attempts", "errors", "commits", "skills", "review_passes"))
     out = out.withColumn("span_ms", F.unix_millis("last_at") - F.unix_millis("first_at"))

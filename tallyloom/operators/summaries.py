@@ -10,7 +10,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyloom import constants as C
+from tallyloom.functions.redact import scrubbed
 from tallyloom.functions.text import excerpt, query_terms, snippet
+from tallyloom.shared import cut
 
 LISTS = ("tags", "decisions", "open_items", "files_changed", "work_completed", "commands_and_validation")
 
@@ -20,11 +22,12 @@ def _entries(field: str) -> Column:
     return F.coalesce(F.col(field), F.array().cast("array<string>")) if field in LISTS else F.filter(F.array(field), lambda x: x.isNotNull())
 
 
-def ask(summaries: DataFrame, question: str, limit: int = C.DEFAULT_ASK_LIMIT) -> DataFrame:
+def ask(summaries: DataFrame, question: str, limit: int = C.DEFAULT_ASK_LIMIT, redact: bool = True) -> DataFrame:
     """(place, source_hash, score, snippet, total_matches), best first: score, newest, hash.
 
-    A term scores a field's weight once if any entry contains it. The snippet comes from the first quotable field that
-    matched, else from the first field that did. Everything is one projection over the summaries.
+    A term scores a field's weight once if any entry contains it, on the raw text. The snippet comes from the first
+    quotable field that matched, else from the first field that did; it is scrubbed whole before it is cut, since a
+    secret that is cut in two isn't found. Summaries are read once: what matched is written and ranked from there.
     """
     terms = query_terms(question)
     if not terms:
@@ -37,11 +40,13 @@ def ask(summaries: DataFrame, question: str, limit: int = C.DEFAULT_ASK_LIMIT) -
             score = score + F.when(F.exists(entries, _has([t])), weight).otherwise(0)
         match = F.filter(entries, _has(terms))
         quotes[quotable].append(F.get(match, F.lit(0)))
-    hits = summaries.filter(~F.coalesce("placeholder", F.lit(False))).select("source_hash", "archived_at", score.cast("long").alias("score"), snippet(F.coalesce(*quotes[True], *quotes[False])).alias("snippet")).filter("score > 0")
+    quote = F.coalesce(*quotes[True], *quotes[False])
+    hits = cut(summaries.filter(~F.coalesce("placeholder", F.lit(False))).select("source_hash", "archived_at", score.cast("long").alias("score"), quote.alias("quote")).filter("score > 0"), "hits")
     total = hits.agg(F.count(F.lit(1)).alias("total_matches"))
     top = hits.orderBy(F.desc("score"), F.desc_nulls_last("archived_at"), "source_hash").limit(limit)
     place = F.row_number().over(Window.orderBy(F.desc("score"), F.desc_nulls_last("archived_at"), "source_hash"))  # over `limit` rows
-    return top.crossJoin(total).select(place.alias("place"), "source_hash", "score", "snippet", "total_matches")
+    shown = snippet(scrubbed(F.col("quote"))["text"] if redact else F.col("quote"))
+    return top.crossJoin(total).select(place.alias("place"), "source_hash", "score", shown.alias("snippet"), "total_matches")
 
 
 def _has(terms: list[str]):
@@ -56,10 +61,10 @@ def _any(conditions: list[Column]) -> Column:
     return out
 
 
-def verbatim(lines: DataFrame, question: str, most: int = C.VERBATIM_LINES) -> DataFrame:
+def verbatim(lines: DataFrame, question: str, most: int = C.VERBATIM_LINES, redact: bool = True) -> DataFrame:
     """(session_id, locator, line_no, excerpt, total): per session the first lines that contain any term.
 
-    lines: (session_id, locator, line_no, line). An empty question gives no rows.
+    lines: (session_id, locator, line_no, line). An empty question gives no rows. A line is scrubbed before it is cut.
     """
     terms = query_terms(question)
     if not terms:
@@ -70,6 +75,7 @@ def verbatim(lines: DataFrame, question: str, most: int = C.VERBATIM_LINES) -> D
         hit.withColumn("nth", F.row_number().over(w.orderBy("locator", "line_no")))
         .withColumn("total", F.count(F.lit(1)).over(w))
         .filter(F.col("nth") <= most)
+        .withColumn("line", scrubbed(F.col("line"))["text"] if redact else F.col("line"))
         .select("session_id", "locator", "line_no", excerpt(F.col("line"), terms).alias("excerpt"), "total")
     )
 
@@ -95,3 +101,16 @@ def roll_up(summaries: DataFrame, field: str) -> DataFrame:
 def standup_gaps(summaries: DataFrame) -> DataFrame:
     """(reason, sessions): summaries that give no narrative."""
     return summaries.filter(F.coalesce("placeholder", F.lit(False))).groupBy(F.lit("placeholder").alias("reason")).agg(F.count(F.lit(1)).alias("sessions"))
+
+
+def escalate(hits: DataFrame, lines: DataFrame, question: str, most: int = C.VERBATIM_LINES, redact: bool = True) -> DataFrame:
+    """(place, session_id, locator, line_no, excerpt, total): the verbatim lines of the sessions behind ask's hits.
+
+    lines: (source_hash, session_id, locator, line_no, line). Only the sessions of hits (a bounded number) are searched;
+    a hit whose session has no matching line, or no lines, stays with nulls.
+    """
+    wanted = hits.select("place", "source_hash")
+    own = lines.join(wanted.select("source_hash"), "source_hash", "left_semi")
+    found = verbatim(own.drop("source_hash"), question, most, redact)
+    named = wanted.join(own.select("source_hash", "session_id").distinct(), "source_hash", "left")
+    return named.join(found, "session_id", "left").select("place", "session_id", "locator", "line_no", "excerpt", "total")

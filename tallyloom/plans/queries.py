@@ -300,7 +300,7 @@ def fil12_token_only(spark, sf_dir):
 _MESSAGES_SQL = r"""
     li AS (SELECT doc_id, source, unnest(string_split(text, chr(10))) AS text, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS n FROM documents),
     w AS (
-        SELECT doc_id * 1000000 + n AS id, source AS repository, lpad(CAST(doc_id AS VARCHAR), 12, '0') AS session_id, n + 1 AS locator, text,
+        SELECT doc_id * 2147483648 + n AS id, source AS repository, lpad(CAST(doc_id AS VARCHAR), 12, '0') AS session_id, n + 1 AS locator, text,
                list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS words FROM li),
     cm AS (SELECT *, {pool} AS pool FROM w WHERE len(words) >= 8),
     ph AS (SELECT DISTINCT id, pool, unnest(list_transform(range(1, len(words) - 2), lambda i: array_to_string(words[i:i + 3], ' '))) AS phrase FROM cm),

@@ -119,14 +119,11 @@ def catalogue() -> str:
 
 
 def ask_report(summaries: DataFrame, question: str, now: dt.datetime, limit: int = C.DEFAULT_ASK_LIMIT) -> dict:
-    """Ranked summaries; snippets are scrubbed after the cut to `limit` hits and scored on the raw text."""
-    from tallyloom.functions.redact import scrub
+    """Ranked summaries, scored on the raw text; snippets are scrubbed whole, then cut."""
     from tallyloom.functions.text import query_terms
     from tallyloom.operators.summaries import ask
 
     hits = _rows(ask(summaries, question, limit).orderBy("place")) if query_terms(question) else []
-    for h in hits:
-        h["snippet"] = scrub(h["snippet"])[0]
     return envelope("ask", {"question": question, "terms": query_terms(question), "total_matches": hits[0]["total_matches"] if hits else 0, "hits": hits}, now)
 
 
@@ -138,14 +135,14 @@ def ask_markdown(document: dict) -> str:
     return "\n".join([*out, *(f"{h['place']}. `{h['source_hash'][:12]}` ({h['score']}) {h['snippet'] or ''}" for h in d["hits"]), ""])
 
 
-def standup_report(summaries: DataFrame, now: dt.datetime, window: str, most: int = 8) -> dict:
-    """Repositories with their newest sessions and the distinct decisions and open items, scrubbed."""
+def standup_report(summaries: DataFrame, now: dt.datetime, window: str) -> dict:
+    """Repositories with all their sessions, newest first, and the distinct decisions and open items, scrubbed."""
     from tallyloom.functions.redact import scrub
     from tallyloom.operators import summaries as S
 
     repositories = _rows(S.standup_repositories(summaries))
-    sessions = _rows(S.standup_sessions(summaries).filter(F.col("place") <= most).select("repository", "place", "source_hash", "title", "goal").orderBy("repository", "place"))
-    rolled = {f: _rows(S.roll_up(summaries, f).filter(F.col("place") <= most).orderBy("repository", "place", "at").select("repository", "text")) for f in ("decisions", "open_items")}
+    sessions = _rows(S.standup_sessions(summaries).select("repository", "place", "source_hash", "title", "goal").orderBy("repository", "place"))
+    rolled = {f: _rows(S.roll_up(summaries, f).orderBy("repository", "place", "at").select("repository", "text")) for f in ("decisions", "open_items")}
     for row in [*sessions, *rolled["decisions"], *rolled["open_items"]]:
         for k in ("title", "goal", "text"):
             if k in row:

@@ -9,13 +9,15 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; where it is unset (tests, one machine), a temporary one is set."""
+    """The folder named by spark.checkpoint.dir; where it is unset on one machine (tests), a temporary one is set, on a cluster an error is raised."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         jsc = spark.sparkContext._jsc.sc()
         opt = jsc.getCheckpointDir()
         found = opt.get() if opt.isDefined() else None
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir is unset: intermediate tables need a folder that all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="tallyloom-shared-")
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
@@ -28,7 +30,18 @@ def table_path(spark: SparkSession, name: str) -> str:
 
 def cut(df: DataFrame, name: str = "cut") -> DataFrame:
     """Write df as Parquet in the shared folder and read it back: lineage ends here and any executor can reread it."""
+    return cut_at(df, name)[0]
+
+
+def cut_at(df: DataFrame, name: str = "cut") -> tuple[DataFrame, str]:
+    """cut, with the path for remove()."""
     spark = df.sparkSession
     path = table_path(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a table of cut_at() that nothing will read again."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)

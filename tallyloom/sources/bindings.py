@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 #: Gap and marathon for the events table, whose records are hours apart.
 IDLE_GAP_MS = 12 * 3_600_000
 MARATHON_MS = 24 * 3_600_000
+#: More than a text can have lines (an array has fewer than 2^31 entries): line n of document d is message d * LINES + n.
+LINES = 1 << 31
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -203,7 +205,7 @@ def lines_as_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """documents: a session is a document, a message one of its lines, a repository its source."""
     d = table(spark, sf_dir, "documents").select("doc_id", "source", F.posexplode(F.split("text", "\n")).alias("n", "text"))
     return d.select(
-        (F.col("doc_id") * 1_000_000 + F.col("n")).alias("id"), F.col("source").alias("repository"), F.lpad(F.col("doc_id").cast("string"), 12, "0").alias("session_id"),
+        (F.col("doc_id") * LINES + F.col("n")).alias("id"), F.col("source").alias("repository"), F.lpad(F.col("doc_id").cast("string"), 12, "0").alias("session_id"),
         (F.col("n") + 1).cast("long").alias("locator"), "text", F.lit(None).cast("timestamp").alias("ts"),
     )
 
@@ -216,6 +218,6 @@ def summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(F.col("doc_id").cast("string"), 256).alias("source_hash"),
         F.timestamp_seconds(F.lit(1_767_225_600) + F.pmod("doc_id", F.lit(90)) * 86_400).alias("archived_at"),
         F.get(lines, F.lit(0)).alias("title"), F.get(lines, F.lit(1)).alias("goal"), F.col("source").alias("repository"), F.array("lang", "source").alias("tags"),
-        F.slice(lines, 3, 1_000_000).alias("decisions"), *(empty.alias(n) for n in ("open_items", "files_changed", "work_completed", "commands_and_validation")),
+        F.slice(lines, 3, F.greatest(F.size(lines), F.lit(1))).alias("decisions"), *(empty.alias(n) for n in ("open_items", "files_changed", "work_completed", "commands_and_validation")),
         F.col("lang").alias("branch"), (F.pmod("doc_id", F.lit(29)) == 0).alias("placeholder"),
     )
