@@ -15,14 +15,30 @@ _kept: dict[Hashable, object] = {}
 
 
 def worker_value(key: Hashable, make: Callable[[], object]):
-    """A value that a Python worker makes once and keeps for its later tasks; at most four are kept."""
+    """A value that a Python worker makes once and keeps for its later tasks; only the last one is kept."""
     if key not in _kept:
-        if len(_kept) >= 4:
-            _kept.clear()
+        _kept.clear()
         _kept[key] = make()
     return _kept[key]
 
 
+def forget_values() -> None:
+    """Free what an earlier stage left in this worker."""
+    _kept.clear()
+
+
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """The names, each with as many underscores as make it none of df's columns (Spark doesn't tell a from A)."""
+    taken = {c.lower() for c in df.columns}
+
+    def free(name: str) -> str:
+        while name.lower() in taken:
+            name += "_"
+        return name
+
+    return [free(n) for n in names]
+
+
 def as_id(df: DataFrame, name: str, to: str = "doc_id") -> Column:
     """An identifier as long."""
     return df[name].cast("long").alias(to)

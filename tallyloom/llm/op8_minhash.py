@@ -2,18 +2,19 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyloom.llm.bits import bitmap_of, maybe_in
-from tallyloom.llm.columns import as_id, worker_value
+from tallyloom.llm.columns import as_id, forget_values
 from tallyloom.llm.op4_exact_dedup import one_each
+from tallyloom.llm.shingles import GROUP, Words, in_groups, lowered, mix
 from tallyloom.operators.components import components
-from tallyloom.llm.shingles import mix, shingle_set, word_memory
 from tallyloom.shared import cut
 
 #: Minima that make band keys.
@@ -24,6 +25,14 @@ BINS, BITS = 1024, 4
 BLOCK = 2048
 #: Members of a split bucket that are put into all of its blocks, to tie the blocks together.
 PIVOTS = 32
+#: Bands whose buckets make the first components; the others meet only what these leave apart.
+FIRST = 8
+#: Links by which one member of a block takes in others while they can still be taken in elsewhere.
+CHILDREN = 16
+#: Members of a bucket up to which candidates are paired by a join; in larger ones they are confirmed where they meet.
+FEW = 64
+#: A cell: at most about so many members outside a bucket's main component, members that they meet, and shingles of either.
+OUTSIDERS, MEMBERS, CELL = 512, 1024, 1 << 20
 #: Standard errors of the estimate by which it may lie below the threshold before a pair is dismissed unconfirmed.
 ERRORS = 5.0
 
@@ -46,11 +55,11 @@ def minima(shingles: np.ndarray) -> np.ndarray:
 
 
 def band_keys(m: np.ndarray) -> np.ndarray:
-    """One 64-bit key for each band."""
-    rows = m.reshape(BANDS, ROWS).astype(np.uint64)
-    key = np.arange(1, BANDS + 1, dtype=np.uint64)
+    """One 64-bit key for each band, for each row of minima."""
+    rows = m.reshape(len(m), BANDS, ROWS).astype(np.uint64)
+    key = np.tile(np.arange(1, BANDS + 1, dtype=np.uint64), (len(m), 1))
     for k in range(ROWS):
-        key = mix(key * np.uint64(0x9E3779B97F4A7C15) + rows[:, k])
+        key = mix(key * np.uint64(0x9E3779B97F4A7C15) + rows[..., k])
     return key.view(np.int64)
 
 
@@ -101,36 +110,45 @@ def possible(one: np.ndarray, others: np.ndarray, threshold: float) -> np.ndarra
 
 
 def forest(ids: np.ndarray, bits: np.ndarray, least: float) -> list[tuple[int, int]]:
-    """Links of a spanning forest of the pairs whose estimate is `least` or more, from well-linked members outwards."""
+    """Links of a spanning forest of the pairs whose estimate is `least` or more, from well-linked members outwards.
+
+    A member takes up to CHILDREN neighbours at first, so no member is in many links while others can take its place;
+    those that only it is near to follow when the others are placed.
+    """
     n = len(ids)
     if n == 2:
         return [(ids[0], ids[1])] if estimates(bits[0], bits[1:])[0] >= least else []
     near = np.stack([estimates(bits[k], bits) >= least for k in range(n)])
     found, fresh = [], np.ones(n, dtype=bool)
-    for hub in np.argsort(-near.sum(axis=1), kind="stable"):
-        queue = [hub] if fresh[hub] else []
-        fresh[queue] = False
-        for u in queue:
-            new = np.flatnonzero(near[u] & fresh)
-            fresh[new] = False
-            queue.extend(new)
-            found += [(ids[u], ids[v]) for v in new]
+    for root in np.argsort(-near.sum(axis=1), kind="stable"):
+        if not fresh[root]:
+            continue
+        queue = [root]
+        fresh[root] = False
+        for most in (CHILDREN, n):
+            for u in queue:  # grows while it is read
+                new = np.flatnonzero(near[u] & fresh)[:most]
+                fresh[new] = False
+                queue.extend(new)
+                found += [(ids[u], ids[v]) for v in new]
     return found
 
 
 def runs(batches: Iterator[pa.RecordBatch], keys: tuple[str, ...]) -> Iterator[dict[str, list]]:
     """The columns of each run of equal keys in a sorted stream."""
     held, rows = None, None
-    for b in batches:
-        c = {n: b.column(n).to_pylist() for n in b.schema.names}
-        for k in range(b.num_rows):
-            at = tuple(c[n][k] for n in keys)
-            if at != held:
-                if rows:
-                    yield rows
-                held, rows = at, {n: [] for n in c}
-            for n in c:
-                rows[n].append(c[n][k])
+    for whole in batches:
+        for start in range(0, whole.num_rows, GROUP):
+            b = whole.slice(start, GROUP)
+            c = {n: b.column(n).to_pylist() for n in b.schema.names}
+            for k in range(b.num_rows):
+                at = tuple(c[n][k] for n in keys)
+                if at != held:
+                    if rows:
+                        yield rows
+                    held, rows = at, {n: [] for n in c}
+                for n in c:
+                    rows[n].append(c[n][k])
     if rows:
         yield rows
 
@@ -139,13 +157,22 @@ def as_bits(packed: list[bytes]) -> np.ndarray:
     return np.frombuffer(b"".join(packed), dtype=np.uint64).reshape(len(packed), -1)
 
 
-def links(found: list[tuple[int, int]]) -> pa.RecordBatch:
-    a, b = ([min(x) for x in found], [max(x) for x in found]) if found else ([], [])
+def links(found: Iterable[tuple[int, int]]) -> pa.RecordBatch:
+    pairs = [(min(x), max(x)) for x in found]
+    a, b = zip(*pairs, strict=True) if pairs else ((), ())
     return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
 
-def words_of(text: str | None) -> list[bytes]:
-    return (text or "").encode().lower().split()
+def signatures(texts: list[str | None], width: int) -> pa.RecordBatch:
+    """(n, f1, f2, keys, bits) of each text: size and digest of its set, band keys, packed low bits; the last two null without shingles."""
+    sets = Words([lowered(t) for t in texts]).shingle_sets(width)
+    digests = [xxhash.xxh3_128_digest(s.tobytes()) if len(s) else bytes(16) for s in sets]
+    full = [k for k, s in enumerate(sets) if len(s)]
+    keys = band_keys(np.array([minima(sets[k]) for k in full], dtype=np.uint32).reshape(len(full), BANDS * ROWS))
+    shown = {k: (keys[at], pack_bits(sets[k])) for at, k in enumerate(full)}
+    half = lambda a, z: pa.array([int.from_bytes(d[a:z], "little", signed=True) for d in digests], pa.int64())
+    columns = [pa.array([shown[k][c] if k in shown else None for k in range(len(sets))], t) for c, t in enumerate((pa.list_(pa.int64()), pa.binary()))]
+    return pa.RecordBatch.from_arrays([pa.array(map(len, sets), pa.int64()), half(0, 8), half(8, 16), *columns], names=["n", "f1", "f2", "keys", "bits"])
 
 
 def near_groups(docs: DataFrame, threshold_percent: int = 80, width: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -153,13 +180,17 @@ def near_groups(docs: DataFrame, threshold_percent: int = 80, width: int = 5, id
 
     1. Equal shingle sets (a 128-bit digest of the sorted set) are one vertex, so copies never meet in pairs.
     2. Vertices that share a band key are candidates. A bitmap of fixed size over repeated keys keeps the rest out of
-       the shuffle. A bucket is split into blocks of BLOCK members; PIVOTS members go to all its blocks.
-    3. In each block the packed low bits give estimates; a spanning forest of the estimates at or above the threshold
-       is confirmed on full sets, and components follow.
-    4. Pairs of one bucket that are still in different components and whose estimate isn't ERRORS standard errors
-       below the threshold are confirmed one by one: the members outside a bucket's main component against all of it.
-    So no bucket is capped, nothing is emitted for pairs that are already connected, and every link is exact. A pair
-    at the threshold shares no band with probability (1 - 0.8^5)^36 < 1e-6.
+       the shuffle.
+    3. Buckets of the first FIRST bands are cut into blocks of BLOCK members (PIVOTS members go to all blocks of their
+       bucket). The packed low bits give estimates; a spanning forest of the estimates at or above the threshold, in
+       which no member has many links, is confirmed on full sets, and components follow.
+    4. In all buckets the members outside the bucket's main component meet all others, in cells of bounded size. Of the
+       pairs in different components those whose estimate isn't ERRORS standard errors below the threshold are
+       confirmed: in buckets of FEW members or less by a join with the sets, in larger ones in the cell, which gets the
+       sets too, likest first until one is a link to that component. So no bucket is capped, nothing is emitted for
+       pairs that are already connected, a large group's pairs are never emitted, and every link is exact.
+    A pair at the threshold shares no band with probability (1 - 0.8^5)^36 < 1e-6 and is dismissed by its estimate with
+    about the same.
 
     Nulls: a null text counts as empty; a null id is one vertex, smaller than all others. Empty text: no shingles,
     linked with nothing. Very long text: whole set. Ties: smallest id. Repeated rows: rows of one id are one vertex if
@@ -171,21 +202,10 @@ def near_groups(docs: DataFrame, threshold_percent: int = 80, width: int = 5, id
     least = threshold_percent / 100
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import xxhash
-
-        known = worker_value("words", word_memory)
-        for b in batches:
-            out = []
-            for text in b.column(1).to_pylist():
-                s = shingle_set(words_of(text), known, width)
-                if not len(s):
-                    out.append((0, 0, 0, None, None))
-                    continue
-                m = minima(s)
-                d = xxhash.xxh3_128_digest(s.tobytes())
-                out.append((len(s), int.from_bytes(d[:8], "little", signed=True), int.from_bytes(d[8:], "little", signed=True), band_keys(m), pack_bits(s)))
-            n, f1, f2, keys, bits = zip(*out, strict=True) if out else ((), (), (), (), ())
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(f1, pa.int64()), pa.array(f2, pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(bits, pa.binary())], names=["doc_id", "n", "f1", "f2", "keys", "bits"])
+        forget_values()
+        for b in in_groups(batches):
+            s = signatures(b.column(1).to_pylist(), width)
+            yield pa.RecordBatch.from_arrays([b.column(0), *s.columns], names=["doc_id", *s.schema.names])
 
     signed = cut(base.mapInArrow(sign, "doc_id long, n long, f1 long, f2 long, keys array<long>, bits binary"), "signed")
     vertices = cut(signed.filter("n > 0").groupBy("n", "f1", "f2").agg(F.min("doc_id").alias("v"), F.first("keys").alias("keys"), F.first("bits").alias("bits")), "vertices")
@@ -195,90 +215,91 @@ def near_groups(docs: DataFrame, threshold_percent: int = 80, width: int = 5, id
     def shared_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bitmap = np.frombuffer(wanted.value, dtype=np.uint8)
         for b in batches:
-            keys = b.column("keys").values.to_numpy(zero_copy_only=False).reshape(b.num_rows, BANDS) if b.num_rows else np.zeros((0, BANDS), dtype=np.int64)
+            keys = b.column("keys").flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, BANDS) if b.num_rows else np.zeros((0, BANDS), dtype=np.int64)
             row, band = np.nonzero(maybe_in(bitmap, keys))
-            yield pa.RecordBatch.from_arrays([pa.array(keys[row, band]), b.column("v").take(pa.array(row))], names=["key", "v"])
+            yield pa.RecordBatch.from_arrays([pa.array(keys[row, band]), pa.array(band.astype(np.int32)), b.column("v").take(pa.array(row)), b.column("n").take(pa.array(row))], names=["key", "band", "v", "n"])
 
-    members = cut(vertices.select("v", "keys").mapInArrow(shared_keys, "key long, v long").join(buckets, "key"), "members")
-    signatures = vertices.select("v", "bits")
-    blocks = F.ceil(F.col("m") / BLOCK).cast("int")
-    own = F.pmod(F.xxhash64("v"), blocks).cast("int")
-    everywhere = F.sequence(F.lit(0), blocks - 1)
-
-    def spread(df: DataFrame, to_all) -> DataFrame:
-        """Rows of a block together, with signatures; those of to_all in every block of their bucket."""
-        dealt = df.join(signatures, "v").withColumn("block", F.explode(F.when((blocks > 1) & to_all, everywhere).otherwise(F.array(own))))
-        return dealt.repartition("key", "block").sortWithinPartitions("key", "block")
+    members = cut(vertices.select("v", "n", "keys").mapInArrow(shared_keys, "key long, band int, v long, n long").join(buckets, "key"), "members")
+    packed = vertices.select("v", "bits")
+    wanted_sets = spark.sparkContext.broadcast(bitmap_of(members, F.col("v")))
 
-    def first_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found: set[tuple[int, int]] = set()
-        for r in runs(batches, ("key", "block")):
-            if len(r["v"]) > 1:
-                found.update((min(x), max(x)) for x in forest(np.array(r["v"]), as_bits(r["bits"]), threshold_percent / 100))
-            if len(found) > 100_000:
-                yield links(list(found))
-                found.clear()
-        yield links(list(found))
-
-    pivot = F.pmod(F.xxhash64("v", F.lit(7)), F.col("m")) < PIVOTS
-    first = spread(members, pivot).select("key", "block", "v", "bits").mapInArrow(first_links, "a long, b long").distinct()
-    wanted_bodies = spark.sparkContext.broadcast(bitmap_of(members, F.col("v")))
-
-    def bodies_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bitmap = np.frombuffer(wanted_bodies.value, dtype=np.uint8)
-        for b in batches:
+    def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget_values()
+        bitmap = np.frombuffer(wanted_sets.value, dtype=np.uint8)
+        for b in in_groups(batches):
             b = b.filter(pa.array(maybe_in(bitmap, b.column(0).to_numpy()), pa.bool_()))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([b" ".join(words_of(t)) for t in b.column(1).to_pylist()], pa.binary())], names=["v", "body"])
+            found = [s.view(np.int64) for s in Words([lowered(t) for t in b.column(1).to_pylist()]).shingle_sets(width)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, pa.list_(pa.int64()))], names=["v", "shingles"])
 
-    bodies = cut(base.mapInArrow(bodies_of, "v long, body binary").join(members.select("v").distinct(), "v", "left_semi"), "bodies")
+    sets = cut(base.mapInArrow(sets_of, "v long, shingles array<long>").join(members.select("v").distinct(), "v", "left_semi"), "sets")
 
-    def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = worker_value("words", word_memory)
-        kept: dict[int, np.ndarray] = {}
+    def confirmed(pairs: DataFrame, name: str) -> DataFrame:
+        """The pairs that reach the threshold on their full sets."""
+        full = pairs.join(sets.select(F.col("v").alias("a"), F.col("shingles").alias("one")), "a").join(sets.select(F.col("v").alias("b"), F.col("shingles").alias("two")), "b")
+        counted = full.select("a", "b", (F.size("one") + F.size("two")).cast("long").alias("total"), F.size(F.array_intersect("one", "two")).cast("long").alias("both"))
+        return cut(counted.filter(F.col("both") * 100 >= F.lit(threshold_percent) * (F.col("total") - F.col("both"))).select("a", "b").distinct(), name)
+
+    def collected(found: Iterator[list[tuple[int, int]]]) -> Iterator[pa.RecordBatch]:
+        """Pairs of several runs, without those that came before."""
+        held: set[tuple[int, int]] = set()
+        for pairs in found:
+            held.update(pairs)
+            if len(held) > 50_000:
+                yield links(held)
+                held.clear()
+        yield links(held)
 
-        def set_of(v: int, body: bytes) -> np.ndarray:
-            if v not in kept:
-                if len(kept) >= 512:
-                    kept.clear()
-                kept[v] = shingle_set(body.split(), known, width)
-            return kept[v]
+    def first_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from collected(forest(np.array(r["v"]), as_bits(r["bits"]), least) for r in runs(batches, ("key", "block")) if len(r["v"]) > 1)
 
-        for b in batches:
-            a, z, one, two = (b.column(n).to_pylist() for n in ("a", "b", "one", "two"))
-            found = []
-            for k in range(b.num_rows):
-                x, y = set_of(a[k], one[k]), set_of(z[k], two[k])
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                if 100 * both >= threshold_percent * (len(x) + len(y) - both):
-                    found.append((a[k], z[k]))
-            yield links(found)
+    blocks = F.ceil(F.col("m") / BLOCK).cast("int")
+    block = F.pmod(F.xxhash64("v"), blocks).cast("int")
+    pivot = (blocks > 1) & (F.pmod(F.xxhash64("v", F.lit(7)), F.col("m")) < PIVOTS)
+    dealt = members.filter(F.col("band") < FIRST).withColumn("block", F.explode(F.when(pivot, F.sequence(F.lit(0), blocks - 1)).otherwise(F.array(block)))).join(packed, "v")
+    first = dealt.select("key", "block", "v", "bits").repartition("key", "block").sortWithinPartitions("key", "block").mapInArrow(first_links, "a long, b long").distinct()
+    sure = confirmed(first, "links")
+    labels = components(sure).withColumnRenamed("vertex", "v")
 
-    def confirmed(pairs: DataFrame, name: str) -> DataFrame:
-        left = pairs.join(bodies.select(F.col("v").alias("a"), F.col("body").alias("one")), "a")
-        full = left.join(bodies.select(F.col("v").alias("b"), F.col("body").alias("two")), "b")
-        return cut(full.select("a", "b", "one", "two").mapInArrow(confirm, "a long, b long"), name)
+    def near(r: dict[str, list]) -> Iterator[tuple[int, np.ndarray]]:
+        """Each outsider of a cell with the members of other components that may be linked with it, by component and likeness."""
+        ids, part, bits = np.array(r["v"]), np.array(r["component"]), as_bits(r["bits"])
+        for k in np.flatnonzero(np.array(r["out"])):
+            other = np.flatnonzero((part != part[k]) & possible(bits[k], bits, least))
+            yield k, other[np.lexsort((ids[other], -estimates(bits[k], bits[other]), part[other]))]
+
+    def candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from collected([(r["v"][k], r["v"][j]) for k, other in near(r) for j in other] for r in runs(batches, ("key", "chunk", "block")) if any(r["out"]))
+
+    def settled(r: dict[str, list]) -> Iterator[tuple[int, int]]:
+        sets, part = [np.array(x, dtype=np.int64) for x in r["shingles"]], r["component"]
+        for k, other in near(r):
+            done = None
+            for j in other:
+                if part[j] != done:
+                    both = len(np.intersect1d(sets[k], sets[j], assume_unique=True))
+                    if 100 * both >= threshold_percent * (len(sets[k]) + len(sets[j]) - both):
+                        done = part[j]
+                        yield r["v"][k], r["v"][j]
+
+    def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from collected(list(settled(r)) for r in runs(batches, ("key", "chunk", "block")) if any(r["out"]))
 
-    sure = confirmed(first, "links-first")
-    labels = components(sure).withColumnRenamed("vertex", "v")
     placed = cut(members.join(labels, "v", "left").withColumn("component", F.coalesce("component", "v")), "placed")
-    sizes = placed.groupBy("key", "component").agg(F.count(F.lit(1)).alias("size"))
-    main = sizes.groupBy("key").agg(F.max(F.struct("size", "component")).alias("top"), F.count(F.lit(1)).alias("parts")).filter("parts > 1")
-    split = placed.join(main.select("key", F.col("top.component").alias("main")), "key")
-
-    def rest_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found: set[tuple[int, int]] = set()
-        for r in runs(batches, ("key", "block")):
-            ids, part, bits = np.array(r["v"]), np.array(r["component"]), as_bits(r["bits"])
-            for k in np.flatnonzero(part != r["main"][0]):
-                other = np.flatnonzero(possible(bits[k], bits, least) & (part != part[k]))
-                found.update((min(ids[k], v), max(ids[k], v)) for v in ids[other])
-            if len(found) > 100_000:
-                yield links(list(found))
-                found.clear()
-        yield links(list(found))
-
-    rest = spread(split, F.col("component") != F.col("main")).select("key", "block", "v", "bits", "component", "main").mapInArrow(rest_links, "a long, b long").distinct()
-    labels = components(sure.unionByName(confirmed(rest, "links-rest"))).withColumnRenamed("vertex", "v")
+    sizes = placed.groupBy("key", "component").agg(F.struct(F.count(F.lit(1)).alias("size"), F.sum("n").alias("words")).alias("of"))
+    main = sizes.groupBy("key").agg(F.max(F.struct("of.size", "component", "of.words")).alias("top"), F.count(F.lit(1)).alias("parts"), F.sum("of.size").alias("all"), F.sum("of.words").alias("words")).filter("parts > 1")
+    parts = lambda rows, most, words: F.greatest(F.ceil(rows / most), F.ceil(words / CELL)).cast("int")
+    outer = parts(F.col("all") - F.col("top.size"), OUTSIDERS, F.col("words") - F.col("top.words"))
+    split = placed.join(main.select("key", F.col("top.component").alias("main"), outer.alias("chunks"), parts(F.col("all"), MEMBERS, F.col("words")).alias("blocks")), "key")
+    block, chunk = (F.pmod(F.xxhash64("v", F.lit(salt)), F.col(n)).cast("int") for salt, n in ((7, "blocks"), (11, "chunks")))
+    outside = F.col("component") != F.col("main")
+    cell = lambda i, j, out: F.struct(i.alias("chunk"), j.alias("block"), out.alias("out"))
+    own = F.transform(F.sequence(F.lit(0), F.col("chunks") - 1), lambda i: cell(i, block, outside & (i == chunk)))
+    more = F.transform(F.filter(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: j != block), lambda j: cell(chunk, j, F.lit(True)))
+    cells = split.withColumn("cell", F.explode(F.when(outside, F.concat(own, more)).otherwise(own))).select("key", "m", "cell.*", "v", "component").join(packed, "v")
+    in_cells = lambda df: df.repartition("key", "chunk", "block").sortWithinPartitions("key", "chunk", "block")
+    few = confirmed(in_cells(cells.filter(F.col("m") <= FEW)).mapInArrow(candidates, "a long, b long").distinct(), "links")
+    many = cut(in_cells(cells.filter(F.col("m") > FEW).join(sets, "v")).mapInArrow(settle, "a long, b long").distinct(), "links")
+    labels = components(sure.unionByName(few).unionByName(many)).withColumnRenamed("vertex", "v")
     named = vertices.select("n", "f1", "f2", "v").join(labels, "v", "left").select("n", "f1", "f2", F.coalesce("component", "v").alias("component"))
     known = signed.select("doc_id", "n", "f1", "f2").join(named, ["n", "f1", "f2"], "left")
     component = F.coalesce("component", "doc_id")
