@@ -7,48 +7,28 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyloom.llm.bits import bitmap_of, maybe_in
-from tallyloom.llm.bpe import Memory
-from tallyloom.llm.columns import as_id, worker_value
-from tallyloom.llm.shingles import _ODD, mix, word_memory
+from tallyloom.llm.columns import as_id, forget_values
+from tallyloom.llm.shingles import Words, in_groups, minimisers
 from tallyloom.shared import cut
 
 #: Words of a minimiser.
 MINIMISER = 4
 #: Super-k-mers of one bucket that are sorted at a time; what is first among them goes on to the next time.
 CHUNK = 20_000
-#: Documents whose super-k-mers are made, and of which equal ones are put together, at a time.
-GROUP = 1000
+#: Documents, and bytes of their texts, whose super-k-mers are made, and of which equal ones are put together, at a time.
+GROUP, GROUP_BYTES = 1000, 4 << 20
+#: Super-k-mers of a minimiser beyond which each of their windows travels by its own hash.
+HOT = 10_000
 #: Bits of the map of minimisers that occur twice or more (16 MiB).
 BITS = 1 << 27
 _NO_ID = -(1 << 63)
 
 
-def super_kmers(words: list[bytes], known: Memory, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(first window, number of windows, minimiser) of each maximal run of windows with one minimiser.
-
-    A window's minimiser is the leftmost of its smallest hashes of MINIMISER words, so equal windows have it at equal
-    places, and no two windows of one super-k-mer are equal.
-    """
-    n = len(words) - window + 1
-    if n < 1:
-        none = np.zeros(0, dtype=np.int64)
-        return none, none, none
-    h = np.array([known[w] for w in words], dtype=np.uint64)
-    width = min(MINIMISER, window)
-    total = np.full(len(h) - width + 1, width, dtype=np.uint64)
-    for k in range(width):
-        total = (total ^ h[k : len(total) + k]) * _ODD[k % 8]
-        total ^= total >> np.uint64(29)
-    total = mix(total)
-    place = np.arange(n) + np.lib.stride_tricks.sliding_window_view(total, window - width + 1).argmin(axis=1)
-    first = np.flatnonzero(np.concatenate([[True], place[1:] != place[:-1]]))
-    return first, np.diff(np.append(first, n)), total[place[first]].view(np.int64)
-
-
 def windows_of(packed: bytes, window: int) -> list[bytes]:
     """The windows of a packed super-k-mer."""
     ends, at = [], 0
@@ -107,13 +87,6 @@ class Bucket:
         return self.marks
 
 
-def in_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The same rows, GROUP at a time."""
-    for b in batches:
-        for at in range(0, b.num_rows, GROUP):
-            yield b.slice(at, GROUP)
-
-
 def words_of(text: str | None) -> list[bytes]:
     return (text or "").encode().split()
 
@@ -134,42 +107,53 @@ def repeated_passages(docs: DataFrame, window: int = 20, id_col: str = "doc_id",
     A window is `window` consecutive words. One that also starts earlier (smaller id, or earlier in its document) is
     marked. Consecutive windows with one minimiser travel as one packed string to the minimiser's bucket. A first pass
     counts minimisers with partial aggregation; a bitmap of fixed size over those that occur twice or more keeps
-    the other super-k-mers out of the shuffle. Equal super-k-mers of GROUP documents are one row (the later ones are
-    marked at once), so a passage that a third of all rows share reaches its bucket once a group. A bucket is read as a sorted
-    stream and sorted CHUNK super-k-mers at a time.
+    the other super-k-mers out of the shuffle. The windows of a minimiser with more than HOT super-k-mers (a second
+    bitmap tells) travel one by one to the bucket of their own hash, so a bucket holds HOT strings or one window. Equal
+    strings of GROUP documents are one row (the later ones are marked at once), so a passage that a third of all rows
+    share reaches its bucket once a group. A bucket is read as a sorted stream and sorted CHUNK strings at a time.
     """
     spark = docs.sparkSession
     base = docs.select(F.coalesce(as_id(docs, id_col), F.lit(_NO_ID).cast("long")).alias("doc_id"), docs[text_col].alias("text"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = worker_value("words", word_memory)
-        for b in in_groups(batches):
-            keys = [super_kmers(words_of(t), known, window)[2] for t in b.column(1).to_pylist()]
-            key, n = np.unique(np.concatenate([np.zeros(0, dtype=np.int64), *keys]), return_counts=True)
+        forget_values()
+        for b in in_groups(batches, 1, GROUP, GROUP_BYTES):
+            key, n = np.unique(minimisers(Words([(t or "").encode() for t in b.column(1).to_pylist()]), window, MINIMISER)[3], return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(n.astype(np.int64))], names=["key", "n"])
 
-    often = base.mapInArrow(count, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).filter("n > 1")
+    often = cut(base.mapInArrow(count, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).filter("n > 1"), "minimisers")
     wanted = spark.sparkContext.broadcast(bitmap_of(often, F.col("key"), BITS))
+    hot = spark.sparkContext.broadcast(bitmap_of(often.filter(F.col("n") > HOT), F.col("key")))
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, bitmap = worker_value("words", word_memory), np.frombuffer(wanted.value, dtype=np.uint8)
-        for b in in_groups(batches):
+        forget_values()
+        bitmap, split = np.frombuffer(wanted.value, dtype=np.uint8), np.frombuffer(hot.value, dtype=np.uint8)
+        for b in in_groups(batches, 1, GROUP, GROUP_BYTES):
+            docs, texts = b.column(0).to_pylist(), [b" ".join(words_of(t)) for t in b.column(1).to_pylist()]
+            words = Words(texts)
+            text, first, number, key = minimisers(words, window, MINIMISER)
+            chosen = np.flatnonzero(maybe_in(bitmap, key))
+            text, first, number, key = text[chosen], first[chosen], number[chosen], key[chosen]
+            apart = maybe_in(split, key)
+            if apart.any():  # one row for each window, whose key follows from its words
+                times = np.where(apart, number, 1)
+                row = np.repeat(np.arange(len(key)), times)
+                step = np.arange(len(row)) - np.repeat(np.cumsum(times) - times, times)
+                text, first, number, key, apart = text[row], first[row] + step, np.where(apart, 1, number)[row], key[row], apart[row]
+            data, from_, to = words.data, words.start[first].tolist(), words.end[first + number + window - 2].tolist()
+            start = (first - words.first[text]).tolist()
             held: dict[bytes, tuple[int, int, int]] = {}
             out = []
-            for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                words = words_of(text)
-                first, number, key = super_kmers(words, known, window)
-                for k in np.flatnonzero(maybe_in(bitmap, key)) if len(key) else ():
-                    a, n = int(first[k]), int(number[k])
-                    packed = b" ".join(words[a : a + n - 1 + window])
-                    was = held.get(packed)
-                    if was is None:
-                        held[packed] = doc, a, int(key[k])
-                    elif (doc, a) < was[:2]:
-                        held[packed] = doc, a, int(key[k])
-                        out.append((was[2], was[0], was[1], n, None))
-                    elif (doc, a) != was[:2]:
-                        out.append((int(key[k]), doc, a, n, None))
+            for t, a, n, k, alone, x, y in zip(text.tolist(), start, number.tolist(), key.tolist(), apart.tolist(), from_, to, strict=True):
+                packed, doc = data[x:y], docs[t]
+                was = held.get(packed)
+                if was is None:
+                    held[packed] = doc, a, xxhash.xxh3_64_intdigest(packed) - (1 << 63) if alone else k
+                elif (doc, a) < was[:2]:
+                    held[packed] = doc, a, was[2]
+                    out.append((was[2], was[0], was[1], n, None))
+                elif (doc, a) != was[:2]:
+                    out.append((was[2], doc, a, n, None))
             out += [(key, doc, a, 0, packed) for packed, (doc, a, key) in held.items()]
             for at in range(0, len(out), 50_000):
                 c = list(zip(*out[at : at + 50_000], strict=True))

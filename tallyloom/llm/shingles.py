@@ -9,7 +9,6 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
 
-from tallyloom.llm.bpe import Memory
 from tallyloom.llm.columns import BLANKS
 
 _MIX = (np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53))
@@ -121,22 +120,3 @@ def minimisers(words: Words, window: int, width: int) -> tuple[np.ndarray, np.nd
 def lowered(text: str | None) -> bytes:
     """A text in UTF-8 with A-Z in lower case."""
     return (text or "").encode().lower()
-
-
-def word_memory(capacity: int = 300_000) -> Memory:
-    """Words and their 64-bit hashes."""
-    return Memory(xxhash.xxh64_intdigest, capacity)
-
-
-def shingle_set(words: list[bytes], known: Memory, width: int = 4) -> np.ndarray:
-    """The sorted distinct shingles; with fewer words than width the whole sequence is one; without words none."""
-    if not words:
-        return np.zeros(0, dtype=np.uint64)
-    h = np.array([known[w] for w in words], dtype=np.uint64)
-    n = min(width, len(h))
-    last = len(h) - n + 1
-    total = np.full(last, n, dtype=np.uint64)
-    for k in range(n):
-        total = (total ^ h[k : last + k]) * _ODD[k % 8]
-        total ^= total >> np.uint64(29)
-    return np.unique(mix(total))
