@@ -5,8 +5,10 @@ from __future__ import annotations
 import gzip
 import hashlib
 import io
+import json
 import re
 import uuid
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 from typing import BinaryIO
@@ -17,7 +19,8 @@ from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from tallyloom.llm.columns import as_id
-from tallyloom.shared import table_path
+from tallyloom.llm.shingles import in_groups
+from tallyloom.shared import cut, table_path
 
 #: The fields of a header line, by version of the archive.
 FIELDS = {
@@ -30,6 +33,10 @@ NAMED = {
 }
 #: What an address and a date look like, by which a header line is told whose URL has no scheme.
 IP, DATE = re.compile(r"-|[0-9.]+|[0-9A-Fa-f:.]*:[0-9A-Fa-f:.]*"), re.compile(r"[0-9]{14}")
+#: Pairs of revisit and first record that are sent to the workers whole (32 bytes each and what a dict adds).
+MOST_PAIRS = 500_000
+#: Bytes of rows that a worker gathers before it passes them on.
+HELD = 8 << 20
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
@@ -68,7 +75,7 @@ def read_arc(stream: BinaryIO) -> Iterator[ArcRecord]:
     version, offset = None, 0
     while line := stream.readline():
         at, offset = offset, offset + len(line)
-        text = line.decode("utf-8", "replace").rstrip("\r\n")
+        text = line.decode("utf-8", "surrogateescape").rstrip("\r\n")
         if not text.strip():
             continue
         kind = version or (2 if len(text.split(" ")) >= len(FIELDS[2]) else 1)
@@ -87,6 +94,11 @@ def read_arc(stream: BinaryIO) -> Iterator[ArcRecord]:
         yield ArcRecord(kind, at, fields, block, len(block) < length)
 
 
+def plain(value: str) -> str:
+    """A header's value with bytes that aren't UTF-8 percent-encoded."""
+    return re.sub("[\udc80-\udcff]", lambda m: f"%{ord(m[0]) - 0xDC00:02X}", value)
+
+
 def iso_date(date: str) -> str:
     """The 14 digits of an ARC date (fewer are filled up) as a WARC date."""
     digits = re.sub(r"\D", "", date)[:14]
@@ -94,9 +106,12 @@ def iso_date(date: str) -> str:
     return f"{digits[:4]}-{digits[4:6]}-{digits[6:8]}T{digits[8:10]}:{digits[10:12]}:{digits[12:14]}Z"
 
 
+_BLANK_LINE = re.compile(rb"\r?\n\r?\n")
+
+
 def split_http(block: bytes) -> tuple[bytes, bytes]:
     """(header with its blank line, payload)."""
-    m = re.search(rb"\r?\n\r?\n", block)
+    m = _BLANK_LINE.search(block)
     return (block[: m.end()], block[m.end() :]) if m else (block, b"")
 
 
@@ -119,25 +134,36 @@ def sha256(data: bytes) -> str:
     return hashlib.sha256(data).hexdigest()
 
 
+def identifier(record: ArcRecord, archive: str) -> uuid.UUID:
+    """A name-based UUID of archive, offset, URL and date, so converting again gives the same."""
+    return uuid.uuid5(uuid.NAMESPACE_URL, f"{archive}#{record.offset}#{plain(record.fields['url'])}#{plain(record.fields['date'])}")
+
+
+def is_version_block(record: ArcRecord) -> bool:
+    return record.fields["url"].startswith("filedesc:") and not record.block.startswith(b"HTTP/")
+
+
+def payload_of(record: ArcRecord) -> bytes:
+    """What an HTTP block carries; any other block is its own payload."""
+    return split_http(record.block)[1] if record.block.startswith(b"HTTP/") else record.block
+
+
 def to_warc(record: ArcRecord, archive: str) -> WarcRecord:
     """The equivalent WARC record.
 
-    Its identifier is a name-based UUID of archive, offset, URL and date, so converting again gives the same. A version
-    block becomes warcinfo; a block of HTTP becomes response whatever its URL, anything else resource. Digests are
-    computed from what is there, never taken over.
+    A version block becomes warcinfo; a block of HTTP becomes response whatever its URL, anything else resource. Digests
+    are computed from what is there, never taken over. Blocks are bytes and stay as they are, in any encoding.
     """
-    f, block = record.fields, record.block
-    ident = uuid.uuid5(uuid.NAMESPACE_URL, f"{archive}#{record.offset}#{f['url']}#{f['date']}")
-    out = {"WARC-Record-ID": f"<urn:uuid:{ident}>", "WARC-Date": iso_date(f["date"])}
-    http = block.startswith(b"HTTP/")
-    if f["url"].startswith("filedesc:") and not http:
+    f, block = {k: plain(v) for k, v in record.fields.items()}, record.block
+    out = {"WARC-Record-ID": f"<urn:uuid:{identifier(record, archive)}>", "WARC-Date": iso_date(f["date"])}
+    if is_version_block(record):
         block = f"software: tallyloom\r\nformat: WARC File Format 1.1\r\nconversion-of: {f['url']}\r\n".encode()
         return WarcRecord({"WARC-Type": "warcinfo", **out, "WARC-Filename": f["url"].removeprefix("filedesc://"), "Content-Type": "application/warc-fields"}, block)
     out["WARC-Target-URI"] = f["url"]
     if f["ip"] not in ("-", "0.0.0.0"):
         out["WARC-IP-Address"] = f["ip"]
-    kind, mime, payload = ("response", "application/http; msgtype=response", split_http(block)[1]) if http else ("resource", f["mime"], block)
-    out |= {"WARC-Block-Digest": f"sha256:{sha256(block)}", "WARC-Payload-Digest": f"sha256:{sha256(payload)}"}
+    kind, mime = ("response", "application/http; msgtype=response") if block.startswith(b"HTTP/") else ("resource", f["mime"])
+    out |= {"WARC-Block-Digest": f"sha256:{sha256(block)}", "WARC-Payload-Digest": f"sha256:{sha256(payload_of(record))}"}
     if f["mime"] not in ("-", "no-type"):
         out["WARC-Identified-Payload-Type"] = f["mime"]
     if record.truncated:
@@ -159,39 +185,77 @@ def read_warc(stream: BinaryIO) -> Iterator[WarcRecord]:
             continue
         fields: dict[str, str] = {}
         while (line := stream.readline().rstrip(b"\r\n")):
-            name, _, value = line.decode().partition(":")
+            name, _, value = line.decode("utf-8", "replace").partition(":")
             fields[name] = value.strip()
         yield WarcRecord(fields, stream.read(int(fields.pop("Content-Length", "0"))))
 
 
-def opened(content: bytes) -> BinaryIO:
+def opened(content: bytes | pa.Buffer) -> BinaryIO:
     """A stream over an archive file's bytes, decompressed as it is read."""
-    return io.BufferedReader(gzip.GzipFile(fileobj=io.BytesIO(content))) if content[:2] == b"\x1f\x8b" else io.BytesIO(content)
+    found = pa.BufferReader(content)
+    return io.BufferedReader(gzip.GzipFile(fileobj=found) if bytes(content[:2]) == b"\x1f\x8b" else found, 1 << 16)
+
+
+#: Fixed value: a gzip member's header (deflate, a name follows, no time, fastest, system unknown) and the name, whose end is a zero byte.
+_MEMBER = b"\x1f\x8b\x08\x08\0\0\0\0\x04\xff" + b"record"
+
+
+def gzip_rows(records: Iterator[bytes]) -> Iterator[bytes]:
+    """Rows that make a file of one gzip member per record if a zero byte follows each.
+
+    A row has the rest of its record's member and the beginning of the next one's, up to the name that the zero byte
+    ends. The file's last zero byte is padding, which readers of gzip skip.
+    """
+    held = _MEMBER + b"\0"
+    for n, record in enumerate(records):
+        if n:
+            yield held + _MEMBER
+            held = b""
+        deflate = zlib.compressobj(1, zlib.DEFLATED, -15)
+        held += deflate.compress(record) + deflate.flush() + zlib.crc32(record).to_bytes(4, "little") + (len(record) & 0xFFFFFFFF).to_bytes(4, "little")
+    if held != _MEMBER + b"\0":
+        yield held
+
+
+def in_batches(rows: Iterator[bytes]) -> Iterator[pa.RecordBatch]:
+    """One binary column, some megabytes at a time."""
+    out, size = [], 0
+    for row in rows:
+        out.append(row)
+        size += len(row)
+        if size > HELD:
+            yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["value"])
+            out, size = [], 0
+    yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["value"])
+
+
+def save(rows: DataFrame, path: str) -> None:
+    """Write the rows of gzip_rows (column value) as files; Spark's text writer takes bytes as they are."""
+    rows.select(F.col("value").cast("string")).write.option("lineSep", "\0").text(path)
 
 
 def write_arc(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", date: str = "20240101000000") -> int:
-    """Write pages as gzipped ARC files below path, one file a partition; versions 1 and 2 take turns. Returns the number of pages.
+    """Write pages as ARC files below path, one file a partition, one gzip member a record; versions 1 and 2 take turns.
 
-    Spark's text writer stores the records (all of it is UTF-8) and puts the line feed after each that ARC asks for.
+    Returns the number of pages. The column html may be text (written as UTF-8) or binary.
     """
-    base = pages.select(as_id(pages, id_col, "page_id"), pages[url_col].cast("string"), F.coalesce(pages[html_col], F.lit("")))
+    base = pages.select(as_id(pages, id_col, "page_id"), pages[url_col].cast("string"), F.coalesce(pages[html_col].cast("binary"), F.lit(b"")))
 
-    def records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def records(batches: Iterator[pa.RecordBatch]) -> Iterator[bytes]:
         part = TaskContext.get().partitionId()
         version, name, first = 1 + part % 2, f"part-{part:05d}.arc", True
-        for b in batches:
-            out = [version_block(version, name, date)] if first and b.num_rows else []
-            first = first and not b.num_rows
-            for page, url, html in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                body = html.encode()
+        for b in in_groups(batches, 2):
+            if first and b.num_rows:
+                yield version_block(version, name, date) + b"\n"
+                first = False
+            for page, url, body in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 mark = f"X-Page-Id: {page}\r\n" if page is not None else ""
-                block = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n{mark}Content-Length: {len(body)}\r\n\r\n".encode() + body
+                block = f"HTTP/1.1 200 OK\r\nContent-Type: text/html\r\n{mark}Content-Length: {len(body)}\r\n\r\n".encode() + body
                 more = {"status": "200", "filename": name, "checksum": sha256(body)} if version == 2 else {}
-                out.append(header_line(version, url or "http://unknown.invalid/", "192.0.2.1", date, "text/html", len(block), **more) + block)
-            yield pa.RecordBatch.from_arrays([pa.array([x.decode() for x in out], pa.string())], names=["value"])
+                yield header_line(version, url or "http://unknown.invalid/", "192.0.2.1", date, "text/html", len(block), **more) + block + b"\n"
 
     written = Observation()
-    base.observe(written, F.count(F.lit(1)).alias("n")).mapInArrow(records, "value string").write.option("compression", "gzip").text(path)
+    save(base.observe(written, F.count(F.lit(1)).alias("n")).mapInArrow(lambda batches: in_batches(gzip_rows(records(batches))), "value binary"), path)
     return written.get.get("n", 0)
 
 
@@ -202,67 +266,89 @@ def header_of(block: bytes, name: bytes) -> bytes | None:
 
 
 def convert(spark, arc_path: str, warc_path: str, least_bytes: int = 100, pages: int = 0) -> None:
-    """Convert the ARC files below arc_path to gzipped WARC files below warc_path; fails if it finds fewer captures than pages.
+    """Convert the ARC files below arc_path to WARC files below warc_path, one gzip member a record; fails if it finds fewer captures than pages.
 
     Of responses with equal payloads of least_bytes or more the one with the smallest page id keeps its payload, the
-    others become revisits; resources stay whole. The first of each digest is found by partial aggregation; records meet it in a join by
-    digest that AQE splits where one payload is very frequent.
+    others become revisits; resources stay whole. A first pass lists records without payloads; firsts are found by
+    partial aggregation and give the few pairs (revisit, first). The second pass converts each file in place: up to
+    MOST_PAIRS pairs are sent to the workers (32 bytes each), more are joined by record, whose ids are even.
+    An archive file has to be below 2 GB (Spark's reader refuses larger ones).
     """
     files = spark.read.format("binaryFile").load(arc_path).select("path", "content")
 
-    def parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, ArcRecord]]:
         for b in batches:
-            for path, content in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                rows, held = [], 0
-                for r in read_arc(opened(content)):
-                    w = to_warc(r, path.rsplit("/", 1)[-1])
-                    if w.fields["WARC-Type"] == "warcinfo":
-                        continue
-                    page = header_of(w.block, b"X-Page-Id")
-                    rows.append((int(page) if page else None, w.fields["WARC-Record-ID"], w.fields["WARC-Payload-Digest"], len(split_http(w.block)[1]) if w.fields["WARC-Type"] == "response" else 0, w.to_bytes()))
-                    held += len(w.block)
-                    if held > 8 << 20:
-                        yield batch(rows)
-                        rows, held = [], 0
-                yield batch(rows)
-
-    def batch(rows: list[tuple]) -> pa.RecordBatch:
-        c = list(zip(*rows, strict=True)) if rows else [()] * 5
-        types = [pa.int64(), pa.string(), pa.string(), pa.int64(), pa.binary()]
-        return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(c, types, strict=True)], names=["page_id", "record_id", "digest", "size", "record"])
-
-    records = files.mapInArrow(parsed, "page_id long, record_id string, digest string, size long, record binary")
+            for path, content in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                archive = path.rsplit("/", 1)[-1]
+                yield from ((archive, r) for r in read_arc(opened(content.as_buffer())) if not is_version_block(r))
+
+    def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = []
+        types = [pa.int64(), pa.binary(), pa.binary(), pa.int64()]
+        batch = lambda: pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True) if rows else [()] * 4, types, strict=True)], names=["page_id", "record", "digest", "size"])
+        for archive, r in parsed(batches):
+            payload = payload_of(r)
+            page = header_of(r.block, b"X-Page-Id")
+            rows.append((int(page) if page else None, identifier(r, archive).bytes, hashlib.sha256(payload).digest(), len(payload) if r.block.startswith(b"HTTP/") else 0))
+            if len(rows) >= 10_000:
+                yield batch()
+                rows.clear()
+        yield batch()
+
+    index = cut(files.mapInArrow(listed, "page_id long, record binary, digest binary, size long"), "arc-index")
+    if (n := index.count()) < pages:
+        raise ValueError(f"{arc_path}: {n} captures were read of {pages} that were written")
+    large = index.filter(F.col("size") >= least_bytes)
     firsts = (
-        records.select("page_id", "record_id", "digest", "size")
-        .filter(F.col("size") >= least_bytes)
-        .groupBy("digest")
-        .agg(F.count(F.lit(1)).alias("n"), F.min(F.struct(F.col("page_id").isNull(), "page_id", "record_id")).alias("first"))
+        large.groupBy("digest")
+        .agg(F.count(F.lit(1)).alias("n"), F.min(F.struct(F.col("page_id").isNull(), "page_id", "record")).alias("first"))
         .filter("n > 1")
-        .select("digest", F.col("first.page_id").alias("first_page"), F.col("first.record_id").alias("first_id"))
+        .select("digest", F.col("first.page_id").alias("first_page"), F.col("first.record").alias("first"))
     )
+    again = large.join(firsts, "digest").filter(~F.col("page_id").eqNullSafe(F.col("first_page")))
+    pairs = cut(again.select("record", "first"), "revisits")
 
-    def written(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, first = TaskContext.get().partitionId(), True
-        for b in batches:
-            out = []
-            if first and b.num_rows:
-                name = f"part-{part:05d}.warc"
-                info = ArcRecord(1, 0, {"url": f"filedesc://{name}", "ip": "-", "date": "20240101000000", "mime": "text/plain", "length": "0"}, b"")
-                out, first = [to_warc(info, name).to_bytes()], False
-            for record, revisit in zip(b.column("record").to_pylist(), b.column("revisits").to_pylist(), strict=True):
-                if revisit:
-                    record = as_revisit(next(read_warc(io.BytesIO(record))), revisit).to_bytes()
-                out.append(record)
-            # the writer ends each row with a line feed: the last byte of the record
-            yield pa.RecordBatch.from_arrays([pa.array([x[:-1].decode() for x in out], pa.string())], names=["value"])
-
-    again = ~F.col("page_id").eqNullSafe(F.col("first_page")) & F.col("first_id").isNotNull()
-    again = again & (F.col("size") >= least_bytes)
-    joined = records.join(firsts, "digest", "left").select("record", F.when(again, F.col("first_id")).alias("revisits"))
-    found = Observation()
-    joined.observe(found, F.count(F.lit(1)).alias("n")).mapInArrow(written, "value string").write.option("compression", "gzip").text(warc_path)
-    if (n := found.get.get("n", 0)) < pages:
-        raise ValueError(f"{arc_path}: {n} captures were read of {pages} that were written")
+    def warcs(found: Iterator[tuple[str, ArcRecord, bytes | None]]) -> Iterator[bytes]:
+        name, first = f"part-{TaskContext.get().partitionId():05d}.warc", True
+        for archive, r, revisits in found:
+            if first:
+                yield to_warc(ArcRecord(1, 0, {"url": f"filedesc://{name}", "ip": "-", "date": "20240101000000", "mime": "text/plain", "length": "0"}, b""), name).to_bytes()
+                first = False
+            w = to_warc(r, archive)
+            yield (as_revisit(w, f"<urn:uuid:{uuid.UUID(bytes=revisits)}>") if revisits else w).to_bytes()
+
+    if pairs.count() <= MOST_PAIRS:
+        sent = spark.sparkContext.broadcast(dict(pairs.toArrow().to_pandas().itertuples(index=False, name=None)))
+
+        def converted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            known = sent.value
+            yield from in_batches(gzip_rows(warcs((archive, r, known.get(identifier(r, archive).bytes)) for archive, r in parsed(batches))))
+
+        save(files.mapInArrow(converted, "value binary"), warc_path)
+        return
+
+    def records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows, held = [], 0
+        for archive, r in parsed(batches):
+            rows.append((identifier(r, archive).bytes, archive, json.dumps([r.version, r.offset, r.fields, r.truncated]), r.block))
+            held += len(r.block)
+            if held > HELD:
+                yield packed(rows)
+                rows, held = [], 0
+        yield packed(rows)
+
+    def packed(rows: list[tuple]) -> pa.RecordBatch:
+        types = [pa.binary(), pa.string(), pa.string(), pa.binary()]
+        return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True) if rows else [()] * 4, types, strict=True)], names=["record", "archive", "head", "block"])
+
+    def unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, ArcRecord, bytes | None]]:
+        for b in in_groups(batches, "block"):
+            for archive, head, block, first in zip(*(b.column(c).to_pylist() for c in ("archive", "head", "block", "first")), strict=True):
+                version, offset, fields, truncated = json.loads(head)
+                yield archive, ArcRecord(version, offset, fields, block, truncated), first
+
+    joined = files.mapInArrow(records, "record binary, archive string, head string, block binary").join(pairs, "record", "left")
+    save(joined.select("archive", "head", "block", "first").mapInArrow(lambda batches: in_batches(gzip_rows(warcs(unpacked(batches)))), "value binary"), warc_path)
 
 
 def read_back(spark, warc_path: str) -> DataFrame:
@@ -275,9 +361,9 @@ def read_back(spark, warc_path: str) -> DataFrame:
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_id", "target_uri", "record_id", "captured_at"]
         for b in batches:
-            for content in b.column(0).to_pylist():
+            for content in b.column(0):
                 out = []
-                for w in read_warc(opened(content)):
+                for w in read_warc(opened(content.as_buffer())):
                     kind = w.fields["WARC-Type"]
                     if kind not in ("response", "revisit", "resource"):
                         continue
@@ -295,7 +381,7 @@ def read_back(spark, warc_path: str) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(c, types, strict=True)], names=names)
 
     found = spark.read.format("binaryFile").load(warc_path).select("content")
-    found = found.mapInArrow(rows, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_id string, target_uri string, record_id string, captured_at string")
+    found = cut(found.mapInArrow(rows, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_id string, target_uri string, record_id string, captured_at string"), "captures")
     named = found.filter("refers_id is not null").select("refers_id").distinct().join(found.select(F.col("record_id").alias("refers_id"), F.col("page_id").alias("refers_to")), "refers_id")
     named = named.groupBy("refers_id").agg(F.min("refers_to").alias("refers_to"))
     return found.join(named, "refers_id", "left").select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "target_uri", "record_id", "captured_at")
@@ -304,7 +390,8 @@ def read_back(spark, warc_path: str) -> DataFrame:
 def archive_round_trip(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", least_bytes: int = 100) -> DataFrame:
     """Write pages as ARC, convert to WARC with revisits, and read the WARC files back: one row per row of pages.
 
-    Archives lie in the shared folder. Each file is one partition's records; it is read as a stream.
+    Archives lie in the shared folder. Each file is one partition's records; a worker has the compressed file in memory
+    and one record at a time.
 
     Any url is kept, also without a scheme or of another than HTTP; the run fails if fewer captures are read than pages
     were written.
