@@ -7,11 +7,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyloom.llm.bits import bitmap_of, maybe_in
-from tallyloom.llm.columns import BLANKS, as_id, worker_value
+from tallyloom.llm.columns import BLANKS, as_id, fresh, worker_value
+from tallyloom.llm.shingles import in_groups
 from tallyloom.shared import cut
 
 #: Bytes of a chunk.
@@ -20,8 +22,8 @@ CHUNK = 1 << 16
 PRIME = (1 << 31) - 1
 #: One base for each of the four residues of a fingerprint.
 BASES = (1_000_003, 722_135_891, 1_402_024_253, 48_271_117)
-#: Rows of one group that are compared in one run; a larger group is split.
-RUN = 4096
+#: Code points of text beyond which a document's chunks travel as rows, to be hashed by several workers.
+LONG = 1 << 22
 
 _DROP = BLANKS.encode()
 
@@ -59,20 +61,22 @@ class Polynomials:
             out = self.combine(out, self.chunk(part), len(part))
         return out
 
-    def keys(self, bodies: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """Two longs for each byte string, of two residues each."""
-        r = np.array([self.whole(b) for b in bodies], dtype=np.int64).reshape(len(bodies), len(self.bases))
+    def fold(self, residues: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Two longs for each row of residues."""
         half = len(self.bases) // 2
-        fold = lambda x: x[:, 0] if x.shape[1] == 1 else x[:, 0] << 31 | x[:, 1]
-        return fold(r[:, :half]), fold(r[:, half:])
+        pair = lambda x: x[:, 0] if x.shape[1] == 1 else x[:, 0] << 31 | x[:, 1]
+        return pair(residues[:, :half]), pair(residues[:, half:])
+
+    def keys(self, bodies: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Two longs for each byte string."""
+        return self.fold(np.array([self.whole(b) for b in bodies], dtype=np.int64).reshape(len(bodies), len(self.bases)))
 
 
-def same(a: bytes, b: bytes) -> bool:
-    """Chunkwise comparison, which ends at the first chunk that differs."""
-    if len(a) != len(b):
-        return False
-    x, y = memoryview(a), memoryview(b)
-    return all(x[k : k + CHUNK] == y[k : k + CHUNK] for k in range(0, len(a), CHUNK))
+def chunks_of(text: str, points: int = CHUNK) -> Iterator[bytes]:
+    """body_of a text in pieces of so many code points, less their blanks: a long body is never made whole."""
+    for a in range(0, len(text), points):
+        if part := body_of(text[a : a + points]):
+            yield part
 
 
 def body_of(text: str | None) -> bytes:
@@ -80,95 +84,120 @@ def body_of(text: str | None) -> bytes:
     return (text or "").encode().translate(None, _DROP)
 
 
-def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", prime: int = PRIME, bases: tuple[int, ...] = BASES) -> DataFrame:
+def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", prime: int = PRIME, bases: tuple[int, ...] = BASES, long_text: int = LONG) -> DataFrame:
     """One row per row of docs: (doc_id, keep_id, group_size, kept, text_sha256).
 
     Texts are equal when identical after deleting blanks. Of equal texts the row with the most code points stays, then
-    the smallest id. Fingerprints are grouped with partial aggregation; only rows whose fingerprint may be in a group
-    of two or more (a bitmap of fixed size tells) are shuffled with their texts and compared with the text that
-    would stay. A group of more than RUN rows is split, each part with a copy of that text. Rows that differ from it in
-    spite of equal fingerprints form groups of their own, so the result never depends on the fingerprint.
+    the smallest id.
+
+    1. Every text gets a fingerprint. Of one longer than long_text the chunks become rows that many workers hash; a chunk's
+       residues move up by the length of what follows it, and their sum is the text's, by partial aggregation.
+    2. Fingerprints are grouped by partial aggregation. A bitmap of fixed size tells which ids may be in a group of two
+       or more; only those texts are read again and streamed as chunks through an aggregation by fingerprint, number
+       and bytes of the chunk. Equal chunks meet before the shuffle, so a group of any size sends each task's distinct
+       chunks, and no text is held whole beside another.
+    3. A group in which some chunk has two contents isn't one: its rows are grouped by digest, so the result never
+       depends on the fingerprint.
 
     Nulls: a null text counts as empty; a null id is an id of its own, smaller than others. Empty text: all empty texts
-    are equal. Very long text: chunks of 64 KiB, memory in proportion to one text. Ties: smallest id. Repeated rows:
-    counted each, and marked kept each if their id is the one that stays (keep_first takes one of them). Empty table: no rows. Other columns are ignored.
+    are equal. Very long text: memory in proportion to one text. Ties: smallest id. Repeated rows: counted each, and
+    marked kept each if their id is the one that stays (keep_first takes one of them). Empty table: no rows. Other
+    columns are ignored.
     """
+    spark = docs.sparkSession
     base = docs.select(as_id(docs, id_col), docs[text_col].alias("text"))
     make = lambda: worker_value(("Polynomials", prime, bases), lambda: Polynomials(prime, bases))
+    residues = [f"r{k}" for k in range(len(bases))]
+    types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.binary(), *[pa.int64()] * len(bases)]
+    names = ["row", "doc_id", "points", "size", "sha", "number", "after", "chunk", *residues]
 
     def fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        p, row = make(), TaskContext.get().partitionId() << 40
+        as_rows = lambda out: pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True) if out else [()] * len(types), types, strict=True)], names=names)
+        for b in in_groups(batches):
+            out = []
+            for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                text, row = text or "", row + 1
+                if len(text) <= long_text:
+                    body = body_of(text)
+                    out.append((row, doc, len(text), len(body), hashlib.sha256(body).hexdigest(), None, None, None, *p.whole(body).tolist()))
+                    continue
+                sha, size = hashlib.sha256(), sum(map(len, chunks_of(text)))
+                after = size
+                for number, chunk in enumerate(chunks_of(text)):
+                    sha.update(chunk)
+                    after -= len(chunk)
+                    out.append((row, doc, len(text), size, None, number, after, chunk, *[None] * len(bases)))
+                    if len(out) >= 64:
+                        yield as_rows(out)
+                        out = []
+                out.append((row, doc, len(text), size, sha.hexdigest(), None, None, None, *[None] * len(bases)))
+            yield as_rows(out)
+
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p = make()
         for b in batches:
-            texts = b.column(1).to_pylist()
-            bodies = [body_of(t) for t in texts]
-            one, two = p.keys(bodies)
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array([len(t or "") for t in texts], pa.int64()), pa.array(map(len, bodies), pa.int64()), pa.array(one), pa.array(two), pa.array([hashlib.sha256(x).hexdigest() for x in bodies])],
-                names=["doc_id", "points", "size", "f1", "f2", "sha"],
-            )
+            r = np.array([p.shift(after) * p.whole(chunk) % prime for after, chunk in zip(b.column("after").to_pylist(), b.column("chunk").to_pylist(), strict=True)], dtype=np.int64).reshape(b.num_rows, len(bases))
+            yield pa.RecordBatch.from_arrays([b.column("row"), *(pa.array(r[:, k]) for k in range(len(bases)))], names=["row", *residues])
+
+    schema = "row long, doc_id long, points long, size long, sha string, number long, after long, chunk binary, " + ", ".join(f"{r} long" for r in residues)
+    read = cut(base.mapInArrow(fingerprints, schema), "fingerprints")
+    parts = read.filter("chunk is not null").select("row", "number", "after", "chunk").repartition("row", "number")
+    summed = parts.mapInArrow(hashed, "row long, " + ", ".join(f"{r} long" for r in residues)).groupBy("row").agg(*(F.pmod(F.sum(r), F.lit(prime)).alias(r) for r in residues))
+    whole = read.filter(f"chunk is null and {residues[0]} is not null").select("doc_id", "points", "size", "sha", *residues)
+    long = read.filter(f"chunk is null and {residues[0]} is null").select("row", "doc_id", "points", "size", "sha").join(summed, "row", "left").fillna(0, residues).select(*whole.columns)
+    half = len(bases) // 2
+    pair = lambda r: F.col(r[0]) if len(r) == 1 else F.shiftleft(r[0], 31).bitwiseOR(F.col(r[1]))
+    one = whole.unionByName(long).select("doc_id", "points", "size", "sha", pair(residues[:half]).alias("f1"), pair(residues[half:]).alias("f2"))
 
+    key = ["f1", "f2", "size"]
     best = F.min(F.struct((-F.col("points")).alias("less"), "doc_id")).alias("best")
-    groups = cut(
-        base.mapInArrow(fingerprints, "doc_id long, points long, size long, f1 long, f2 long, sha string")
-        .groupBy("f1", "f2", "size")
-        .agg(F.count(F.lit(1)).alias("n"), best, F.min("sha").alias("sha")),
-        "exact-groups",
-    )
+    groups = cut(one.groupBy(*key).agg(F.count(F.lit(1)).alias("n"), best, F.min("sha").alias("sha")), "exact-groups")
     multi = groups.filter("n > 1")
-    bits = docs.sparkSession.sparkContext.broadcast(bitmap_of(multi, F.col("f1")))
-
-    def candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        p, bitmap = make(), np.frombuffer(bits.value, dtype=np.uint8)
-        for b in batches:
-            texts = b.column(1).to_pylist()
-            bodies = [body_of(t) for t in texts]
-            one, two = p.keys(bodies)
-            at = np.flatnonzero(maybe_in(bitmap, one))
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0).take(pa.array(at)), pa.array([len(texts[k] or "") for k in at], pa.int64()), pa.array([len(bodies[k]) for k in at], pa.int64()), pa.array(one[at]), pa.array(two[at]), pa.array([bodies[k] for k in at], pa.binary())],
-                names=["doc_id", "points", "size", "f1", "f2", "body"],
-            )
+    listed = spark.sparkContext.broadcast(bitmap_of(multi, F.col("f1")))
 
-    key = ["f1", "f2", "size"]
-    runs = F.ceil(F.col("n") / RUN).cast("int")
-    members = (
-        base.mapInArrow(candidates, "doc_id long, points long, size long, f1 long, f2 long, body binary")
-        .join(multi.select(*key, "n", F.col("best.doc_id").alias("first_id")), key)
-        .withColumn("first", F.col("doc_id").eqNullSafe(F.col("first_id")))
-        .withColumn("own", F.pmod(F.xxhash64("doc_id"), runs).cast("int"))
-        .withColumn("run", F.explode(F.when(F.col("first"), F.sequence(F.lit(0), runs - 1)).otherwise(F.array("own"))))
-    )
-
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, first = None, b""
+    def members_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bitmap = np.frombuffer(listed.value, dtype=np.uint8)
         for b in batches:
-            c = {n: b.column(n).to_pylist() for n in ("f1", "f2", "size", "run", "body", "first", "run", "own")}
-            out = []
-            for k in range(b.num_rows):
-                at = c["f1"][k], c["f2"][k], c["size"][k], c["run"][k]
-                if at != held:
-                    held, first = at, c["body"][k]
-                out.append((same(first, c["body"][k]), hashlib.sha256(c["body"][k]).hexdigest(), not c["first"][k] or c["run"][k] == c["own"][k]))
-            equal, sha, real = zip(*out, strict=True) if out else ((), (), ())
-            found = pa.RecordBatch.from_arrays([*(b.column(n) for n in ("f1", "f2", "size", "doc_id", "points", "first_id", "n")), pa.array(equal, pa.bool_()), pa.array(sha, pa.string())], names=["f1", "f2", "size", "doc_id", "points", "first_id", "n", "equal", "sha"])
-            yield found.filter(pa.array(real, pa.bool_()))
-
-    compared = cut(
-        members.repartition(*key, "run")
-        .sortWithinPartitions(*key, "run", F.col("first").desc())
-        .mapInArrow(compare, "f1 long, f2 long, size long, doc_id long, points long, first_id long, n long, equal boolean, sha string"),
-        "exact-compared",
-    )
-    differ = compared.filter("not equal")
-    fewer = differ.groupBy(*key).agg(F.count(F.lit(1)).alias("others"))
-    own = differ.groupBy(*key, "sha").agg(F.count(F.lit(1)).alias("group_size"), best)
+            yield b.filter(pa.array(maybe_in(bitmap, b.column("f1").to_numpy()), pa.bool_()))
+
+    members = cut(one.mapInArrow(members_of, "doc_id long, points long, size long, sha string, f1 long, f2 long").join(multi.select(*key, F.col("best.doc_id").alias("first_id"), "n"), key), "exact-members")
+    ids = spark.sparkContext.broadcast(bitmap_of(members, F.coalesce("doc_id", F.lit(0))))
+
+    def streamed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        p, bitmap = make(), np.frombuffer(ids.value, dtype=np.uint8)
+        for b in in_groups(batches):
+            texts = b.filter(pa.array(maybe_in(bitmap, b.column(0).fill_null(0).to_numpy()), pa.bool_())).column(1).to_pylist()
+            for text in texts:
+                mark, size = np.zeros(len(bases), dtype=np.int64), 0
+                for chunk in chunks_of(text or ""):
+                    mark, size = p.combine(mark, p.whole(chunk), len(chunk)), size + len(chunk)
+                f1, f2 = (int(x[0]) for x in p.fold(mark.reshape(1, -1)))
+                for number, chunk in enumerate(chunks_of(text or "", CHUNK)):
+                    yield f1, f2, size, number, chunk
+
+    def as_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds, out, held = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()], [], 0
+        as_rows = lambda: pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True) if out else [()] * 5, kinds, strict=True)], names=[*key, "number", "chunk"])
+        for row in streamed(batches):
+            out.append(row)
+            held += len(row[4])
+            if held > LONG:
+                yield as_rows()
+                out, held = [], 0
+        yield as_rows()
+
+    contents = base.mapInArrow(as_chunks, "f1 long, f2 long, size long, number long, chunk binary").groupBy(*key, "number", "chunk").agg(F.count(F.lit(1)).alias("times"))
+    mixed = cut(contents.groupBy(*key, "number").agg(F.count(F.lit(1)).alias("contents")).filter("contents > 1").select(*key).distinct().join(multi.select(*key), key, "left_semi"), "exact-mixed")
+    apart = members.join(mixed, key)
+    own = apart.groupBy(*key, "sha").agg(F.count(F.lit(1)).alias("group_size"), best)
     result = lambda df, keep, size: df.select(
         "doc_id", keep.alias("keep_id"), size.cast("long").alias("group_size"), F.col("doc_id").eqNullSafe(keep).alias("kept"), F.col("sha").alias("text_sha256")
     )
     return (
         result(groups.filter("n = 1").withColumn("doc_id", F.col("best.doc_id")), F.col("doc_id"), F.lit(1))
-        .unionByName(result(compared.filter("equal").join(fewer, key, "left"), F.col("first_id"), F.col("n") - F.coalesce(F.col("others"), F.lit(0))))
-        .unionByName(result(differ.join(own, [*key, "sha"]), F.col("best.doc_id"), F.col("group_size")))
+        .unionByName(result(members.join(mixed, key, "left_anti"), F.col("first_id"), F.col("n")))
+        .unionByName(result(apart.join(own, [*key, "sha"]), F.col("best.doc_id"), F.col("group_size")))
     )
 
 
@@ -183,26 +212,37 @@ def one_each(docs: DataFrame, kept: DataFrame, by: list[str], id_col: str, text_
     Only rows of ids that kept has more than once are shuffled with all their columns, by partial aggregation: the row
     with the most code points stays, then the first by its JSON.
     """
-    row = docs.withColumns({"_stays": docs[id_col].cast("long"), "_sha": body_sha(docs[text_col])})
+    stays, sha, other = fresh(docs, "stays", "sha", "row")
+    row = docs.withColumns({stays: docs[id_col].cast("long"), sha: body_sha(docs[text_col])})
     times = cut(kept.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")), "kept-ids")
     once = times.filter("n = 1").select("doc_id")
-    again = kept.join(times.filter("n > 1").select(F.col("doc_id").alias("_again")), F.col("doc_id").eqNullSafe(F.col("_again")), "left_semi").select(*by).distinct()
+    many = times.filter("n > 1").select(F.col("doc_id").alias("again"))
+    again = kept.join(many, F.col("doc_id").eqNullSafe(F.col("again")), "left_semi").select(*by).distinct()
 
     def met(stay: DataFrame, keys: list[str]) -> DataFrame:
-        on = F.col("_stays").eqNullSafe(F.col("doc_id_")) & (F.col("_sha") == F.col("text_sha256_") if "text_sha256" in keys else F.lit(True))
-        return row.join(stay.select(*(F.col(k).alias(f"{k}_") for k in keys)), on, "left_semi")
+        named = dict(zip(keys, fresh(docs, *(f"kept_{k}" for k in keys)), strict=True))
+        on = F.col(stays).eqNullSafe(F.col(named["doc_id"])) & (F.col(sha) == F.col(named["text_sha256"]) if "text_sha256" in keys else F.lit(True))
+        return row.join(stay.select(*(F.col(k).alias(n) for k, n in named.items())), on, "left_semi")
 
-    if times.filter("n > 1").isEmpty():
+    if many.isEmpty():
         return met(once, by[:1]).select(*docs.columns)
     best = F.struct(-F.length(F.coalesce(F.col(text_col), F.lit(""))), F.to_json(F.struct(*docs.columns)))
-    first = met(again, by).groupBy("_stays", "_sha").agg(F.min_by(F.struct(*docs.columns), best).alias("row")).select("row.*")
+    first = met(again, by).groupBy(stays, sha).agg(F.min_by(F.struct(*docs.columns), best).alias(other)).select(f"{other}.*")
     return met(once, by[:1]).select(*docs.columns).unionByName(first)
 
 
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row of docs for each group of equal texts, with all its columns: also of rows that repeat the id that stays."""
-    groups = cut(exact_groups(docs, id_col, text_col).select("doc_id", "kept", "text_sha256"), "exact-kept")
-    repeated = groups.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(F.col("doc_id").alias("_again"))
-    # an id that stays once, but is that of other rows too, also has to be met by its text
-    twice = groups.join(repeated, F.col("doc_id").eqNullSafe(F.col("_again")), "left_semi").filter("kept")
-    return one_each(docs, groups.filter("kept").select("doc_id", "text_sha256").unionByName(twice.select("doc_id", "text_sha256")), ["doc_id", "text_sha256"], id_col, text_col)
+    """One row of docs for each group of equal texts, with all its columns: also of rows that repeat the id that stays.
+
+    Nulls, empty and very long texts, ties and empty tables as in exact_groups; repeated rows: one stays, the first by
+    its JSON if other columns differ. Other columns, whatever their names, are kept.
+    """
+    groups = cut(exact_groups(docs, id_col, text_col).filter("kept").select("doc_id", "text_sha256"), "exact-kept")
+    return one_each(docs, met_by_text(docs, groups, id_col, text_col), ["doc_id", "text_sha256"], id_col, text_col)
+
+
+def met_by_text(docs: DataFrame, kept: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """kept, with the rows doubled whose id other rows of docs have too: these have to be met by their text."""
+    ids = docs.select(as_id(docs, id_col)).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(F.col("doc_id").alias("again"))
+    twice = kept.join(ids, F.col("doc_id").eqNullSafe(F.col("again")), "left_semi")
+    return kept.unionByName(twice)
