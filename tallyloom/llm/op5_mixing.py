@@ -5,11 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyloom.llm.columns import WORD, as_id
+from tallyloom.llm.columns import WORD, as_id, fresh
 from tallyloom.shared import cut
 
 #: Hash buckets of a source: sums over them stand in for its documents, so no window holds a whole source.
 BUCKETS = 1 << 16
+#: Sources up to which their plan (some 100 bytes each) is broadcast, and tasks that share one source beyond.
+MOST_SOURCES, SALTS = 10_000, 64
 
 
 def words_in(text: Column) -> Column:
@@ -17,35 +19,49 @@ def words_in(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
+def in_order(sources: DataFrame) -> DataFrame:
+    """sources with place, from 0: in order of code points, null last. No task orders all of them: ranges are ordered, and counts of ranges added."""
+    order = [F.col("source").isNull(), F.col("source")]
+    ranged = cut(sources.repartitionByRange(*order).withColumn("range", F.spark_partition_id()), "mix-ranges")
+    counts = ranged.groupBy("range").agg(F.count(F.lit(1)).alias("n"))
+    before = counts.select("range", F.coalesce(F.sum("n").over(Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    inside = F.row_number().over(Window.partitionBy("range").orderBy(*order)) - 1
+    return ranged.join(before, "range").withColumn("place", inside + F.col("before")).drop("range", "before")
+
+
 def water_fill(sources: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, epochs: int = 2) -> DataFrame:
     """(source, source_size, target, goal): sources is (source, source_size), one row per source.
 
     Sources in order of code points, null last, get the weights in turn and share `share` times all words. A source
-    stops at `epochs` times its own size and what it can't take goes to the others by weight, until none is above.
-    The end of that exchange is one water level L with target = min(epochs * size, L * weight). With sources in order
-    of epochs * size / weight, those before the first one that the level of the rest leaves below its cap are clamped.
-    The windows run over one row per source, a table of sources and not of documents.
+    stops at `epochs` times its own size and what it can't take goes to the others by weight, until none is above:
+    each round clamps the sources above the level of the last one and finds the level that the rest of the words
+    gives to the others, one row of sums a round. No round after the level stays.
     """
-    order = Window.orderBy(F.col("source").isNull(), "source")
-    cap = F.col("source_size") * F.lit(epochs)
-    ranked = Window.orderBy("fill", "place")
-    before = ranked.rowsBetween(Window.unboundedPreceding, -1)
-    whole = Window.partitionBy(F.lit(1))
     turn = F.array(*map(F.lit, weights))
-    s = (
-        sources.withColumn("place", F.row_number().over(order) - 1)
-        .withColumn("weight", F.element_at(turn, (F.col("place") % len(weights) + 1).cast("int")).cast("double"))
-        .withColumn("cap", cap.cast("double"))
-        .withColumn("fill", F.col("cap") / F.col("weight"))
-        .withColumn("left", F.sum("source_size").over(whole) * F.lit(share) - F.coalesce(F.sum("cap").over(before), F.lit(0.0)))
-        .withColumn("heavy", F.sum("weight").over(whole) - F.coalesce(F.sum("weight").over(before), F.lit(0.0)))
-        .withColumn("level", F.col("left") / F.col("heavy"))
-    )
-    level = F.min(F.when(F.col("fill") > F.col("level"), F.struct("fill", "place", "level"))).over(whole)["level"]
-    target = F.when(level.isNull(), F.col("cap")).otherwise(F.least(F.col("cap"), level * F.col("weight")))
+    weight = F.element_at(turn, (F.col("place") % len(weights) + 1).cast("int")).cast("double")
+    s = in_order(sources).withColumn("weight", weight).withColumn("cap", (F.col("source_size") * F.lit(epochs)).cast("double")).withColumn("fill", F.col("cap") / F.col("weight"))
+    s = cut(s, "mix-sources")
+    level, words = -1.0, (s.agg(F.sum("source_size").alias("n")).first().n or 0) * share
+    while True:
+        free = F.col("fill") > level
+        sums = s.agg(F.sum(F.when(free, F.col("weight"))).alias("weight"), F.sum(F.when(~free, F.col("cap"))).alias("clamped")).first()
+        found = (words - (sums.clamped or 0.0)) / sums.weight if sums.weight else None
+        if found is None or found == level:
+            break
+        level = found
+    target = F.col("cap") if found is None else F.least(F.col("cap"), F.lit(level) * F.col("weight"))
     return s.withColumn("target", target).select("source", "source_size", "target", F.floor(F.col("target") + 0.5).cast("long").alias("goal"))
 
 
+def meet(docs: DataFrame, plan: DataFrame) -> DataFrame:
+    """docs joined to the plan of their source: the plan is broadcast if it is small, else each source is dealt over SALTS tasks."""
+    same = F.col("source").eqNullSafe(F.col("s"))
+    if plan.count() <= MOST_SOURCES:
+        return docs.join(F.broadcast(plan), same)
+    salted = plan.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return docs.join(salted, same & (F.col("bucket") % SALTS == F.col("salt"))).drop("salt")
+
+
 def mix(
     docs: DataFrame,
     weights: tuple[int, ...] = (3, 1, 2),
@@ -63,8 +79,8 @@ def mix(
     A document takes at most `epochs` times its size.
 
     Sums by (source, bucket of that order) are aggregated before they are shuffled, and tell in which bucket the rest
-    ends; only that bucket's documents are put in order. Sources meet documents in a join that AQE may broadcast or
-    split. Reruns agree: nothing depends on partitions.
+    ends; only that bucket's documents are put in order. The sources' plan meets documents by broadcast up to
+    MOST_SOURCES sources, beyond that in a salted join. Reruns agree: nothing depends on partitions.
 
     Nulls: a null text has size 0; a null source is a source of its own, the last; a null id hashes as empty. Empty
     text: size 0, takes 0. Very long text: counted whole, may be the one that is taken in part. Ties in the order
@@ -88,7 +104,7 @@ def mix(
     )
     plan = plan.join(last, F.col("source").eqNullSafe(F.col("ends_in")) & F.col("end").isNotNull(), "left")
     plan = cut(plan.select(F.col("source").alias("s"), "source_size", "target", "times", "end", "need"), "mix-plan")
-    joined = sized.join(plan, F.col("source").eqNullSafe(F.col("s")))
+    joined = meet(sized, plan)
     at_end = F.coalesce(F.col("bucket") == F.col("end"), F.lit(False))
     inside = Window.partitionBy("source").orderBy("digest", "doc_id").rowsBetween(Window.unboundedPreceding, -1)
     part = F.greatest(F.lit(0), F.least(F.col("size"), F.col("need") - F.coalesce(F.sum("size").over(inside), F.lit(0))))
@@ -112,14 +128,17 @@ def repeat_documents(
     A document that takes part of its words beyond whole repetitions (one per source at most) gives one more row with
     that many first words, joined by one space; an n_chars column follows the text. Documents that take nothing go.
     Rows that share an id are one document here: their takes are equal unless one of them is the one that is cut, and
-    then each of them takes the largest. Nulls, empty texts and empty tables as in `mix`; columns keep their names.
+    then each of them takes the largest. Nulls, empty texts and empty tables as in `mix`; columns keep their names,
+    whatever they are.
     """
-    taken = mix(docs, weights, share, epochs, seed, id_col, text_col, source_col).groupBy(F.col("doc_id").alias("_id")).agg(F.max("taken").alias("_taken"), F.max("size").alias("_size"))
-    d = docs.join(taken.filter("_taken > 0"), docs[id_col].cast("long").eqNullSafe(F.col("_id")))
-    whole = F.floor(F.col("_taken") / F.col("_size")).cast("int")
-    rest = (F.col("_taken") % F.col("_size")).cast("int")
-    copies = d.withColumn("_copy", F.explode(F.sequence(F.lit(0), whole - F.when(rest > 0, 0).otherwise(1))))
-    cut_here = F.col("_copy") == F.when(rest > 0, whole).otherwise(-1)
+    ident, takes, size, copy = fresh(docs, "id", "taken", "size", "copy")
+    mixed = mix(docs, weights, share, epochs, seed, id_col, text_col, source_col)
+    taken = mixed.groupBy(F.col("doc_id").alias(ident)).agg(F.max("taken").alias(takes), F.max("size").alias(size))
+    d = docs.join(taken.filter(F.col(takes) > 0), docs[id_col].cast("long").eqNullSafe(F.col(ident)))
+    whole = F.floor(F.col(takes) / F.col(size)).cast("int")
+    rest = (F.col(takes) % F.col(size)).cast("int")
+    copies = d.withColumn(copy, F.explode(F.sequence(F.lit(0), whole - F.when(rest > 0, 0).otherwise(1))))
+    cut_here = F.col(copy) == F.when(rest > 0, whole).otherwise(-1)
     part = F.array_join(F.slice(F.regexp_extract_all(F.col(text_col), F.lit(f"({WORD})"), F.lit(1)), 1, rest), " ")
     out = copies.withColumn(text_col, F.when(cut_here, part).otherwise(F.col(text_col)))
     if "n_chars" in docs.columns:
