@@ -174,6 +174,24 @@ def test_exact_groups(docs, rows, nothing):
     assert op4_exact_dedup.exact_groups(nothing).count() == 0
 
 
+def test_chunks_of_long_texts_are_hashed_as_rows(docs, rows):
+    for long in (0, 40):
+        assert Counter(map(tuple, op4_exact_dedup.exact_groups(docs, long_text=long).collect())) == Counter(brute_exact(rows))
+
+
+def test_names_of_other_columns_never_clash(spark):
+    """Columns called like those that the operators make on the way, in any case."""
+    names = ["stays", "sha", "row", "again", "kept_doc_id", "kept_text_sha256", "taken", "SIZE", "copy", "id", "_size", "_copy", "source"]
+    text = " ".join(f"w{k}" for k in range(60))
+    docs = spark.createDataFrame([(k, t, *map(str, range(len(names)))) for k, t in enumerate([text, text, text + " x", None, "other"])], f"doc_id long, text string, {', '.join(f'`{n}` string' for n in names)}")
+    docs = docs.union(docs.limit(1))
+    for f in (op4_exact_dedup.keep_first, op8_minhash.keep_one):
+        got = f(docs)
+        assert got.columns == docs.columns and {r.doc_id for r in got.collect()} == ({0, 2, 3, 4} if f is op4_exact_dedup.keep_first else {0, 3, 4}) and {r._copy for r in got.collect()} == {"11"}
+    mixed = op5_mixing.repeat_documents(docs.limit(5))
+    assert mixed.columns == docs.columns and {r["SIZE"] for r in mixed.collect()} == {"7"}
+
+
 def test_exact_groups_do_not_depend_on_the_fingerprint(docs, rows):
     weak = op4_exact_dedup.exact_groups(docs, prime=3, bases=(1, 1))
     assert Counter(map(tuple, weak.collect())) == Counter(brute_exact(rows))
@@ -285,7 +303,9 @@ def brute_passages(rows, k=20):
         yield r[0], len(docs[r[0]]), len(gone[r[0]]), hashlib.sha256(" ".join(kept).encode()).hexdigest()
 
 
-def test_passages(docs, rows, nothing, monkeypatch):
+@pytest.mark.parametrize("hot", [10_000, 1])
+def test_passages(docs, rows, nothing, monkeypatch, hot):
+    monkeypatch.setattr(op7_substring_dedup, "HOT", hot)
     want = Counter(brute_passages(rows))
     assert Counter(tuple(r)[:4] for r in op7_substring_dedup.remove_repeats(docs).collect()) == want
     assert any(x[2] for x in want)
@@ -352,9 +372,13 @@ def test_near_groups(docs, rows, nothing, monkeypatch, block):
         assert op8_minhash.near_groups(nothing).count() == 0
 
 
-def test_near_groups_of_one_family(spark, monkeypatch):
+@pytest.mark.parametrize("few", [0, 1000])
+def test_near_groups_of_one_family(spark, monkeypatch, few):
     """Copies of one text with many edits: a bucket whose pairs lie on both sides of the threshold, in several blocks."""
     monkeypatch.setattr(op8_minhash, "BLOCK", 16)
+    monkeypatch.setattr(op8_minhash, "OUTSIDERS", 3)
+    monkeypatch.setattr(op8_minhash, "MEMBERS", 10)
+    monkeypatch.setattr(op8_minhash, "FEW", few)
     r = random.Random(9)
     base = [f"w{k}" for k in range(120)]
     rows = []
@@ -367,6 +391,31 @@ def test_near_groups_of_one_family(spark, monkeypatch):
     assert got == Counter(brute_near(rows, 5))
 
 
+def test_no_member_of_a_forest_has_many_links():
+    r = np.random.default_rng(3)
+    base = r.integers(0, 1 << 63, 400, dtype=np.uint64)
+    bits = op8_minhash.as_bits([op8_minhash.pack_bits(np.unique(np.concatenate([base, r.integers(0, 1 << 63, 4, dtype=np.uint64)]))) for _ in range(300)])
+    found = op8_minhash.forest(np.arange(300), bits, 0.8)
+    assert len(found) == 299 and max(Counter(x for pair in found for x in pair).values()) <= op8_minhash.CHILDREN + 1
+
+
+def test_words_of_many_texts_at_once():
+    """Hashes and minimisers follow from the words alone, wherever they stand."""
+    from tallyloom.llm.shingles import Words, lowered, minimisers
+
+    texts = ["", " a  b\x0bc ", "x" * 64 + " " + "x" * 65 + " " + "y" * 8 + " " + "y" * 9, "One two THREE four", "one two three four five", "Ä ä", None, " ".join(map(str, range(300)))]
+    data = [lowered(t) for t in texts]
+    words = Words(data)
+    for k, t in enumerate(data):
+        own = Words([t])
+        assert [words.data[a:z] for a, z in zip(words.start, words.end)][words.first[k] : words.first[k + 1]] == t.split()
+        assert (words.hashes()[words.first[k] : words.first[k + 1]] == own.hashes()).all()
+        assert len(set(own.hashes().tolist())) == len(set(t.split()))
+        assert (words.shingle_sets(4)[k] == own.shingle_sets(4)[0]).all()
+    text, first, number, key = minimisers(words, 20, 4)
+    assert set(text) == {7} and number.sum() == 281 and [*first, 281 + words.first[7]][1:] == (first + number).tolist()
+
+
 def test_estimates_are_near_the_truth():
     r = np.random.default_rng(1)
     for n in (60, 600, 6000):
@@ -403,6 +452,35 @@ def test_arc_parses_both_versions_and_recovers():
     assert back[0].block == r.block and back[1].fields["WARC-Refers-To"] == "<urn:uuid:1>" and back[1].block == b"HTTP/1.1 200 OK\r\n\r\n"
 
 
+def test_foreign_archives_keep_their_bytes(spark, tmp_path):
+    """Latin-1 text, an image and a Latin-1 URL, from an uncompressed file that others wrote; each record is a gzip member."""
+    import gzip
+    import subprocess
+
+    latin, image = "é".encode("latin-1") * 150, bytes(range(256)) * 3
+    arc = op10_arc.version_block(1, "f.arc", "20010101000000") + b"\n"
+    for url, ip, body in ((b"http://a/\xe9", b"1.2.3.4", b"HTTP/1.0 200 OK\r\nX-Page-Id: 1\r\n\r\n" + latin), (b"http://a/i", b"-", b"HTTP/1.0 200 OK\r\nX-Page-Id: 2\r\n\r\n" + image), (b"dns:a", b"-", image)):
+        arc += url + b" " + ip + b" 20010101000000 text/html " + str(len(body)).encode() + b"\n" + body + b"\n"
+    (tmp_path / "arc").mkdir()
+    (tmp_path / "arc" / "f.arc").write_bytes(arc)
+    op10_arc.convert(spark, str(tmp_path / "arc"), str(tmp_path / "warc"), pages=3)
+    got = {r.target_uri: (r.payload_bytes, r.payload_digest, r.record_type) for r in op10_arc.read_back(spark, str(tmp_path / "warc")).collect()}
+    digest = lambda x: hashlib.sha256(x).hexdigest()
+    assert got == {"http://a/%E9": (150, digest(latin), "response"), "http://a/i": (768, digest(image), "response"), "dns:a": (768, digest(image), "resource")}
+    (part,) = [f for f in (tmp_path / "warc").glob("part-*") if f.stat().st_size > 1]
+    data = part.read_bytes()
+    assert data.count(op10_arc._MEMBER) == 4 and latin in gzip.decompress(data) and image in gzip.decompress(data)
+    assert subprocess.run(["gzip", "-dc"], input=data, capture_output=True).stdout == gzip.decompress(data)
+
+
+def test_many_revisits_are_joined(spark, monkeypatch):
+    monkeypatch.setattr(op10_arc, "MOST_PAIRS", 0)
+    rows = [(k, f"http://a/{k}", ("x" if k % 3 else "y" * (k % 2 + 1)) * 200) for k in range(30)]
+    got = {r.page_id: r.refers_to for r in op10_arc.archive_round_trip(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)).collect()}
+    first = {h: min(p for p, _, x in rows if x == h) for _, _, h in rows}
+    assert got == {p: None if p == first[h] else first[h] for p, _, h in rows}
+
+
 def test_archive_round_trip(spark):
     long = "WARC/1.1\r\nContent-Length: 3\r\n\r\né" * 9000
     rows = [(1, "http://a/", "x" * 99), (2, "http://a/", "x" * 99), (3, "http://a/ b", long), (4, None, long), (5, "http://c/", None), (6, "http://c/", ""), (7, "http://d/", "y\n\n" * 40), (7, "http://d/", "y\n\n" * 40), (8, "http://d/", "y\n\n" * 40), (None, "http://e/", "z" * 200)]
