@@ -109,8 +109,8 @@ def repeated_passages(docs: DataFrame, window: int = 20, id_col: str = "doc_id",
     counts minimisers with partial aggregation; a bitmap of fixed size over those that occur twice or more keeps
     the other super-k-mers out of the shuffle. The windows of a minimiser with more than HOT super-k-mers (a second
     bitmap tells) travel one by one to the bucket of their own hash, so a bucket holds HOT strings or one window. Equal
-    strings of GROUP documents are one row (the later ones are marked at once), so a passage that a third of all rows
-    share reaches its bucket once a group. A bucket is read as a sorted stream and sorted CHUNK strings at a time.
+    strings of GROUP documents are one row (the later ones are marked at once and dealt by document), so a passage that
+    a third of all rows share reaches its bucket once a group. A bucket is read as a sorted stream and sorted CHUNK strings at a time.
     """
     spark = docs.sparkSession
     base = docs.select(F.coalesce(as_id(docs, id_col), F.lit(_NO_ID).cast("long")).alias("doc_id"), docs[text_col].alias("text"))
@@ -151,9 +151,9 @@ def repeated_passages(docs: DataFrame, window: int = 20, id_col: str = "doc_id",
                     held[packed] = doc, a, xxhash.xxh3_64_intdigest(packed) - (1 << 63) if alone else k
                 elif (doc, a) < was[:2]:
                     held[packed] = doc, a, was[2]
-                    out.append((was[2], was[0], was[1], n, None))
+                    out.append((was[0], was[0], was[1], n, None))
                 elif (doc, a) != was[:2]:
-                    out.append((was[2], doc, a, n, None))
+                    out.append((doc, doc, a, n, None))  # is marked already: dealt by document, not to the bucket
             out += [(key, doc, a, 0, packed) for packed, (doc, a, key) in held.items()]
             for at in range(0, len(out), 50_000):
                 c = list(zip(*out[at : at + 50_000], strict=True))
