@@ -58,28 +58,29 @@ def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(table(spark, sf_dir, "documents")).drop("kept_text")
 
 
-def op9_url_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """pages has no time of fetching and no list comes with it: both follow from rules, stated below and in the SQL."""
-    from tallyloom.llm.op9_url_lists import active_entries, host_of
+#: What the entries of the list name, in turn (kind, pattern).
+LISTED = (
+    ("domain", "example.com"), ("domain", "example.net"), ("domain", "example.org"), ("label", "www"), ("label", "blog"), ("label", "m"),
+    ("label", "cheap-pills"), ("path", "/en"), ("path", "/de"), ("path", "/fr"), ("path", "/es"),
+)
 
-    pages = table(spark, sf_dir, "pages")
-    captures = pages.select("page_id", "url", F.expr("date_add(date'2024-01-01', cast(pmod(page_id, 366) as int))").alias("fetched_on"))
-    hosts = pages.select(host_of(F.col("url")).alias("host")).filter("host <> ''").distinct()
-    rows = [f"named_struct('m', {m}, 'kind', '{kind}', 'pattern', {what}, 'category', '{category}', 'action', '{action}', 'listed_on', date'{day}')" for m, kind, what, category, action, day in LISTED]
-    entries = hosts.selectExpr("host", f"inline(array({', '.join(rows)}))").filter("length(host) % 4 = m")
-    return active_entries(captures, entries).withColumn("fetched_on", F.col("fetched_on").cast("string"))
 
+def op9_url_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages against a dated list of one entry per row of events.
 
-#: (length of a host's name mod 4, kind, what of the host is the pattern, category, action, day): hosts that are listed,
-#: taken off and listed again, the domain above a host (listed and taken off), and a part of a host's paths.
-LISTED = (
-    (0, "host", "host", "spam", "add", "2024-02-01"),
-    (0, "host", "host", "spam", "remove", "2024-05-01"),
-    (0, "host", "host", "spam", "add", "2024-09-15"),
-    (1, "domain", "regexp_extract(host, '([^.]+[.][^.]+)$', 1)", "adult", "add", "2024-03-10"),
-    (1, "domain", "regexp_extract(host, '([^.]+[.][^.]+)$', 1)", "adult", "remove", "2024-04-10"),
-    (2, "prefix", "concat(host, '/en')", "malware", "add", "2024-06-01"),
-)
+    An event adds or removes (k even or odd), at its time, the pattern number event_id modulo their count, in the
+    category of its type. pages has no time of fetching: page n is fetched n * 7919 seconds after the month of the
+    events began, and again from its beginning.
+    """
+    from tallyloom.llm.op9_url_lists import active_entries
+
+    captures = table(spark, sf_dir, "pages").selectExpr("page_id", "url", "timestamp'2024-01-01 00:00:00' + make_dt_interval(0, 0, 0, pmod(page_id * 7919, 2592000)) as fetched_at")
+    patterns = F.array(*(F.struct(F.lit(k).alias("kind"), F.lit(p).alias("pattern")) for k, p in LISTED))
+    entries = table(spark, sf_dir, "events").select(
+        F.get(patterns, F.pmod("event_id", F.lit(len(LISTED))).cast("int")).alias("what"), F.col("event_type").alias("category"),
+        F.when(F.get_json_object("props", "$.k").cast("int") % 2 == 0, "add").otherwise("remove").alias("action"), F.col("ts").cast("timestamp").alias("listed_at"),
+    ).select("what.*", "category", "action", "listed_at")
+    return active_entries(captures, entries).withColumn("fetched_at", F.date_format("fetched_at", "yyyy-MM-dd HH:mm:ss"))
 
 
 def op10_arc(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -190,26 +191,25 @@ ORACLE_SQL: dict[str, str] = {
         SELECT d.doc_id, CAST(coalesce(n.n_shingles, 0) AS BIGINT) AS n_shingles, m.c AS component_id, d.doc_id = m.c AS kept
         FROM documents d LEFT JOIN n USING (doc_id) JOIN (SELECT a, min(c) AS c FROM r GROUP BY a) m ON m.a = d.doc_id
     """,
-    "op9_url_lists": r"""
+    "op9_url_lists": rf"""
         WITH c AS (
             SELECT page_id, url, lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)', 1)) AS host,
                    regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)', 1) AS path,
-                   CAST(date '2024-01-01' + CAST(page_id % 366 AS INTEGER) AS DATE) AS fetched_on
+                   TIMESTAMP '2024-01-01 00:00:00' + to_seconds(page_id * 7919 % 2592000) AS fetched_at
             FROM pages),
-        h AS (SELECT DISTINCT host, length(host) % 4 AS m FROM c WHERE host <> ''),
+        r(i, kind, pattern) AS (VALUES {', '.join(f"({i}, '{k}', '{p}')" for i, (k, p) in enumerate(LISTED))}),
         e AS (
-            SELECT 'host' AS kind, host AS pattern, 'spam' AS category, date '2024-02-01' AS valid_from, date '2024-05-01' AS valid_to FROM h WHERE m = 0
-            UNION ALL SELECT 'host', host, 'spam', date '2024-09-15', NULL FROM h WHERE m = 0
-            UNION SELECT 'domain', regexp_extract(host, '([^.]+[.][^.]+)$', 1), 'adult', date '2024-03-10', date '2024-04-10' FROM h WHERE m = 1
-            UNION ALL SELECT 'prefix', host || '/en', 'malware', date '2024-06-01', NULL FROM h WHERE m = 2),
+            SELECT kind, pattern, event_type AS category, CAST(json_extract_string(props, '$.k') AS INTEGER) % 2 = 0 AS added, CAST(ts AS TIMESTAMP) AS valid_from,
+                   lead(CAST(ts AS TIMESTAMP)) OVER (PARTITION BY i, event_type ORDER BY ts, CAST(json_extract_string(props, '$.k') AS INTEGER) % 2) AS valid_to
+            FROM events JOIN r ON i = event_id % {len(LISTED)}),
         l AS (
             SELECT c.page_id, count(*) AS n, min(category) AS reason FROM c JOIN e
-              ON CASE kind WHEN 'host' THEN c.host = pattern
-                           WHEN 'domain' THEN c.host = pattern OR ends_with(c.host, '.' || pattern)
-                           ELSE c.host || c.path = pattern OR starts_with(c.host || c.path, pattern || '/') END
-             AND valid_from <= fetched_on AND (valid_to IS NULL OR fetched_on < valid_to)
+              ON CASE kind WHEN 'domain' THEN c.host = pattern OR ends_with(c.host, '.' || pattern)
+                           WHEN 'label' THEN list_contains(string_split(c.host, '.'), pattern)
+                           ELSE c.path = pattern OR starts_with(c.path, pattern || '/') END
+             AND added AND valid_from <= fetched_at AND (valid_to IS NULL OR fetched_at < valid_to)
             GROUP BY c.page_id)
-        SELECT c.page_id, url, host, CAST(fetched_on AS VARCHAR) AS fetched_on, CAST(coalesce(n, 0) AS BIGINT) AS n_active, coalesce(n, 0) > 0 AS blocked, reason AS first_reason
+        SELECT c.page_id, url, host, CAST(fetched_at AS VARCHAR)[:19] AS fetched_at, CAST(coalesce(n, 0) AS BIGINT) AS n_active, coalesce(n, 0) > 0 AS blocked, reason AS first_reason
         FROM c LEFT JOIN l USING (page_id)
     """,
     "op10_arc": r"""
