@@ -1,6 +1,7 @@
 """Quality rules, exact dedup, near dedup, mixing and packing over documents, each stage written and read again.
 
-Every stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of documents.
+Every stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of documents, in
+their order, and any others that docs has, whatever their names. An empty table gives an empty table at every stage.
 """
 
 from __future__ import annotations
@@ -18,27 +19,47 @@ from tallyloom.shared import cut
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents inside the base rules and the bands of their language or script."""
+    """Documents inside the base rules and the bands of their language or script.
+
+    A null or empty text has no words, so it goes; a null or unknown language, or none at all, is judged by script. Very
+    long texts are measured whole. Ties and repeated rows: each row is judged for itself.
+    """
     return keep_good(docs, vocabulary("byte_bpe_multi_50k.tiktoken"), vocabulary("piece_bpe_32k.model"))
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts the one with the most code points."""
+    """Of texts that are equal without their blanks the one with the most code points.
+
+    Ties: the smallest id, a null id before all others. Null and empty texts are equal, so one of them stays. Very long
+    texts are hashed in chunks. Repeated rows: one stays.
+    """
     return keep_first(docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents linked by 80 percent of their five-word shingles the one with the smallest id."""
-    return keep_one(docs)
+    """Of documents linked by 80 percent of their five-word shingles or more the one with the smallest id.
+
+    Texts without words are linked with nothing and stay; those of fewer than five words are one shingle. Very long
+    texts count whole. Repeated rows: one stays. A null id is smaller than all others.
+    """
+    return keep_one(docs, threshold_percent=80, width=5)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents repeated (or left out, or cut once per source) to the sources' targets."""
+    """Documents repeated (or left out, or cut once per source) to the sources' targets.
+
+    A null source is a source of its own, the last. Texts without words take nothing and go. A very long text may be the
+    one that is cut. Ties in the seeded order are equal rows; repeated rows are rows of their own.
+    """
     return repeat_documents(docs)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of documents in windows of at most 1024 tokens."""
+    """Pieces of documents in windows of at most 1024 tokens.
+
+    A null or empty text has one token, its end. A very long text fills windows of its own. Repeated rows are packed
+    each; a null id stays null.
+    """
     return pack(docs, vocabulary())
 
 

@@ -43,6 +43,18 @@ RULES = (
     ("unreviewed-ship", "Shipped without review"),
 )
 
+#: What each rule found, and what to do about it; {fired} and {sessions} are counts.
+ADVICE = {
+    "high-tool-error-rate": ("In {fired} of {sessions} sessions tools failed too often, over all calls or those of one tool.", "Find out why the named tool fails (a path, a flag, a missing program) and write the right call down where the agent reads it."),
+    "retry-loop": ("In {fired} of {sessions} sessions one and the same command ran again and again.", "Stop after the second equal failure, and change the input or the plan. What has to run after every edit belongs in a script."),
+    "marathon-session": ("{fired} of {sessions} sessions went on for very long without a break.", "End at the next whole piece of work, and begin the rest in a new session with a short summary."),
+    "resumed-session": ("{fired} of {sessions} sessions were taken up many times over days, with little work in each.", "Give every piece of work a session of its own."),
+    "babysitting": ("In {fired} of {sessions} sessions there were many requests, and hardly any tool ran for each.", "Name the goal and its limits once, and let the agent plan the steps. Keep requests that come again as a command or a file."),
+    "fire-and-forget": ("In {fired} of {sessions} sessions one request set off very many tool calls, some of which failed.", "Ask for a plan first, or for a report half way."),
+    "compaction-churn": ("{fired} of {sessions} sessions ran out of context several times.", "Split the work before the context is full. What must not be lost belongs in a file."),
+    "unreviewed-ship": ("{fired} of {sessions} sessions committed code that no review had looked at.", "Run a review before the commit, for instance as a step that the commit needs."),
+}
+
 #: (key, title, signals), in order.
 LANES = (
     ("prompt-quality", "Prompt Quality", ("fire-rate:babysitting", "fire-rate:fire-and-forget")),
@@ -156,6 +168,7 @@ HARNESS_PREFIXES = (
 # Evidence and displays.
 MAX_ANCHORS = 10
 MAX_SITTING_BOUNDARIES = 12
+MAX_TRACKED_COMMANDS = 20_000
 TOOLS_LISTED = 6
 SILENT_DAYS = 2
 

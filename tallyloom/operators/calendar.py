@@ -115,8 +115,27 @@ def landing(metrics: DataFrame, listed: DataFrame) -> DataFrame:
 
 
 def gaps(skips: DataFrame) -> DataFrame:
-    """(reason, sessions) of what was left out, most frequent first."""
-    return skips.groupBy("reason").agg(F.count(F.lit(1)).alias("sessions")).orderBy(F.desc("sessions"), "reason")
+    """(place, reason, sessions) of what was left out, most frequent first."""
+    found = skips.groupBy("reason").agg(F.count(F.lit(1)).alias("sessions"))
+    return found.withColumn("place", F.row_number().over(Window.orderBy(F.desc("sessions"), "reason")).cast("long"))  # one row per reason
+
+
+def labels(*sections: DataFrame) -> DataFrame:
+    """The distinct labels (column label) of several sections; none for what has no name."""
+    out = sections[0].select("label")
+    for s in sections[1:]:
+        out = out.unionByName(s.select("label"))
+    return out.filter("label is not null").distinct()
+
+
+def in_windows(metrics: DataFrame, windows: tuple[str, ...], now) -> DataFrame:
+    """metrics once for each trailing window and its side; what lies outside both halves of a window is dropped there."""
+    from tallyloom.functions.grammar import parse_window
+
+    cuts = [(w, parse_window(w).opens_at(now), parse_window(w).comparison_opens_at(now)) for w in windows]
+    side = lambda opens, before: F.when(F.col("archived_at") >= F.lit(opens), "reported").when(F.col("archived_at") >= F.lit(before), "comparison")
+    rows = F.array(*(F.struct(F.lit(w).alias("window"), side(opens, before).alias("side")) for w, opens, before in cuts))
+    return metrics.withColumn("cut", F.explode(F.filter(rows, lambda r: r["side"].isNotNull()))).select("*", "cut.window", "cut.side").drop("cut")
 
 
 def latest(listing: DataFrame) -> DataFrame:

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from tallyloom import constants as C
 from tallyloom.functions.predicates import billing_signal
+from tallyloom.shared import cut
 
 KEY = ["model", "speed", "service_tier", "inference_geo"]
 COUNTS = ["input", "output", "cache_write_5m", "cache_write_1h", "cache_write_untiered", "cache_read"]
@@ -160,3 +161,25 @@ def comparison_state(reported: float | None, comparison: float | None, has_windo
     if not has_window:
         return "no-window"
     return "nothing-priced" if reported is None and comparison is None else "compared"
+
+
+def in_order(totals: DataFrame, by: str) -> DataFrame:
+    """The rows of cost_totals by model or repository with their place: dollars, then name, the one without a name first among equals."""
+    w = Window.orderBy(F.desc("dollars"), F.asc_nulls_first("label"))  # one row per model or repository
+    return totals.filter(F.col("by") == by).withColumn("place", F.row_number().over(w).cast("long"))
+
+
+def listed(premium: DataFrame, most: int = C.PREMIUM_LISTED) -> DataFrame:
+    """The first `most` premium sessions by dollars, then id, with place and the number that was found."""
+    found = cut(premium, "premium")
+    total = found.agg(F.count(F.lit(1)).alias("found"))
+    order = [F.desc("dollars"), F.col("session_id")]
+    top = found.orderBy(*order).limit(most).withColumn("place", F.row_number().over(Window.orderBy(*order)).cast("long"))  # over `most` rows
+    return top.crossJoin(total)  # one row
+
+
+def comparison(lines: DataFrame) -> DataFrame:
+    """(reported, comparison, state) of priced lines with a side: one row."""
+    side = lambda s: F.sum(F.when((F.col("state") == "priced") & (F.col("side") == s), F.col("dollars")))
+    both = lines.agg(side("reported").alias("reported"), side("comparison").alias("comparison"))
+    return both.withColumn("state", F.when(F.col("reported").isNull() & F.col("comparison").isNull(), "nothing-priced").otherwise("compared"))

@@ -45,3 +45,16 @@ def busiest_runs(events: DataFrame, most: int = C.MAX_ANCHORS) -> DataFrame:
 def servable(asked: DataFrame, published: DataFrame) -> DataFrame:
     """The rows of asked (session_id, locator, ...) that the published anchors name."""
     return asked.join(published.select("session_id", "locator").distinct(), ["session_id", "locator"], "left_semi")
+
+
+def index(*anchors: DataFrame) -> DataFrame:
+    """(session_id, locator): the anchors of several findings or windows, each once."""
+    out = anchors[0].select("session_id", "locator")
+    for a in anchors[1:]:
+        out = out.unionByName(a.select("session_id", "locator"))
+    return out.distinct()
+
+
+def offered(anchors: DataFrame, held: DataFrame) -> DataFrame:
+    """The anchors (source_hash, locator) of the sessions that are held, with what is known of these."""
+    return anchors.join(held, "source_hash")

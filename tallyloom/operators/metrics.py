@@ -222,3 +222,15 @@ def session_metrics(events: DataFrame, sessions: DataFrame, idle_gap_ms: int = C
         .withColumn("repeat_share", F.when(F.col("command_events") > 0, F.col("repeats") / F.col("command_events")))
         .withColumn("dilution", F.when(F.col("active_ms") > 0, F.col("span_ms") / F.col("active_ms")).when((F.col("active_ms") == 0) & (F.col("span_ms") > 0), F.lit(float("inf"))))
     )
+
+
+def bounds(events: DataFrame, commands: int = C.MAX_TRACKED_COMMANDS, boundaries: int = C.MAX_SITTING_BOUNDARIES, idle_gap_ms: int = C.IDLE_GAP_MS) -> DataFrame:
+    """(session_id, untracked, elided): what a reader that keeps only so much of a session would leave out, as counts.
+
+    untracked are runs of commands after the first `commands` distinct ones, elided are breaks after the first
+    `boundaries`. Nothing is left out here: commands and sittings are rows.
+    """
+    first = Window.partitionBy("session_id").orderBy("first_locator")
+    runs = command_runs(events).withColumn("nth", F.row_number().over(first)).groupBy("session_id").agg(F.sum(F.when(F.col("nth") > commands, F.col("runs")).otherwise(0)).cast("long").alias("untracked"))
+    breaks = sittings(events, idle_gap_ms).groupBy("session_id").agg(F.greatest(F.count(F.lit(1)) - 1 - boundaries, F.lit(0)).cast("long").alias("elided"))
+    return breaks.join(runs, "session_id", "full_outer").select("session_id", *(F.coalesce(n, F.lit(0).cast("long")).alias(n) for n in ("untracked", "elided")))

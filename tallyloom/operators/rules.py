@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyloom import constants as C
+from tallyloom.functions import display
 
 
 def verdict_columns(marathon_ms: int = C.MARATHON_SITTING_MS) -> dict[str, Column]:
@@ -38,3 +40,79 @@ def verdicts(metrics: DataFrame, marathon_ms: int = C.MARATHON_SITTING_MS, keep:
 def findings(metrics: DataFrame, marathon_ms: int = C.MARATHON_SITTING_MS) -> DataFrame:
     """(rule, eligible, fired): how many sessions were looked at and how many of them fired."""
     return verdicts(metrics, marathon_ms).groupBy("rule").agg(F.count("fired").alias("eligible"), F.sum(F.coalesce(F.col("fired").cast("long"), F.lit(0))).alias("fired"))
+
+
+def _some(n: int, what: str) -> str:
+    return f"{n} {what}" if n == 1 else f"{n} {what}s"
+
+
+def _failed(name: str, errors: int, attempts: int) -> str:
+    return f"{name} {errors} of {attempts} calls failed ({display.percent(errors / attempts)})"
+
+
+def _detail(r) -> str:
+    """What made a session match: counts and names of tools, never what was said. Wording and order are part of the result."""
+    if r.rule == "high-tool-error-rate":
+        whole = [_failed("session-wide", r.errors, r.attempts)] if r.attempts >= C.MIN_SESSION_TOOL_ATTEMPTS and r.errors / r.attempts > C.SESSION_TOOL_ERROR_RATE else []
+        return "; ".join(whole + [_failed(t["tool"], t["errors"], t["attempts"]) for t in r.tools])
+    if r.rule == "retry-loop":
+        return f"one command run {r.busiest_runs:.0f} times; {r.repeats:.0f} of {r.command_events:.0f} command-bearing calls were repeats ({display.percent(r.repeats / r.command_events)}), across {r.repeated_commands:.0f} repeated commands"
+    if r.rule == "marathon-session":
+        return f"longest sitting {display.span(int(r.longest_sitting_ms))} within a {display.span(int(r.span_ms))} span across {r.sittings:.0f} sittings, {r.user_requests} user requests, {r.tool_activities} tool activities"
+    if r.rule == "resumed-session":
+        times = "no gap short enough to count as work" if r.dilution == float("inf") else f"{display.ratio(r.dilution)}x"
+        return f"active {display.span(int(r.active_ms))} across {r.sittings:.0f} sittings, span {display.span(int(r.span_ms))} ({times})"
+    if r.rule == "babysitting":
+        return f"{r.user_requests} user requests, {r.tool_activities} tool activities ({display.ratio(r.tools_per_request)} per request)"
+    if r.rule == "fire-and-forget":
+        return f"1 user request, {r.tool_activities} tool activities ({display.ratio(r.tools_per_request)} per request), {r.errors} of {r.attempts} calls failed"
+    if r.rule == "compaction-churn":
+        done, stated = int(r.compactions_completed), 0 if pd.isna(r.pre_tokens_stated) else int(r.pre_tokens_stated)
+        more = f", {_some(int(r.compactions_failed), 'further attempt')} failed" if r.compactions_failed > 0 else ""
+        if not stated:
+            size = "; no compaction stated the size of the window it compacted"
+        else:
+            size = f"; largest window compacted {display.tokens(int(r.pre_tokens_max))} tokens, " + (f"mean {display.tokens(int(r.pre_tokens_mean))}" if stated == done else f"stated on {stated} of them")
+        return f"compacted {done} times{more}{size}"
+    skills = f"; no review pass among {_some(r.skills, 'skill invocation')}" if r.skills else "; no skill was invoked at all"
+    return f"committed {_some(r.commits, 'time')}{skills}"
+
+
+_READ = (
+    "attempts", "errors", "busiest_runs", "repeats", "command_events", "repeated_commands", "longest_sitting_ms", "active_ms", "span_ms", "sittings", "user_requests", "tool_activities", "dilution", "tools_per_request",
+    "compactions_completed", "compactions_failed", "pre_tokens_max", "pre_tokens_mean", "pre_tokens_stated", "commits", "skills",
+)
+
+
+def evidence(metrics: DataFrame, tally: DataFrame, marathon_ms: int = C.MARATHON_SITTING_MS) -> DataFrame:
+    """(session_id, rule, detail): one line for each session on which a rule fires.
+
+    tally is tool_tally of the same events: the tools over their threshold are named in order. Only sessions that match
+    reach Python, as Arrow batches.
+    """
+    over = (F.col("attempts") >= C.MIN_TOOL_ATTEMPTS) & (F.col("errors") / F.col("attempts") > C.TOOL_ERROR_RATE) & F.col("tool").isNotNull()
+    named = tally.filter(over).groupBy("session_id").agg(F.array_sort(F.collect_list(F.struct("tool", "errors", "attempts"))).alias("tools"))
+    fired = verdicts(metrics, marathon_ms, ("session_id", *_READ)).filter("fired").join(named, "session_id", "left")
+    read = fired.select("session_id", "rule", *_READ, F.coalesce("tools", F.array().cast("array<struct<tool:string,errors:bigint,attempts:bigint>>")).alias("tools"))
+
+    @F.pandas_udf("string")
+    def detail(rows: pd.DataFrame) -> pd.Series:
+        return pd.Series([_detail(r) for r in rows.itertuples(index=False)], dtype=object)
+
+    return read.select("session_id", "rule", detail(F.struct("rule", *_READ, "tools")).alias("detail"))
+
+
+def stated(metrics: DataFrame, marathon_ms: int = C.MARATHON_SITTING_MS) -> DataFrame:
+    """(place, rule, title, problem, action) of the rules that fire, in the order of reports."""
+    n = F.col("sessions").cast("string")
+    sentences = F.create_map(*(x for k, (problem, action) in C.ADVICE.items() for x in (F.lit(k), F.struct(F.lit(problem).alias("problem"), F.lit(action).alias("action")))))
+    titles = F.create_map(*(F.lit(x) for pair in C.RULES for x in pair))
+    order = F.array(*(F.lit(k) for k, _ in C.RULES))
+    found = verdicts(metrics, marathon_ms).groupBy("rule").agg(F.count_if(F.col("fired")).alias("fired"), F.count(F.lit(1)).alias("sessions")).filter("fired > 0")
+    problem = F.replace(F.replace(sentences[F.col("rule")]["problem"], F.lit("{fired}"), F.col("fired").cast("string")), F.lit("{sessions}"), n)
+    return found.select(F.array_position(order, F.col("rule")).cast("long").alias("place"), "rule", titles[F.col("rule")].alias("title"), problem.alias("problem"), sentences[F.col("rule")]["action"].alias("action"))
+
+
+def findings_by_scope(fired: DataFrame, tags: DataFrame) -> DataFrame:
+    """(rule, scope, source_agent, sessions): verdicts that fired (session_id, rule) by the scope and harness of their session."""
+    return fired.select("session_id", "rule").join(tags, "session_id", "left").groupBy("rule", "scope", "source_agent").agg(F.count(F.lit(1)).alias("sessions"))

@@ -86,9 +86,11 @@ def standup_sessions(summaries: DataFrame) -> DataFrame:
     return summaries.filter(~F.coalesce("placeholder", F.lit(False))).withColumn("place", F.row_number().over(w).cast("long"))
 
 
-def standup_repositories(summaries: DataFrame) -> DataFrame:
-    """(repository, sessions): the unattributed last, then by sessions and name."""
-    return standup_sessions(summaries).groupBy("repository").agg(F.count(F.lit(1)).alias("sessions")).orderBy(F.col("repository").isNull(), F.desc("sessions"), "repository")
+def standup_repositories(summaries: DataFrame, placed: bool = False) -> DataFrame:
+    """(repository, sessions): the unattributed last, then by sessions and name; with place where it is asked for."""
+    found = summaries.filter(~F.coalesce("placeholder", F.lit(False))).groupBy("repository").agg(F.count(F.lit(1)).alias("sessions"))
+    order = [F.col("repository").isNull(), F.desc("sessions"), F.col("repository")]
+    return found.withColumn("place", F.row_number().over(Window.orderBy(*order)).cast("long")) if placed else found.orderBy(*order)
 
 
 def roll_up(summaries: DataFrame, field: str) -> DataFrame:

@@ -2,31 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tallyloom import constants as C
 from tallyloom.operators import calendar, cost, metrics, repetition, rules, scoring, summaries
+from tallyloom.plans.registry import query
 from tallyloom.sources import bindings as B
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    """Register a function under its name with the SQL that gives the same rows."""
-
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLE_SQL[f.__name__] = sql
-        return f
-
-    return add
-
-
 def _metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = B.events(spark, sf_dir)
     return metrics.session_metrics(e, B.sessions(e), B.IDLE_GAP_MS)
@@ -370,6 +353,88 @@ def agg33_flows(spark, sf_dir):
     return found.select(F.array_join(F.col("steps").cast("array<string>"), ">").alias("steps"), "width", "occurrences", "conversations")
 
 
+_FLOW_SQL = _POOLED + _CLUSTER_SQL + """, k AS (SELECT cd.* FROM cd JOIN rp USING (pool, cluster)),
+    f AS (SELECT *, lag(cluster) OVER (PARTITION BY session_id ORDER BY locator) AS was FROM k),
+    d AS (SELECT session_id, locator, cluster AS one, lead(cluster, 1) OVER o AS two, lead(cluster, 2) OVER o AS three FROM f WHERE was IS NULL OR was <> cluster WINDOW o AS (PARTITION BY session_id ORDER BY locator)),
+    g AS (SELECT session_id, locator, [one, two] AS steps FROM d WHERE two IS NOT NULL UNION ALL SELECT session_id, locator, [one, two, three] FROM d WHERE three IS NOT NULL),
+    fl AS (SELECT steps, len(steps)::BIGINT AS width, count(*) AS occurrences, count(DISTINCT conversation) AS conversations FROM g JOIN tk USING (session_id) GROUP BY ALL HAVING count(DISTINCT conversation) >= 2)"""
+
+
+def _flows(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    m = _messages(spark, sf_dir, True)
+    c = repetition.clusters(m)
+    talks = repetition.conversations(m, c)
+    kept = repetition.repetitions(c, talks)
+    return c, talks, kept, repetition.flows(c, talks, kept)
+
+
+@query(_FLOW_SQL + """, y AS (SELECT fl.*, CASE width WHEN 2 THEN [r1.representative, r2.representative] ELSE [r1.representative, r2.representative, r3.representative] END AS wording
+        FROM fl JOIN rp r1 ON r1.cluster = steps[1] JOIN rp r2 ON r2.cluster = steps[2] LEFT JOIN rp r3 ON r3.cluster = steps[3])
+    SELECT CAST(row_number() OVER (ORDER BY occurrences DESC, conversations DESC, width DESC, wording, steps) AS BIGINT) AS place, array_to_string(steps, '>') AS steps, sha256(array_to_string(wording, '|')) AS wording FROM y""")
+def srt8_flow_order(spark, sf_dir):
+    """Flows in the order of reports, with the wording of their steps."""
+    _, _, kept, found = _flows(spark, sf_dir)
+    top = repetition.ranked_flows(found, kept)
+    return top.select("place", F.array_join(F.col("steps").cast("array<string>"), ">").alias("steps"), F.sha2(F.array_join("wording", "|"), 256).alias("wording"))
+
+
+@query(_FLOW_SQL + """, i AS (SELECT g.*, row_number() OVER (PARTITION BY steps ORDER BY session_id, locator) AS nth FROM g SEMI JOIN fl USING (steps))
+    SELECT array_to_string(steps, '>') AS steps, CAST(nth AS BIGINT) AS nth, session_id, locator FROM i WHERE nth <= 3""")
+def srt9_flow_instances(spark, sf_dir):
+    """Where flows begin: the first three instances of each (all are undated here)."""
+    c, talks, kept, found = _flows(spark, sf_dir)
+    return repetition.flow_instances(c, talks, kept, found, 3).select(F.array_join(F.col("steps").cast("array<string>"), ">").alias("steps"), "nth", "session_id", "locator")
+
+
+@query(_POOLED.replace("'all' AS pool", "session_id AS pool") + " SELECT session_id, session_id AS conversation, 0::BIGINT AS clusters FROM (SELECT DISTINCT session_id FROM cm)")
+def clu5_alone(spark, sf_dir):
+    """Pools with a single message form no cluster, and every session is its own conversation."""
+    w = Window.partitionBy("session_id").orderBy("locator")
+    m = repetition.clusterable(B.lines_as_messages(spark, sf_dir)).withColumn("nth", F.row_number().over(w)).filter("nth = 1").drop("nth").withColumn("pool", F.col("session_id"))
+    c = repetition.clusters(m)
+    n = c.count()
+    return repetition.conversations(m, c).select("session_id", "conversation", F.lit(n).cast("long").alias("clusters"))
+
+
+@query(_POOLED + ", e8 AS (SELECT pool, cluster, locator, session_id, row_number() OVER (PARTITION BY pool, cluster ORDER BY session_id, locator) AS nth FROM cd)" + _CLUSTER_SQL + " SELECT cluster, CAST(nth AS BIGINT) AS nth, session_id, locator FROM e8 JOIN rp USING (pool, cluster) WHERE nth <= 8")
+def srt4_citations(spark, sf_dir):
+    """The first eight citations of every cluster that two conversations share."""
+    m = _messages(spark, sf_dir, True)
+    c = repetition.clusters(m)
+    found = repetition.repetitions(c, repetition.conversations(m, c))
+    return found.select("cluster", F.posexplode("cited").alias("at", "c")).select("cluster", (F.col("at") + 1).cast("long").alias("nth"), "c.session_id", "c.locator")
+
+
+@query(_SIDED + B.LANES_SQL.format(by="side, source_agent", m="ms", v="vs") + " SELECT source_agent, lane, score FROM sc WHERE side = 'reported'")
+def snk2_report_json(spark, sf_dir):
+    """Lane scores as the JSON document of a report states them."""
+    import datetime as dt
+
+    from tallyloom.plans import reports
+
+    document = reports.to_json(reports.report(_sided(spark, sf_dir), dt.datetime.fromisoformat(OPENS), "10d", B.MARATHON_MS))
+    read = spark.createDataFrame([(document,)], "json string").select(F.from_json("json", "schema_version int, command string, data struct<lanes:array<struct<source_agent:string,lane:string,score:long>>>").alias("d"))
+    return read.filter("d.schema_version = 1 and d.command = 'report'").select(F.explode("d.data.lanes").alias("l")).select("l.*")
+
+
+@query(f"""WITH {B.METRICS_SQL}, t AS (SELECT CAST(CAST(archived_at AS DATE) AS VARCHAR) AS day, source_agent, count(*) AS sessions FROM m GROUP BY 1, 2),
+        p AS (SELECT coalesce(repository, '-') AS scope, rule, source_agent, count(*) AS sessions FROM v WHERE fired GROUP BY ALL)
+    SELECT 'timeline' AS section, day AS label, source_agent, sessions FROM t UNION ALL SELECT 'finding', scope || ':' || rule, source_agent, sessions FROM p""")
+def snk3_dashboard_json(spark, sf_dir):
+    """Two sections of the dashboard's payload: the timeline, and findings by scope."""
+    import datetime as dt
+
+    from tallyloom.plans import reports
+
+    m = _sided(spark, sf_dir)
+    payload = reports.to_json(reports.dashboard({"10d": m}, m, dt.datetime.fromisoformat(OPENS), B.MARATHON_MS))
+    row = "source_agent:string,sessions:long"
+    read = spark.createDataFrame([(payload,)], "json string").select(F.from_json("json", f"data struct<timeline:array<struct<day:string,{row}>>,scope_findings:array<struct<rule:string,scope:string,{row}>>>").alias("d"))
+    times = read.select(F.explode("d.data.timeline").alias("t")).select(F.lit("timeline").alias("section"), F.col("t.day").alias("label"), "t.source_agent", "t.sessions")
+    found = read.select(F.explode("d.data.scope_findings").alias("t")).select(F.lit("finding").alias("section"), F.concat(F.coalesce("t.scope", F.lit("-")), F.lit(":"), F.col("t.rule")).alias("label"), "t.source_agent", "t.sessions")
+    return times.unionByName(found)
+
+
 @query(_POOLED + " SELECT repository, count(DISTINCT session_id) AS sessions, count(*) AS clusterable FROM cm GROUP BY 1 ORDER BY repository IS NULL, 2 DESC, 3 DESC, 1 LIMIT 6")
 def agg34_coverage(spark, sf_dir):
     return repetition.coverage(_messages(spark, sf_dir, True))
@@ -447,15 +512,13 @@ def win6_messages(spark, sf_dir):
 @query("""WITH d AS (SELECT DISTINCT user_id % 3 AS h, CAST(ts AS DATE) AS day, event_id FROM events)
     SELECT CAST(day AS VARCHAR) AS day, CAST(h AS VARCHAR) AS source_agent, count(*) AS sessions FROM d GROUP BY ALL""")
 def str4_day_counts(spark, sf_dir):
-    """A stream over the events table, drained into memory: tumbling days."""
-    from tallyloom.streaming.sessions import day_counts
+    """A stream over the events table, drained into a table: tumbling days."""
+    from tallyloom.streaming.sessions import day_counts, drained
 
     schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
     stream = spark.readStream.schema(schema).option("pathGlobFilter", "events*").parquet(f"{sf_dir}/")
     rows = stream.selectExpr("cast(user_id % 3 as string) as source_agent", "cast(ts as timestamp) as archived_at")
-    q = day_counts(rows).writeStream.format("memory").queryName("str4_day_counts").outputMode("complete").trigger(availableNow=True).start()
-    q.awaitTermination()
-    return spark.table("str4_day_counts").withColumn("day", F.col("day").cast("string"))
+    return drained(day_counts(rows), "str4").withColumn("day", F.col("day").cast("string"))
 
 
 _FAILED_SQL = f"""WITH {B.METRICS_SQL},

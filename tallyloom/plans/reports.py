@@ -3,14 +3,21 @@
 from __future__ import annotations
 
 import datetime as dt
+import html
 import json
+import re
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyloom import constants as C
 from tallyloom.functions import display
-from tallyloom.operators import calendar, cost, rules, scoring
+from tallyloom.functions.redact import PATTERNS
+from tallyloom.operators import calendar, cost, evidence, rules, scoring
+from tallyloom.operators.metrics import tool_tally
+
+#: Lines of evidence that a report lists for a rule; the number of others is stated.
+EVIDENCE_LISTED = 20
 
 
 def _rows(df: DataFrame) -> list[dict]:
@@ -34,8 +41,8 @@ def to_json(document: dict) -> str:
     return json.dumps(document, ensure_ascii=False, sort_keys=False, default=str)
 
 
-def report(metrics: DataFrame, now: dt.datetime, window: str, marathon_ms: int = C.MARATHON_SITTING_MS) -> dict:
-    """The coaching report of metrics with a side column."""
+def report(metrics: DataFrame, now: dt.datetime, window: str, marathon_ms: int = C.MARATHON_SITTING_MS, tally: DataFrame | None = None) -> dict:
+    """The coaching report of metrics with a side column; with the tool tally of the same events also the evidence."""
     m = metrics.filter("side = 'reported'")
     before = metrics.filter("side = 'comparison'")
     scores, then = scoring.lane_scores(m, marathon_ms=marathon_ms), scoring.lane_scores(before, marathon_ms=marathon_ms)
@@ -50,6 +57,10 @@ def report(metrics: DataFrame, now: dt.datetime, window: str, marathon_ms: int =
     }
     order = {key: k for k, (key, _) in enumerate(C.RULES)}
     data["findings"].sort(key=lambda f: order[f["rule"]])
+    data["stated"] = _rows(rules.stated(m, marathon_ms).orderBy("place"))
+    if tally is not None:
+        shown = rules.evidence(m, tally, marathon_ms).withColumn("nth", F.row_number().over(Window.partitionBy("rule").orderBy("session_id")))
+        data["evidence"] = _rows(shown.filter(F.col("nth") <= EVIDENCE_LISTED).orderBy("rule", "nth").drop("nth"))
     return envelope("report", data, now, window)
 
 
@@ -65,6 +76,11 @@ def report_markdown(document: dict) -> str:
     out += ["", "## Findings", ""]
     names = dict(C.RULES)
     out += [f"- **{names[f['rule']]}**: {f['fired']} of {f['eligible']} sessions" for f in d["findings"] if f["fired"]] or ["Nothing fired."]
+    for s in d.get("stated", []):
+        out += ["", f"### {s['title']}", "", s["problem"], "", s["action"], ""]
+        lines = [e for e in d.get("evidence", []) if e["rule"] == s["rule"]]
+        fired = next(f["fired"] for f in d["findings"] if f["rule"] == s["rule"])
+        out += [f"- `{e['session_id'][:12]}` {e['detail']}" for e in lines] + ([f"- {fired - len(lines)} more"] if lines and fired > len(lines) else [])
     return "\n".join([*out, "", f"Rule pack `{document['rule_pack']['digest'][:12]}`.", ""])
 
 
@@ -92,32 +108,75 @@ def cost_markdown(document: dict) -> str:
     return "\n".join([*out, ""])
 
 
-def dashboard(windows: dict[str, DataFrame], metrics: DataFrame, now: dt.datetime, marathon_ms: int = C.MARATHON_SITTING_MS) -> dict:
-    """One payload: the report of each window, scopes, timeline, heatmap and devices."""
+def dashboard(windows: dict[str, DataFrame], metrics: DataFrame, now: dt.datetime, marathon_ms: int = C.MARATHON_SITTING_MS, events: DataFrame | None = None, lines: DataFrame | None = None, prices: DataFrame | None = None, summaries: DataFrame | None = None) -> dict:
+    """One payload: the report of each window, scopes with their findings, timeline, heatmap, devices and where they land.
+
+    With events also evidence and the anchors that may be served, with priced lines and prices the costs, with summaries
+    the standup.
+    """
+    tally = None if events is None else tool_tally(events)
+    sided = next(iter(windows.values()))
+    tags = metrics.select("session_id", F.col("repository").alias("scope"), "source_agent")
+    fired = rules.verdicts(metrics, marathon_ms, ("session_id",)).filter("fired")
     data = {
-        "windows": {w: report(m, now, w, marathon_ms)["data"] for w, m in windows.items()},
+        "windows": {w: report(m, now, w, marathon_ms, tally)["data"] for w, m in windows.items()},
+        "scopes": {label: _rows(calendar.scopes(sided.filter("side <> 'unplaceable'"), label, marathon_ms).orderBy(F.col("label").isNull(), F.desc("sessions"), "label", "side", "lane")) for label in ("repository", "hostname")},
+        "scope_findings": _rows(rules.findings_by_scope(fired, tags).orderBy("rule", F.col("scope").isNull(), "scope", "source_agent")),
+        "landing": _rows(calendar.landing(metrics, metrics.filter("hostname is not null").select("hostname").distinct()).orderBy("day", "hostname")),
         "timeline": _rows(calendar.timeline(metrics).orderBy("day", "source_agent")),
         "heatmap": _rows(calendar.heatmap(metrics).orderBy("weekday", "hour", "source_agent", "state")),
         "devices": _rows(calendar.devices(metrics, F.lit(now)).orderBy("hostname")),
     }
-    return envelope("dashboard", data, now)
+    if events is not None:
+        anchors = evidence.index(evidence.any_failures(evidence.failures(events)), evidence.busiest_runs(events))
+        data["anchors"] = _rows(anchors.groupBy("session_id").agg(F.sort_array(F.collect_list("locator")).alias("locators")).orderBy("session_id"))  # two findings' MAX_ANCHORS a session
+    if lines is not None and prices is not None:
+        data["cost"] = cost_report(lines, prices, now, "all")["data"]
+    if summaries is not None:
+        data["standup"] = standup_report(summaries, now, "all")["data"]
+    return envelope("dashboard", data, now, provenance={"sessions": metrics.count(), "sections": sorted(data)})
 
 
 def catalogue() -> str:
     """Rules, lanes, prices and weights as Markdown, from the constants the engine reads."""
     out = ["# What is looked for", "", f"Rule pack `{scoring.pack_digest()}`, formula `{C.FORMULA}`.", "", "## Rules", ""]
-    out += [f"{k}. {title} — `{key}`" for k, (key, title) in enumerate(C.RULES, 1)]
+    out += [f"{k}. {title} — `{key}`: {C.ADVICE[key][0].format(fired='n', sessions='m')} {C.ADVICE[key][1]}" for k, (key, title) in enumerate(C.RULES, 1)]
     out += ["", "## Lanes", "", "| Lane | Reads |", "| --- | --- |"]
     out += [f"| {title} | {', '.join(f'`{s}`' for s in signals)} |" for _, title, signals in C.LANES]
     out += ["", "## Values", "", "| Name | Value |", "| --- | --- |"]
     out += [f"| `{k}` | `{v}` |" for k, v in scoring.pack_entries() if k.startswith(("threshold", "scoring"))]
     out += ["", "## Prices", "", "| Model | From | Input | Output | Cache read |", "| --- | --- | ---: | ---: | ---: |"]
     out += [f"| `{p.model}` | {p.effective_from} | {display.dollars(p.rates.input)} | {display.dollars(p.rates.output)} | {display.dollars(p.rates.cache_read)} |" for p in C.PRICES]
+    out += ["", "## Redaction", "", f"Patterns of {C.REDACTION_REVISION}: " + ", ".join(f"`{x}`" for x in PATTERNS) + "."]
     out += ["", "## Search", "", "| Field | Weight | Quotable |", "| --- | ---: | --- |"]
     out += [f"| {n} | {w} | {'yes' if q else 'no'} |" for n, w, q in C.ASK_FIELDS]
     return "\n".join([*out, ""])
 
 
+def catalogue_html() -> str:
+    """The catalogue as one HTML page: headings, tables, lists and paragraphs of its Markdown."""
+    out, table = [], []
+
+    def code(text: str) -> str:
+        return re.sub(r"`([^`]*)`", r"<code>\1</code>", html.escape(text, quote=False))
+
+    for line in [*catalogue().split("\n"), ""]:
+        if line.startswith("|"):
+            cells = [c.strip() for c in line.strip("|").split("|")]
+            if set("".join(cells)) - set("-: "):
+                tag = "td" if table else "th"
+                table.append("<tr>" + "".join(f"<{tag}>{code(c)}</{tag}>" for c in cells) + "</tr>")
+            continue
+        if table:
+            out.append("<table>" + "".join(table) + "</table>")
+            table = []
+        if m := re.match(r"(#+) (.*)", line):
+            out.append(f"<h{len(m[1])}>{code(m[2])}</h{len(m[1])}>")
+        elif line:
+            out.append(f"<p>{code(line)}</p>")
+    return "<!DOCTYPE html><html lang=\"en\"><head><meta charset=\"utf-8\"><title>What is looked for</title></head><body>" + "".join(out) + "</body></html>"
+
+
 def ask_report(summaries: DataFrame, question: str, now: dt.datetime, limit: int = C.DEFAULT_ASK_LIMIT) -> dict:
     """Ranked summaries, scored on the raw text; snippets are scrubbed whole, then cut."""
     from tallyloom.functions.text import query_terms

@@ -26,6 +26,8 @@ SNAPSHOT = (
 PATHS = {"transcript": "transcript.jsonl", "summary": "summary.md"}
 #: Snapshots that are looked at for one session: the listed one and eight siblings.
 PROBES = 9
+#: Bytes of a blob whose size isn't declared.
+MOST_BYTES = 512 << 20
 
 
 def listing(spark: SparkSession, root: str) -> DataFrame:
@@ -72,36 +74,85 @@ def sessions(spark: SparkSession, root: str, artifact: str = "transcript", since
     )
 
 
-def blobs(spark: SparkSession, root: str, found: DataFrame) -> DataFrame:
+def _read(content: bytes, most: int) -> bytes:
+    """A blob's bytes, zstd frames decoded; one byte more than `most` at the utmost, however much a frame would give."""
+    import zstandard
+
+    if content[:4] != b"\x28\xb5\x2f\xfd":
+        return content[: most + 1]
+    reader, out = zstandard.ZstdDecompressor().stream_reader(content), []
+    while (left := most + 1 - sum(map(len, out))) > 0 and (part := reader.read(min(left, 1 << 20))):
+        out.append(part)
+    return b"".join(out)
+
+
+def blobs(spark: SparkSession, root: str, found: DataFrame, ceiling: int = MOST_BYTES) -> DataFrame:
     """found with content and reason: bytes are taken only if their sha256 and size are the declared ones.
 
-    zstd frames are decoded first. The semi-join keeps blobs that nobody asks for out of the shuffle.
+    found: (source_hash, size_bytes, reason and more). Files meet it in one join; a blob is decoded up to its declared
+    size (or the ceiling) and one byte more, so a frame that claims little and gives much isn't unpacked.
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(f"{root}/blobs").select(F.regexp_extract("path", "([0-9a-f]{64})$", 1).alias("source_hash"), "content")
+    joined = found.join(files, "source_hash", "left")
+    schema, names = joined.select(*found.columns, "content").schema, [*found.columns, "content"]
 
     def verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
 
-        for b in batches:
-            out, states = [], []
-            for digest, content in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                state = None
-                if content[:4] == b"\x28\xb5\x2f\xfd":
+        for whole in batches:
+            for at in range(whole.num_rows):  # one blob in memory beside its batch
+                b = whole.slice(at, 1)
+                digest, size, reason, content = (b.column(c)[0].as_py() for c in ("source_hash", "size_bytes", "reason", "content"))
+                if reason is None and content is None:
+                    reason = "missing"
+                elif reason is None:
+                    most = min(size if size is not None else ceiling, ceiling)
                     try:
-                        content = zstandard.ZstdDecompressor().decompressobj().decompress(content)
+                        content = _read(content, most)
+                        if len(content) > most:
+                            reason = "over-declared-size"
+                        elif hashlib.sha256(content).hexdigest() != digest:
+                            reason = "wrong-digest"
+                        elif size is not None and len(content) != size:
+                            reason = "wrong-size"
                     except zstandard.ZstdError:
-                        state = "damaged"
-                if state is None and hashlib.sha256(content).hexdigest() != digest:
-                    state = "wrong-digest"
-                out.append(None if state else content)
-                states.append(state)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.binary()), pa.array(states, pa.string())], names=["source_hash", "content", "state"])
-
-    wanted = files.join(found.select("source_hash").distinct(), "source_hash", "left_semi").mapInArrow(verified, "source_hash string, content binary, state string")
-    joined = found.join(wanted, "source_hash", "left")
-    short = F.col("size_bytes").isNotNull() & F.col("content").isNotNull() & (F.octet_length("content") != F.col("size_bytes"))
-    reason = F.coalesce("reason", "state", F.when(F.col("content").isNull(), "missing"), F.when(short, "wrong-size"))
-    return joined.withColumn("reason", reason).withColumn("content", F.when(F.col("reason").isNull(), F.col("content"))).drop("state")
+                        reason = "damaged"
+                columns = {n: b.column(n) for n in names}
+                columns["reason"], columns["content"] = pa.array([reason], pa.string()), pa.array([None if reason else content], pa.binary())
+                yield pa.RecordBatch.from_arrays(list(columns.values()), names=names)
+
+    return joined.select(*names).mapInArrow(verified, schema)
+
+
+def to_fetch(found: DataFrame, held: DataFrame) -> DataFrame:
+    """The sessions whose artifact is usable and not among those held (source_hash)."""
+    return found.filter("source_hash is not null").join(held.select("source_hash"), "source_hash", "left_anti")
+
+
+def sync_stats(found: DataFrame, held: DataFrame) -> DataFrame:
+    """One row: sessions listed, hits and misses in what is held, recovered by a sibling, without a usable artifact, bytes to fetch."""
+    marked = found.join(held.select("source_hash", F.lit(True).alias("held")).distinct(), "source_hash", "left").withColumn("held", F.coalesce("held", F.lit(False)))
+    usable_ = F.col("source_hash").isNotNull()
+    miss = usable_ & ~F.col("held")
+    n = lambda c: F.coalesce(F.count_if(c), F.lit(0))
+    return marked.agg(F.count(F.lit(1)).alias("listed"), n(F.col("held")).alias("hits"), n(miss).alias("misses"), n(F.col("recovered")).alias("recovered"), n(~usable_).alias("unusable"), F.coalesce(F.sum(F.when(miss, F.col("size_bytes"))), F.lit(0)).alias("bytes_to_fetch"))
+
+
+def _optional(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """A folder of JSON, or no rows where the archive doesn't have it."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    there = p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
+    return spark.read.schema(schema).json(path) if there else spark.createDataFrame([], schema)
+
+
+def stats(spark: SparkSession, root: str) -> DataFrame:
+    """(sessions, bytes) as the archive states them; no row if it states none."""
+    return _optional(spark, f"{root}/stats", "sessions long, bytes long")
+
+
+def clients(spark: SparkSession, root: str) -> DataFrame:
+    """(name, sessions) of the archive's clients; no row if it states none."""
+    return _optional(spark, f"{root}/clients", "items array<struct<name:string,sessions:long>>").select(F.explode("items").alias("i")).select("i.*")
 
 
 def inventory(spark: SparkSession, root: str) -> DataFrame:

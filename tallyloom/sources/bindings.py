@@ -49,6 +49,36 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def coached_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """events: a session is a user, and every rule fires on some and stays clean on others.
+
+    By user modulo 5: 0 asks much (views are requests too), 1 asks once (the first record) and lets tools run, 2 runs one
+    command over and over; 3 and 4 are as in events().
+    """
+    e = table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp")).withColumn("k", F.get_json_object("props", "$.k").cast("int"))
+    w = Window.partitionBy("session_id").orderBy("ts", "event_id")
+    return (
+        e.withColumn("session_id", F.col("user_id").cast("string"))
+        .withColumn("record", F.row_number().over(w).cast("long"))
+        .withColumn("kind", F.expr("case when user_id % 5 = 1 then case when record = 1 then 'user' when event_type = 'signup' then 'assistant' else 'tool' end when event_type = 'signup' or (user_id % 5 = 0 and event_type = 'view') then 'user' when event_type = 'purchase' and k % 4 <> 0 then 'assistant' else 'tool' end"))
+        .withColumn("is_tool", F.col("kind") == "tool")
+        .selectExpr(
+            "session_id", "user_id", "record", "0 as pos", "ts", "kind",
+            "case when is_tool and event_type in ('view', 'error') then 'tool_result' when is_tool then 'tool_use' end as tool_event",
+            "case when is_tool and (event_type = 'click' or k % 2 = 1) then concat('T', k % 3) when is_tool and event_type = 'purchase' then 'Skill' end as tool_name",
+            "case when is_tool and event_type in ('click', 'view', 'error') then concat('c', k % 4) end as call_id",
+            "case when is_tool and event_type = 'click' then if(user_id % 5 = 2, 'make test', if(k % 7 = 0, 'git commit -m x', concat('cmd-', k % 5))) end as command",
+            "case when is_tool and event_type = 'purchase' and user_id % 2 = 0 then if(k % 8 = 0, 'code-review', 'deploy') end as skill",
+            "case when is_tool and event_type = 'view' then 'true' when is_tool and event_type = 'error' then if(k % 5 = 0, 'false', 'true') end as success",
+            "cast(null as string) as is_error",
+            "case when event_type = 'signup' and k % 3 = 0 then if(k % 2 = 0, 'complete', 'start') end as compaction_phase",
+            "case when event_type = 'signup' and k % 18 = 0 then false end as compaction_succeeded",
+            "case when event_type = 'signup' and k % 6 = 0 and (user_id % 3 = 0 or k % 4 = 0) then cast(k * 1000 as bigint) end as pre_tokens",
+            "case when kind = 'user' then concat(if(k % 10 = 0, '<system-reminder>', ''), 'please look into number ', k, if(k % 4 = 0, '', ' and tell me what is wrong there')) end as text",
+        )
+    )
+
+
 def sessions(e: DataFrame) -> DataFrame:
     """One row per session of events()."""
     return (
@@ -89,10 +119,34 @@ EVENTS_SQL = """
                ['+02:00', 'Z', '-05:30', NULL][CAST(max(user_id) % 4 + 1 AS INTEGER)] AS utc_offset
         FROM e GROUP BY session_id)"""
 
-#: CTE m: session_metrics over the bindings.
-METRICS_SQL = (
-    EVENTS_SQL
-    + """,
+#: The same for coached_events.
+COACHED_SQL = """
+    e0 AS (
+        SELECT *, CAST(json_extract_string(props, '$.k') AS INTEGER) AS k, CAST(user_id AS VARCHAR) AS session_id,
+               row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS record FROM events),
+    e1 AS (
+        SELECT *, CASE WHEN user_id % 5 = 1 THEN CASE WHEN record = 1 THEN 'user' WHEN event_type = 'signup' THEN 'assistant' ELSE 'tool' END
+                       WHEN event_type = 'signup' OR (user_id % 5 = 0 AND event_type = 'view') THEN 'user'
+                       WHEN event_type = 'purchase' AND k % 4 <> 0 THEN 'assistant' ELSE 'tool' END AS kind FROM e0),
+    e AS (
+        SELECT session_id, user_id, record, ts, event_type, k, kind,
+               CASE WHEN kind = 'tool' AND (event_type = 'click' OR k % 2 = 1) THEN 'T' || (k % 3) WHEN kind = 'tool' AND event_type = 'purchase' THEN 'Skill' END AS tool_name,
+               CASE WHEN kind = 'tool' AND event_type IN ('click', 'view', 'error') THEN 'c' || (k % 4) END AS call_id,
+               CASE WHEN kind = 'tool' AND event_type = 'click' THEN CASE WHEN user_id % 5 = 2 THEN 'make test' WHEN k % 7 = 0 THEN 'git commit -m x' ELSE 'cmd-' || (k % 5) END END AS command,
+               CASE WHEN kind = 'tool' AND event_type = 'purchase' AND user_id % 2 = 0 THEN CASE WHEN k % 8 = 0 THEN 'code-review' ELSE 'deploy' END END AS skill,
+               CASE WHEN kind = 'tool' AND event_type = 'view' THEN true WHEN kind = 'tool' AND event_type = 'error' THEN k % 5 <> 0 END AS ok,
+               event_type = 'signup' AND k % 6 = 0 AS compacted, event_type = 'signup' AND k % 6 = 3 AS started, event_type = 'signup' AND k % 18 = 0 AS failed_compaction,
+               CASE WHEN event_type = 'signup' AND k % 6 = 0 AND (user_id % 3 = 0 OR k % 4 = 0) THEN k * 1000 END AS pre_tokens
+        FROM e1),
+    s AS (
+        SELECT session_id, ['claude-code', 'copilot-cli', 'codex-cli'][CAST(max(user_id) % 3 + 1 AS INTEGER)] AS source_agent, max(ts) AS archived_at,
+               CASE WHEN max(user_id) % 7 = 0 THEN NULL ELSE 'repo-' || (max(user_id) % 7) END AS repository,
+               CASE WHEN max(user_id) % 4 = 0 THEN NULL ELSE 'host-' || (max(user_id) % 4) END AS hostname,
+               ['+02:00', 'Z', '-05:30', NULL][CAST(max(user_id) % 4 + 1 AS INTEGER)] AS utc_offset
+        FROM e GROUP BY session_id)"""
+
+_FOLD_SQL = (
+    """,
     named AS (
         SELECT *, coalesce(tool_name, CASE WHEN call_id IS NOT NULL THEN last_value(tool_name IGNORE NULLS) OVER (
                       PARTITION BY session_id, call_id ORDER BY record ROWS UNBOUNDED PRECEDING) END) AS tool FROM e),
@@ -154,6 +208,9 @@ METRICS_SQL = (
         FROM m)"""
 )
 
+#: CTEs m (session_metrics) and v (verdicts) over the bindings.
+METRICS_SQL, COACHED_METRICS_SQL = EVENTS_SQL + _FOLD_SQL, COACHED_SQL + _FOLD_SQL
+
 #: Macro-like CTEs: lane scores by the columns in {by} over the metrics {m} and verdicts {v}.
 LANES_SQL = """,
     sg AS (

@@ -10,7 +10,7 @@ import __spark_entry__ as entry
 from tallyloom.functions import grammar, text
 from tallyloom.functions.predicates import is_commit, is_review, offset_minutes
 from tallyloom.operators import cost, metrics, rules, scoring
-from tallyloom.plans.queries import ORACLE_SQL, QUERIES
+from tallyloom.plans.registry import ORACLE_SQL, QUERIES
 
 SF = "/root/testdata/sf0.001"
 EVENT = (

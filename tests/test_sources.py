@@ -5,6 +5,7 @@ import hashlib
 import json
 
 import pytest
+from pyspark.sql import functions as F
 
 from tallyloom.operators import metrics, rules
 from tallyloom.plans import queries, reports
@@ -113,6 +114,8 @@ def test_reports(spark):
     assert sum(a["sessions"] for a in doc["data"]["agents"]) == doc["data"]["totals"]["sessions"]
     assert "## Lanes" in reports.report_markdown(doc)
     assert "4137a6c61b13" in reports.catalogue()
+    page = reports.catalogue_html()
+    assert "<h2>Redaction</h2>" in page and page.count("<table>") == page.count("</table>") == 4 and "&lt;synthetic&gt;" not in page
     payload = reports.dashboard({"10d": m}, m, now)
     assert sum(x["sessions"] for x in payload["data"]["timeline"]) == m.count() == sum(x["sessions"] for x in payload["data"]["heatmap"])
     from tallyloom.operators import cost
@@ -144,3 +147,76 @@ def test_text_reports(spark):
     doc = reports.repetition_report("flows", found, repetition.flows(c, talks, found), repetition.coverage(m), now)
     assert [(x["occurrences"], x["conversations"], x["representative"]) for x in doc["data"]["clusters"]] == [(2, 2, f"{text} request")]
     assert "2×" in reports.repetition_markdown(doc)
+
+
+def test_the_dashboard_has_all_sections(spark):
+    from tallyloom.operators import cost
+    from tallyloom.sources import bindings
+
+    sf, now = "/root/testdata/sf0.001", dt.datetime(2024, 2, 1, tzinfo=dt.UTC)
+    e = bindings.coached_events(spark, sf).cache()
+    m = metrics.session_metrics(e, bindings.sessions(e), bindings.IDLE_GAP_MS).withColumn("side", F.lit("reported")).cache()
+    payload = reports.dashboard({"all": m}, m, now, bindings.MARATHON_MS, e, queries._lines(spark, sf), cost.price_table(spark), bindings.summaries(spark, sf))
+    data = payload["data"]
+    assert {"windows", "scopes", "scope_findings", "timeline", "heatmap", "devices", "landing", "anchors", "cost", "standup"} <= set(data) and payload["provenance"]["sessions"] == m.count()
+    fired = {f["rule"]: f["fired"] for f in data["windows"]["all"]["findings"]}
+    assert sum(f["sessions"] for f in data["scope_findings"]) == sum(fired.values())
+    assert {s["rule"] for s in data["windows"]["all"]["stated"]} == {k for k, n in fired.items() if n}
+    text = reports.report_markdown(reports.report(m, now, "all", bindings.MARATHON_MS, metrics.tool_tally(e)))
+    assert "### Retry loop" in text and "one command run" in text
+
+
+def test_secrets_are_scrubbed_before_the_cut(spark):
+    """A token that lies across the end of a snippet or an excerpt is found whole."""
+    from tallyloom.operators import summaries as S
+    from tallyloom.sources import bindings
+
+    token = "ghp_" + "a1B2" * 10
+    goal = "decided " + "x" * 180 + " " + token + " tail"
+    rows = bindings.summaries(spark, "/root/testdata/sf0.001").limit(1).withColumns({"goal": F.lit(goal), "title": F.lit("t"), "placeholder": F.lit(False), "decisions": F.array().cast("array<string>")})
+    hit = S.ask(rows, "what was decided").first()
+    assert "[REDACTED:" in hit.snippet and "ghp_" not in hit.snippet
+    lines_ = spark.createDataFrame([("s", 1, 1, "y" * 60 + goal)], "session_id string, locator long, line_no long, line string")
+    assert "ghp_" not in S.verbatim(lines_, "decided").first().excerpt
+
+
+def test_the_standup_has_no_cap(spark):
+    rows = [(f"h{k}", f"title {k}", [f"decision {k}"]) for k in range(30)]
+    s = spark.createDataFrame(rows, "source_hash string, title string, decisions array<string>").selectExpr(
+        "source_hash", "timestamp'2026-08-01 00:00:00' as archived_at", "title", "'r' as repository", "array() as tags", "'g' as goal", "decisions", "cast(array() as array<string>) as open_items", "false as placeholder"
+    )
+    d = reports.standup_report(s, dt.datetime(2026, 8, 2, tzinfo=dt.UTC), "7d")["data"]
+    assert len(d["sessions"]) == len(d["decisions"]) == 30
+
+
+def test_blobs_beyond_their_declared_size_are_not_unpacked():
+    import zstandard
+
+    bomb = zstandard.ZstdCompressor().compress(bytes(50_000_000))
+    assert len(archive._read(bomb, 1000)) == 1001
+
+
+def test_routes():
+    from tallyloom.functions.web import route
+
+    digest = "a" * 64
+    assert route("GET", "/")[0] == "page" and route("POST", "/")[0] == "method-not-allowed" and route("GET", "/x")[0] == "not-found"
+    assert route("GET", f"/api/evidence/{digest}/12")[1] == {"source_hash": digest, "locator": 12} and route("GET", f"/api/evidence/{digest}/012")[0] == "not-found"
+    assert route("GET", "/api/ask?q=a%20b&limit=3")[1] == {"question": "a b", "limit": 3} and route("GET", "/api/ask?q=&limit=3")[0] == route("GET", "/api/ask?q=x&limit=0")[0] == "bad-request"
+
+
+def test_a_failed_refresh_keeps_the_last_body(spark, tmp_path):
+    """State lies in the folder, so it outlives the process that failed."""
+    path = str(tmp_path / "payload")
+
+    def fails():
+        raise RuntimeError("no")
+
+    with pytest.raises(RuntimeError):
+        streams.refresh_once(spark, path, 0, fails)
+    assert streams.refresh_once(spark, path, 0, lambda: "good")["stale_since"] is None
+    first = streams.refresh_once(spark, path, 1, fails)
+    again = streams.refresh_once(spark, path, 2, fails)
+    assert first["stale_since"] and again["stale_since"] == first["stale_since"] and streams.refresh_once(spark, path, 1, lambda: "late")["body_of"] == again["body_of"] == 0
+    streams.refresh_once(spark, path, 3, lambda: "new")
+    assert sorted((r.generation, r.body, r.stale_since is None) for r in streams.generations(spark, path).collect()) == [(0, "good", True), (1, "good", False), (2, "good", False), (3, "new", True)]
