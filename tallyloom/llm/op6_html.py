@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import defaultdict
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 from itertools import accumulate
@@ -15,20 +16,25 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyloom.llm.columns import as_id
+from tallyloom.llm.shingles import GROUP, in_groups
 from tallyloom.shared import cut
 
 #: Distinct pages of a host in which a subtree has to recur to be part of the site's template, whatever the host's size.
 LEAST_PAGES = 3
 
+#: An attribute's value, and a tag's name and attributes. A quote opens a value only behind an equals sign, as in the HTML
+#: standard; where it is never closed, the tag ends at the next sign of greater. A tag that the page's end cuts off is no
+#: text. Nothing is tried twice (possessive repetition), so time is in proportion to the page.
+_VALUE = r"""\"[^\"]*+\"|'[^']*+'|[^\s>"'][^\s>]*+"""
 _TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|"
-    r"<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']+|\"[^\"]*\"|'[^']*')*+)>",
+    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*+(?:>|\Z)|</(?![a-zA-Z])[^>]*+(?:>|\Z)|"
+    rf"<(/?)([a-zA-Z][^\s/>]*+)((?:[\s/]++|(?:=|[^\s/>=])[^\s/>=]*+(?:\s*+=\s*+(?:{_VALUE}))?+)*+)(?:>|\Z)",
     re.S | re.I,
 )
 #: Elements left out with all that is in them, unless they close themselves; without an end tag the first four reach to the end of the page.
 _TO_END = frozenset("script style iframe textarea".split())
-_RAW = {name: re.compile(rf"</{name}(?=[\s/>])[^>]*>", re.I) for name in (*_TO_END, "noscript", "template", "svg", "math", "object")}
-_ATTRIBUTE = re.compile(r"""([a-zA-Z-]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
+_RAW = {name: re.compile(rf"</{name}(?=[\s/>])[^>]*>", re.I) for name in (*_TO_END, "noscript", "template", "svg", "object")}
+_ATTRIBUTE = re.compile(rf"([^\s/>=]++)(?:\s*+=\s*+({_VALUE}))?+")
 _PART = re.compile(r"[^a-z0-9]+")
 
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -53,6 +59,11 @@ _NAMES = frozenset(
 _LISTS = frozenset("related recommended recommendations comment comments respond replies disqus".split())
 #: Before a name: the class of a wrapper that tells what is or isn't beside the article.
 _BESIDE = frozenset("no not non with without has".split())
+#: Beside a name: what only tells what kind of element has it.
+_KIND = frozenset(
+    "area articles bar block body bottom box button buttons container content field fixed form group inner item items left link links list "
+    "main module outer panel posts right row section slot sticky stories text thread title top unit wrap wrapper".split()
+)
 #: What carries an article's own words: never taken for a template inside the article.
 _CONTENT = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre li dd dt td th tr table figcaption figure b i em strong a span ul ol dl article main".split())
 
@@ -69,18 +80,21 @@ class _Node:
     name: int = 0
 
 
+_NAMED = ("first", "past", "name", "within", "holds")
+_NAMED_TYPE = pa.struct([(n, pa.bool_() if n in ("within", "holds") else pa.int32()) for n in _NAMED])
 #: What a class or id says: nothing, perhaps none of the article, surely none, or a list of others' articles.
 _NONE, _PERHAPS, _SURELY, _LIST = range(4)
 
 
 def _named(value: str, inside: bool) -> int:
-    """What the names in a class or id say."""
+    """What the names in a class or id say; a name beside a word that isn't a kind of element isn't sure."""
     found = _NONE
     for token in value.split():
         parts = [x for x in _PART.split(token) if x]
         hits = [x for k, x in enumerate(parts) if (x in _NAMES or (x == "header" and not inside)) and not (k and parts[k - 1] in _BESIDE)]
         if hits:
-            found = max(found, _LIST if not _LISTS.isdisjoint(hits) else _SURELY if len(hits) == len(parts) else _PERHAPS)
+            sure = all(x in hits or x in _KIND for x in parts)
+            found = max(found, _PERHAPS if not sure else _SURELY if _LISTS.isdisjoint(hits) else _LIST)
     return found
 
 
@@ -102,6 +116,15 @@ def _dropped(tag: str, attributes: str, inside: bool) -> tuple[bool, int]:
     return False, found
 
 
+def covered(ranges: list[tuple[int, int]], n: int) -> np.ndarray:
+    """Which of n places lie in any of the ranges [a, z)."""
+    edge = np.zeros(n + 1, dtype=np.int64)
+    for a, z in ranges:
+        edge[a] += 1
+        edge[z] -= 1
+    return np.cumsum(edge[:n]) > 0
+
+
 class Page:
     """One pass over a page: its blocks of text and the hashes of its subtrees.
 
@@ -116,6 +139,7 @@ class Page:
         self.named: list[tuple[int, int, int, bool, bool]] = []
         self.parts: list[str] = []
         self.stack = [_Node("", False, False)]
+        self.places: dict[str, list[int]] = defaultdict(list)  # of the open elements of each tag, and of all blocks
         at, unclosed = 0, set()
         while m := _TOKEN.search(source, at):
             if m.start() > at:
@@ -140,7 +164,6 @@ class Page:
         self._flush()
         while len(self.stack) > 1:
             self._pop()
-        self._drop_named()
 
     def _text(self, raw: str) -> None:
         text = html.unescape(raw) if "&" in raw else raw
@@ -164,26 +187,21 @@ class Page:
             if tag in _BLOCK:
                 self._flush()
             return
+        last = lambda *tags: max((self.places[t][-1] for t in tags if self.places[t]), default=0)
         if tag in _BLOCK:
             self._flush()
-            for k in range(len(self.stack) - 1, 0, -1):  # an open paragraph ends here
-                if self.stack[k].tag == "p":
-                    self._pop_to(k)
-                    break
-                if self.stack[k].tag in _BLOCK or self.stack[k].tag in _CELL:
-                    break
-        for k in range(len(self.stack) - 1, 0, -1):
-            if self.stack[k].tag in _CLOSES.get(tag, ()):
-                if tag in _BLOCK:
-                    self._flush()
+            if (k := last("p")) and k >= last(*_CELL, "block"):  # an open paragraph ends here
                 self._pop_to(k)
-                break
-            if self.stack[k].tag in _SCOPE.get(tag, ("table",)):
-                break
+        if tag in _CLOSES and (k := last(*_CLOSES[tag])) > last(*_SCOPE.get(tag, ("table",))):
+            if tag in _BLOCK:
+                self._flush()
+            self._pop_to(k)
         up = self.stack[-1]
         drop, name = _dropped(tag, attributes, up.inside)
         drop |= up.drop
         self.stack.append(_Node(tag, drop, up.inside or (tag in ("article", "main") and not drop), blocks_from=len(self.blocks), name=_NONE if drop else name))
+        for t in (tag, "block") if tag in _BLOCK else (tag,):
+            self.places[t].append(len(self.stack) - 1)
         self.stack[-1].hash.update(tag.encode("utf-8", "replace"))
         if attributes.endswith("/") and tag not in _BLOCK:
             self._pop()
@@ -191,12 +209,9 @@ class Page:
     def _close(self, tag: str) -> None:
         if tag in _BLOCK or tag in _CELL:
             self._flush() if tag in _BLOCK else self.parts.append(" ")
-        for k in range(len(self.stack) - 1, 0, -1):
-            if self.stack[k].tag == tag:
-                self._pop_to(k)
-                return
-            if tag not in _BLOCK and self.stack[k].tag in _BLOCK:
-                return  # a stray end tag doesn't end the block around it
+        at = self.places[tag]
+        if at and (tag in _BLOCK or not self.places["block"] or self.places["block"][-1] < at[-1]):  # a stray end tag doesn't end the block around it
+            self._pop_to(at[-1])
 
     def _pop_to(self, k: int) -> None:
         while len(self.stack) > k:
@@ -205,69 +220,65 @@ class Page:
     def _pop(self) -> None:
         node = self.stack.pop()
         up = self.stack[-1]
+        for t in (node.tag, "block") if node.tag in _BLOCK else (node.tag,):
+            self.places[t].pop()
         digest = node.hash.intdigest()
         up.hash.update(digest.to_bytes(8, "little"))
         up.text |= node.text
         up.holds_main |= node.holds_main or node.tag in ("article", "main", "body")
         if node.name and len(self.blocks) > node.blocks_from:
-            self.named.append((node.blocks_from, len(self.blocks), node.name, up.inside, node.holds_main))
+            self.named.append((node.blocks_from, len(self.blocks), node.name, up.inside, node.holds_main or node.tag in ("article", "main")))
         if node.text and node.tag in _BLOCK and node.tag not in ("html", "body", "head") and not node.holds_main and not (node.inside and node.tag in _CONTENT):
             self.subtrees.append((digest - (1 << 63), node.blocks_from, len(self.blocks)))
 
-    def _drop_named(self) -> None:
-        """Drop what classes and ids mark, but not what holds the article.
-
-        An element that holds articles, or whose name isn't sure and that is part of one, stays with half or more of
-        the articles' text; where no article stays, one whose name isn't sure stays with half or more of the page's
-        text. The articles of comments and the like count only where they are more than all other text.
-        """
-        if not self.named:
-            return
-        size = np.array([0 if drop else len(t) for t, _, drop in self.blocks], dtype=np.int64)
-        inner = size * np.array([inside for _, inside, _ in self.blocks], dtype=bool)
-        listed = np.zeros(len(size), dtype=bool)
-        for a, z, name, _, _ in self.named:
-            listed[a:z] |= name == _LIST
-        others, own, gone = int(size[~listed].sum()), int(inner[~listed].sum()), np.zeros(len(size), dtype=bool)
-        loose = []
-        for a, z, name, inside, holds in self.named:
-            n = int(inner[a:z].sum())
-            if name == _LIST:
-                stays = holds and 2 * n >= inner.sum() and n > others
-            else:
-                stays = n > 0 and (holds or (inside and name == _PERHAPS)) and 2 * n >= own
-                if not stays and not inside and not holds and name == _PERHAPS and 2 * int(size[a:z].sum()) >= others:
-                    loose.append((a, z))
-                    continue
-            if not stays:
-                gone[a:z] = True
-        article = bool(inner[~gone].sum())
-        for a, z in loose:
-            if article:
-                gone[a:z] = True
-        self.blocks = [(t, inside, drop or bool(x)) for (t, inside, drop), x in zip(self.blocks, gone, strict=True)]
-
-    def kept(self) -> tuple[list[str], list[bool], list[tuple[int, int, int]]]:
-        """Blocks that aren't dropped by tag or name, whether they are in an article, and the subtrees that cover any of them."""
+    def kept(self) -> tuple[list[str], list[bool], list[tuple[int, int, int]], list[tuple[int, int, int, bool, bool]]]:
+        """Blocks that aren't dropped by tag, role or style, whether they are in an article, and the subtrees and named elements that cover any of them."""
         at = list(accumulate((not drop for _, _, drop in self.blocks), initial=0))
         texts, insides = [t for t, _, drop in self.blocks if not drop], [inside for _, inside, drop in self.blocks if not drop]
-        return texts, insides, [(d, at[a], at[z]) for d, a, z in self.subtrees if at[a] < at[z]]
+        return texts, insides, [(d, at[a], at[z]) for d, a, z in self.subtrees if at[a] < at[z]], [(at[a], at[z], *more) for a, z, *more in self.named if at[a] < at[z]]
 
     def main_text(self, template: set[int]) -> str:
-        """What is kept, less the template."""
+        """What is left without the template and what else is none of the article."""
         return main_of(*self.kept(), template)
 
 
-def main_of(texts: list[str], insides: list[bool], subtrees: Iterable[tuple[int, int, int]], template: set[int]) -> str:
-    """The blocks outside the subtrees that are in the template; only those of articles, if these are half or more of the text."""
-    gone = np.zeros(len(texts), dtype=bool)
-    for digest, a, z in subtrees:
-        if digest in template:
-            gone[a:z] = True
-    stays = [(t, inside) for t, inside, x in zip(texts, insides, gone, strict=True) if not x]
-    inner = sum(len(t) for t, inside in stays if inside)
-    whole = 2 * inner < sum(len(t) for t, _ in stays)
-    return "\n\n".join(t for t, inside in stays if inside or whole)
+def marked(size: np.ndarray, inside: np.ndarray, named: Iterable[tuple[int, int, int, bool, bool]]) -> np.ndarray:
+    """Which blocks classes and ids mark, but not what holds the article. size is 0 for blocks that are gone.
+
+    Inside an article an element whose name isn't sure stays, as does one that holds articles with half or more of the
+    articles' text; where no article stays, one whose name isn't sure stays with half or more of the page's text. The
+    articles of comments and the like count only where they are more than all other text.
+    """
+    n = len(size)
+    inner = size * inside
+    listed = covered([(a, z) for a, z, name, _, _ in named if name == _LIST], n)
+    upto, inner_upto = (np.concatenate([[0], np.cumsum(x)]) for x in (size, inner))
+    others, own, total = int(size[~listed].sum()), int(inner[~listed].sum()), int(inner.sum())
+    loose, gone = [], []
+    for a, z, name, within, holds in named:
+        held = int(inner_upto[z] - inner_upto[a])
+        if name == _LIST:
+            stays = holds and 2 * held >= total and held > others
+        elif name == _PERHAPS and within:
+            stays = True
+        else:
+            stays = held > 0 and holds and 2 * held >= own
+            if not stays and not holds and name == _PERHAPS and 2 * int(upto[z] - upto[a]) >= others:
+                loose.append((a, z))
+                continue
+        if not stays:
+            gone.append((a, z))
+    return covered(gone + loose if inner[~covered(gone, n)].sum() else gone, n)
+
+
+def main_of(texts: list[str], insides: list[bool], subtrees: Iterable[tuple[int, int, int]], named: Iterable[tuple[int, int, int, bool, bool]], template: set[int]) -> str:
+    """The blocks outside the subtrees of the template, then without what names mark; only those of articles, if these are half or more of the text."""
+    size, inside = np.array(list(map(len, texts)), dtype=np.int64), np.array(insides, dtype=bool)
+    size[covered([(a, z) for digest, a, z in subtrees if digest in template], len(texts))] = 0
+    if named := list(named):
+        size[marked(size, inside, named)] = 0
+    whole = 2 * int(size[inside].sum()) < int(size.sum())
+    return "\n\n".join(t for t, n, x in zip(texts, size, inside, strict=True) if n and (x or whole))
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
@@ -278,9 +289,10 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
        partial aggregation, are its template.
     2. The rows meet the template by host and subtree (a join that AQE splits where skewed) and are gathered by page:
        each page has its own subtrees that are template, never more than it has subtrees.
-    3. Pages meet these by host and page, as blocks of text without what tags, roles, classes and ids mark as menus,
-       headers, footers, sidebars, notices, adverts, forms, scripts, styles and comments; the template's are deleted.
-       Articles are the text where they are half or more of what is left, else all of that is.
+    3. Pages meet these by host and page, as blocks of text without what tags and roles say is a menu, header, footer,
+       sidebar, dialog or form. The template's subtrees are deleted first; of the rest classes and ids mark notices,
+       adverts, sidebars and comments, but never what holds the article's words. Articles are the text where they are
+       half or more of what is left, else all of that is.
 
     Nulls: a null html counts as empty; a null url stays null, and such pages count as one host without name; a null id
     stays null. Empty html: empty text. Very long html: one page at a time in memory, time in proportion. Ties and
@@ -293,7 +305,7 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
         return xxhash.xxh64_intdigest(source.encode("utf-8", "replace")) - (1 << 63)
 
     def subtrees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in in_groups(batches):
             hosts, sources, digests = [], [], []
             for name, source in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 found = {d for d, _, _ in Page(source).subtrees}
@@ -303,20 +315,21 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
             yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(sources, pa.int64()), pa.array(digests, pa.int64())], names=["host", "page", "subtree"])
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in in_groups(batches, "html"):
             sources = b.column("html").to_pylist()
-            texts, insides, found = zip(*(Page(x).kept() for x in sources), strict=True) if sources else ((), (), ())
+            texts, insides, found, named = zip(*(Page(x).kept() for x in sources), strict=True) if sources else ((), (), (), ())
             columns = [pa.array([[s[k] for s in x] for x in found], pa.list_(t)) for k, t in enumerate((pa.int64(), pa.int32(), pa.int32()))]
-            yield pa.RecordBatch.from_arrays([*(b.column(n) for n in ("page_id", "url", "host")), pa.array(map(digest_of, sources), pa.int64()), pa.array(texts, pa.list_(pa.string())), pa.array(insides, pa.list_(pa.bool_())), *columns], names=["page_id", "url", "host", "page", "texts", "insides", "subtrees", "first", "past"])
+            columns.append(pa.array([[dict(zip(_NAMED, x, strict=True)) for x in page] for page in named], pa.list_(_NAMED_TYPE)))
+            yield pa.RecordBatch.from_arrays([*(b.column(n) for n in ("page_id", "url", "host")), pa.array(map(digest_of, sources), pa.int64()), pa.array(texts, pa.list_(pa.string())), pa.array(insides, pa.list_(pa.bool_())), *columns], names=["page_id", "url", "host", "page", "texts", "insides", "subtrees", "first", "past", "named"])
 
     def texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            c = [b.column(n).to_pylist() for n in ("texts", "insides", "subtrees", "first", "past", "template")]
-            out = [main_of(t, inside, zip(d, a, z, strict=True), set(found or ())) for t, inside, d, a, z, found in zip(*c, strict=True)]
+        for b in (whole.slice(at, GROUP) for whole in batches for at in range(0, whole.num_rows, GROUP)):
+            c = [b.column(n).to_pylist() for n in ("texts", "insides", "subtrees", "first", "past", "named", "template")]
+            out = [main_of(t, inside, zip(d, a, z, strict=True), (tuple(x.values()) for x in named), set(found or ())) for t, inside, d, a, z, named, found in zip(*c, strict=True)]
             yield pa.RecordBatch.from_arrays([b.column("page_id"), b.column("url"), pa.array(out, pa.string()), pa.array(map(len, out), pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
     seen = cut(base.select("host", "html").mapInArrow(subtrees, "host string, page long, subtree long").distinct(), "subtrees")
     template = seen.groupBy("host", "subtree").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= LEAST_PAGES).select("host", "subtree")
     own = seen.join(template, ["host", "subtree"]).groupBy("host", "page").agg(F.collect_set("subtree").alias("template"))
-    parsed = base.mapInArrow(blocks, "page_id long, url string, host string, page long, texts array<string>, insides array<boolean>, subtrees array<long>, first array<int>, past array<int>")
-    return parsed.join(own, ["host", "page"], "left").select("page_id", "url", "texts", "insides", "subtrees", "first", "past", "template").mapInArrow(texts, "page_id long, url string, text string, n_chars long")
+    parsed = base.mapInArrow(blocks, "page_id long, url string, host string, page long, texts array<string>, insides array<boolean>, subtrees array<long>, first array<int>, past array<int>, named array<struct<first:int,past:int,name:int,within:boolean,holds:boolean>>")
+    return parsed.join(own, ["host", "page"], "left").select("page_id", "url", "texts", "insides", "subtrees", "first", "past", "named", "template").mapInArrow(texts, "page_id long, url string, text string, n_chars long")
