@@ -11,7 +11,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyloom.llm.bits import bitmap_of, maybe_in
+from tallyloom.llm.bits import bitmap_of, bitmap_table, maybe_in, with_hits
 from tallyloom.llm.columns import BLANKS, as_id, fresh, worker_value
 from tallyloom.llm.shingles import in_groups
 from tallyloom.shared import cut
@@ -206,29 +206,25 @@ def body_sha(text) -> Column:
     return F.sha2(F.translate(F.coalesce(text, F.lit("")), BLANKS, ""), 256)
 
 
-def one_each(docs: DataFrame, kept: DataFrame, by: list[str], id_col: str, text_col: str) -> DataFrame:
-    """One row of docs for each id and text (less blanks) that meets a row of kept in the columns by, doc_id and perhaps text_sha256.
+def one_each(docs: DataFrame, groups: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """The rows of docs that groups keeps, of those with one id and text (less blanks) one: the first by its JSON.
 
-    Only rows of ids that kept has more than once are shuffled with all their columns, by partial aggregation: the row
-    with the most code points stays, then the first by its JSON.
+    groups: (doc_id, kept) or (doc_id, kept, text_sha256), a row for each row of docs. Rows whose id is there once and
+    kept pass without a shuffle: a bitmap of fixed size marks the other ids, and only rows that it marks are joined.
     """
-    stays, sha, other = fresh(docs, "stays", "sha", "row")
-    row = docs.withColumns({stays: docs[id_col].cast("long"), sha: body_sha(docs[text_col])})
-    times = cut(kept.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")), "kept-ids")
-    once = times.filter("n = 1").select("doc_id")
-    many = times.filter("n > 1").select(F.col("doc_id").alias("again"))
-    again = kept.join(many, F.col("doc_id").eqNullSafe(F.col("again")), "left_semi").select(*by).distinct()
-
-    def met(stay: DataFrame, keys: list[str]) -> DataFrame:
-        named = dict(zip(keys, fresh(docs, *(f"kept_{k}" for k in keys)), strict=True))
-        on = F.col(stays).eqNullSafe(F.col(named["doc_id"])) & (F.col(sha) == F.col(named["text_sha256"]) if "text_sha256" in keys else F.lit(True))
-        return row.join(stay.select(*(F.col(k).alias(n) for k, n in named.items())), on, "left_semi")
-
-    if many.isEmpty():
-        return met(once, by[:1]).select(*docs.columns)
-    best = F.struct(-F.length(F.coalesce(F.col(text_col), F.lit(""))), F.to_json(F.struct(*docs.columns)))
-    first = met(again, by).groupBy(stays, sha).agg(F.min_by(F.struct(*docs.columns), best).alias(other)).select(f"{other}.*")
-    return met(once, by[:1]).select(*docs.columns).unionByName(first)
+    by = [c for c in ("doc_id", "text_sha256") if c in groups.columns]
+    touched = cut(groups.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.bool_and("kept").alias("kept")).filter("n > 1 or not kept").select("doc_id"), "touched")
+    hit, stays, sha, other, *named = fresh(docs, "hit", "stays", "sha", "row", *(f"kept_{c}" for c in by))
+    ident = F.coalesce(docs[id_col].cast("long"), F.lit(0).cast("long"))
+    marked = with_hits(docs, ident, bitmap_table(touched, F.coalesce("doc_id", F.lit(0).cast("long"))), hit)
+    doubtful = marked.filter(hit).drop(hit).withColumns({stays: F.col(id_col).cast("long"), sha: body_sha(F.col(text_col))})
+    same_id = lambda right: F.col(stays).eqNullSafe(F.col(right))
+    spared = doubtful.join(touched.select(F.col("doc_id").alias(named[0])), same_id(named[0]), "left_anti")
+    wanted = groups.filter("kept").join(touched.select(F.col("doc_id").alias("again")), F.col("doc_id").eqNullSafe(F.col("again")), "left_semi")
+    wanted = wanted.select(*(F.col(c).alias(n) for c, n in zip(by, named, strict=True))).distinct()
+    met = doubtful.join(wanted, same_id(named[0]) & (F.col(sha) == F.col(named[1]) if len(by) > 1 else F.lit(True)), "left_semi")
+    first = met.groupBy(stays, sha).agg(F.min_by(F.struct(*docs.columns), F.struct(-F.length(F.coalesce(F.col(text_col), F.lit(""))), F.to_json(F.struct(*docs.columns)))).alias(other)).select(f"{other}.*")
+    return marked.filter(~F.col(hit)).select(*docs.columns).unionByName(spared.select(*docs.columns)).unionByName(first)
 
 
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -237,12 +233,5 @@ def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     Nulls, empty and very long texts, ties and empty tables as in exact_groups; repeated rows: one stays, the first by
     its JSON if other columns differ. Other columns, whatever their names, are kept.
     """
-    groups = cut(exact_groups(docs, id_col, text_col).filter("kept").select("doc_id", "text_sha256"), "exact-kept")
-    return one_each(docs, met_by_text(docs, groups, id_col, text_col), ["doc_id", "text_sha256"], id_col, text_col)
-
-
-def met_by_text(docs: DataFrame, kept: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """kept, with the rows doubled whose id other rows of docs have too: these have to be met by their text."""
-    ids = docs.select(as_id(docs, id_col)).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(F.col("doc_id").alias("again"))
-    twice = kept.join(ids, F.col("doc_id").eqNullSafe(F.col("again")), "left_semi")
-    return kept.unionByName(twice)
+    groups = cut(exact_groups(docs, id_col, text_col).select("doc_id", "kept", "text_sha256"), "exact-kept")
+    return one_each(docs, groups, id_col, text_col)

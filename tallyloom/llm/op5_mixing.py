@@ -5,11 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyloom.llm.columns import WORD, as_id, fresh
+from tallyloom.llm.columns import WORD, as_id
 from tallyloom.shared import cut
 
 #: Hash buckets of a source: sums over them stand in for its documents, so no window holds a whole source.
 BUCKETS = 1 << 16
+#: Buckets that are summed as one at first, so that no task orders more than BUCKETS / STEP or STEP sums of a source.
+STEP = 1 << 8
 #: Sources up to which their plan (some 100 bytes each) is broadcast, and tasks that share one source beyond.
 MOST_SOURCES, SALTS = 10_000, 64
 
@@ -53,6 +55,14 @@ def water_fill(sources: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share:
     return s.withColumn("target", target).select("source", "source_size", "target", F.floor(F.col("target") + 0.5).cast("long").alias("goal"))
 
 
+def ends_in(sums: DataFrame, rests: DataFrame) -> DataFrame:
+    """(source, at, need): where, in the order of at, the words of a source first come to its rest, and what is needed there. sums: (source, at, words)."""
+    running = Window.partitionBy("source").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
+    before = sums.withColumn("before", F.coalesce(F.sum("words").over(running), F.lit(0)))
+    found = before.join(rests.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s"))).filter("before < rest and before + words >= rest")
+    return found.select("source", "at", (F.col("rest") - F.col("before")).alias("need"))
+
+
 def meet(docs: DataFrame, plan: DataFrame) -> DataFrame:
     """docs joined to the plan of their source: the plan is broadcast if it is small, else each source is dealt over SALTS tasks."""
     same = F.col("source").eqNullSafe(F.col("s"))
@@ -86,31 +96,42 @@ def mix(
     text: size 0, takes 0. Very long text: counted whole, may be the one that is taken in part. Ties in the order
     (repeated rows): they are equal rows, so either may come first. Empty table: no rows. Other columns are ignored.
     """
-    ident = F.col("doc_id")
     d = docs.select(as_id(docs, id_col), words_in(docs[text_col]).alias("size"), docs[source_col].cast("string").alias("source"))
+    sized = cut(d.withColumns(seeded(F.col("doc_id"), seed)), "mix-sized")
+    return taken(sized, plan_of(sized, weights, share, epochs)).select("doc_id", "size", "source_size", "target", "taken")
+
+
+def seeded(ident: Column, seed: str) -> dict[str, Column]:
+    """digest and bucket of a document: its place in the seeded order."""
     digest = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(ident.cast("string"), F.lit(""))))
-    sized = cut(d.withColumn("digest", digest).withColumn("bucket", F.conv(F.substring("digest", 1, 4), 16, 10).cast("int")), "mix-sized")
-    buckets = sized.groupBy("source", "bucket").agg(F.sum("size").alias("words"))
+    return {"digest": digest, "bucket": F.conv(F.substring(digest, 1, 4), 16, 10).cast("int")}
+
+
+def plan_of(sized: DataFrame, weights: tuple[int, ...], share: float, epochs: int) -> DataFrame:
+    """(s, source_size, target, times, end, need): what each source s takes, from (source, bucket, size) of its documents."""
+    buckets = cut(sized.groupBy("source", "bucket").agg(F.sum("size").alias("words")), "mix-buckets")
     sources = water_fill(buckets.groupBy("source").agg(F.sum("words").alias("source_size")), weights, share, epochs)
     plan = sources.withColumn("times", F.when(F.col("source_size") > 0, F.floor(F.col("goal") / F.col("source_size"))).otherwise(0).cast("long")).withColumn(
         "rest", F.col("goal") - F.col("times") * F.col("source_size")
     )
-    running = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    last = (
-        buckets.withColumn("before", F.coalesce(F.sum("words").over(running), F.lit(0)))
-        .join(plan.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s")))
-        .filter("before < rest and before + words >= rest")
-        .select(F.col("source").alias("ends_in"), F.col("bucket").alias("end"), (F.col("rest") - F.col("before")).alias("need"))
-    )
+    # the rest ends in one bucket: found among STEP-wide ranges of buckets, then among that range's
+    coarse = ends_in(buckets.groupBy("source", F.floor(F.col("bucket") / STEP).cast("int").alias("at")).agg(F.sum("words").alias("words")), plan.select("source", "rest"))
+    inner = coarse.select(F.col("source").alias("in_source"), F.col("at").alias("range"), F.col("need").alias("rest"))
+    fine = buckets.join(inner, F.col("source").eqNullSafe(F.col("in_source")) & (F.floor(F.col("bucket") / STEP) == F.col("range"))).select("source", F.col("bucket").alias("at"), "words")
+    last = ends_in(fine, inner.select(F.col("in_source").alias("source"), "rest")).select(F.col("source").alias("ends_in"), F.col("at").alias("end"), "need")
     plan = plan.join(last, F.col("source").eqNullSafe(F.col("ends_in")) & F.col("end").isNotNull(), "left")
-    plan = cut(plan.select(F.col("source").alias("s"), "source_size", "target", "times", "end", "need"), "mix-plan")
+    return cut(plan.select(F.col("source").alias("s"), "source_size", "target", "times", "end", "need"), "mix-plan")
+
+
+def taken(sized: DataFrame, plan: DataFrame) -> DataFrame:
+    """sized (doc_id, size, source, digest, bucket and more) with its source's plan and taken, the words that the mix takes of it."""
     joined = meet(sized, plan)
     at_end = F.coalesce(F.col("bucket") == F.col("end"), F.lit(False))
     inside = Window.partitionBy("source").orderBy("digest", "doc_id").rowsBetween(Window.unboundedPreceding, -1)
     part = F.greatest(F.lit(0), F.least(F.col("size"), F.col("need") - F.coalesce(F.sum("size").over(inside), F.lit(0))))
-    out = lambda df, more: df.select("doc_id", "size", "source_size", "target", (F.col("times") * F.col("size") + more).cast("long").alias("taken"))
-    far = joined.filter(~at_end)
-    return out(far, F.when(F.col("bucket") < F.col("end"), F.col("size")).otherwise(0)).unionByName(out(joined.filter(at_end), part))
+    whole = F.col("times") * F.col("size")
+    far = joined.filter(~at_end).withColumn("taken", (whole + F.when(F.col("bucket") < F.col("end"), F.col("size")).otherwise(0)).cast("long"))
+    return far.unionByName(joined.filter(at_end).withColumn("taken", (whole + part).cast("long")))
 
 
 def repeat_documents(
@@ -127,20 +148,21 @@ def repeat_documents(
 
     A document that takes part of its words beyond whole repetitions (one per source at most) gives one more row with
     that many first words, joined by one space; an n_chars column follows the text. Documents that take nothing go.
-    Rows that share an id are one document here: their takes are equal unless one of them is the one that is cut, and
-    then each of them takes the largest. Nulls, empty texts and empty tables as in `mix`; columns keep their names,
-    whatever they are.
+    Rows are neither shuffled nor joined by id: each meets its source's plan and takes its own words, but for the few
+    of the one bucket in which its source's rest ends. Nulls, empty and very long texts, ties, repeated rows and empty
+    tables as in `mix`; columns keep their names, whatever they are.
     """
-    ident, takes, size, copy = fresh(docs, "id", "taken", "size", "copy")
-    mixed = mix(docs, weights, share, epochs, seed, id_col, text_col, source_col)
-    taken = mixed.groupBy(F.col("doc_id").alias(ident)).agg(F.max("taken").alias(takes), F.max("size").alias(size))
-    d = docs.join(taken.filter(F.col(takes) > 0), docs[id_col].cast("long").eqNullSafe(F.col(ident)))
-    whole = F.floor(F.col(takes) / F.col(size)).cast("int")
-    rest = (F.col(takes) % F.col(size)).cast("int")
-    copies = d.withColumn(copy, F.explode(F.sequence(F.lit(0), whole - F.when(rest > 0, 0).otherwise(1))))
-    cut_here = F.col(copy) == F.when(rest > 0, whole).otherwise(-1)
-    part = F.array_join(F.slice(F.regexp_extract_all(F.col(text_col), F.lit(f"({WORD})"), F.lit(1)), 1, rest), " ")
-    out = copies.withColumn(text_col, F.when(cut_here, part).otherwise(F.col(text_col)))
+    sized = docs.select(as_id(docs, id_col), words_in(docs[text_col]).alias("size"), docs[source_col].cast("string").alias("source"), F.struct(*docs.columns).alias("row"))
+    sized = sized.withColumns(seeded(F.col("doc_id"), seed))
+    plan = plan_of(cut(sized.select("source", "bucket", "size"), "mix-sized"), weights, share, epochs)
+    d = taken(sized, plan).filter("taken > 0").select("row", "size", "taken")
+    whole = F.floor(F.col("taken") / F.col("size")).cast("int")
+    rest = (F.col("taken") % F.col("size")).cast("int")
+    copies = d.withColumn("copy", F.explode(F.sequence(F.lit(0), whole - F.when(rest > 0, 0).otherwise(1))))
+    cut_here = F.col("copy") == F.when(rest > 0, whole).otherwise(-1)
+    text = F.col("row").getField(text_col)
+    part = F.array_join(F.slice(F.regexp_extract_all(text, F.lit(f"({WORD})"), F.lit(1)), 1, rest), " ")
+    fields = {c: F.col("row").getField(c) for c in docs.columns} | {text_col: F.when(cut_here, part).otherwise(text)}
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(cut_here, F.char_length(text_col).cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return out.select(*docs.columns)
+        fields["n_chars"] = F.when(cut_here, F.char_length(part).cast(docs.schema["n_chars"].dataType)).otherwise(fields["n_chars"])
+    return copies.select(*(x.alias(c) for c, x in fields.items()))

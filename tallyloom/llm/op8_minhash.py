@@ -192,7 +192,8 @@ def near_groups(docs: DataFrame, threshold_percent: int = 80, width: int = 5, id
     A pair at the threshold shares no band with probability (1 - 0.8^5)^36 < 1e-6 and is dismissed by its estimate with
     about the same.
 
-    Nulls: a null text counts as empty; a null id is one vertex, smaller than all others. Empty text: no shingles,
+    Nulls: a null text counts as empty; a null id is one vertex, smaller than all others (held as -2^63, so a row with
+    that id comes back with null). Empty text: no shingles,
     linked with nothing. Very long text: whole set. Ties: smallest id. Repeated rows: rows of one id are one vertex if
     their texts agree. Empty table: no rows. Other columns, whatever their names, are ignored.
     """
@@ -287,6 +288,7 @@ def near_groups(docs: DataFrame, threshold_percent: int = 80, width: int = 5, id
     placed = cut(members.join(labels, "v", "left").withColumn("component", F.coalesce("component", "v")), "placed")
     sizes = placed.groupBy("key", "component").agg(F.struct(F.count(F.lit(1)).alias("size"), F.sum("n").alias("words")).alias("of"))
     main = sizes.groupBy("key").agg(F.max(F.struct("of.size", "component", "of.words")).alias("top"), F.count(F.lit(1)).alias("parts"), F.sum("of.size").alias("all"), F.sum("of.words").alias("words")).filter("parts > 1")
+    main = cut(main, "main")  # else the join below can't split a bucket of very many members
     parts = lambda rows, most, words: F.greatest(F.ceil(rows / most), F.ceil(words / CELL)).cast("int")
     outer = parts(F.col("all") - F.col("top.size"), OUTSIDERS, F.col("words") - F.col("top.words"))
     split = placed.join(main.select("key", F.col("top.component").alias("main"), outer.alias("chunks"), parts(F.col("all"), MEMBERS, F.col("words")).alias("blocks")), "key")
@@ -308,5 +310,10 @@ def near_groups(docs: DataFrame, threshold_percent: int = 80, width: int = 5, id
 
 
 def keep_one(docs: DataFrame, threshold_percent: int = 80, width: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs whose id is the smallest of its component, with all their columns; of rows with equal id and text (less blanks) one."""
-    return one_each(docs, near_groups(docs, threshold_percent, width, id_col, text_col).filter("kept"), ["doc_id"], id_col, text_col)
+    """The rows of docs whose id is the smallest of its component, with all their columns, whatever their names.
+
+    Of rows with equal id and text (less blanks) one stays, the first by its JSON. Nulls, empty and very long texts,
+    ties and empty tables as in near_groups: texts without words are linked with nothing and stay.
+    """
+    groups = cut(near_groups(docs, threshold_percent, width, id_col, text_col).select("doc_id", "kept"), "near-kept")
+    return one_each(docs, groups, id_col, text_col)
