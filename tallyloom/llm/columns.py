@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 from collections.abc import Callable, Hashable
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 
 #: Fixed value: the white space that separates words.
@@ -17,14 +21,19 @@ _kept: dict[Hashable, object] = {}
 def worker_value(key: Hashable, make: Callable[[], object]):
     """A value that a Python worker makes once and keeps for its later tasks; only the last one is kept."""
     if key not in _kept:
-        _kept.clear()
+        forget_values()
         _kept[key] = make()
     return _kept[key]
 
 
 def forget_values() -> None:
-    """Free what an earlier stage left in this worker."""
-    _kept.clear()
+    """Free what an earlier stage left in this worker, and give the memory back to the system."""
+    if _kept:
+        _kept.clear()
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        with contextlib.suppress(OSError, AttributeError):  # glibc keeps freed memory otherwise
+            ctypes.CDLL("libc.so.6").malloc_trim(0)
 
 
 def fresh(df: DataFrame, *names: str) -> list[str]:
