@@ -159,6 +159,48 @@ def test_quality(spark, docs, rows, nothing):
     assert [r.doc_id for r in op3_fertility.keep_good(d, MANY, PIECES).filter("doc_id < 3").collect()] == [1]
 
 
+def test_fertility_measures_bands_and_verdict(docs, rows, spark):
+    """Measures by the libraries one text at a time, the band by letters counted one by one, the verdict by its definition."""
+    import base64
+    import math
+    import unicodedata
+
+    import sentencepiece
+    import tiktoken
+
+    from tallyloom.llm.bpe import PATTERN
+
+    many = tiktoken.Encoding("m", pat_str=PATTERN, mergeable_ranks={base64.b64decode(a): int(b) for a, b in map(bytes.split, open(MANY, "rb"))}, special_tokens={})
+    pieces = sentencepiece.SentencePieceProcessor(model_file=PIECES)
+    whole = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text", "lang")
+    texts = [(r[0], r[1], r[2]) for r in rows] + [tuple(r) for r in whole.collect()]
+    want = Counter()
+    for doc, text, lang in texts:
+        text = text or ""
+        ids, n = pieces.encode(text), len(many.encode_ordinary(text))
+        chars = len(text) / n if n and ids else 0.0
+        share = sum(pieces.is_byte(i) for i in ids) / len(ids) if n and ids else 0.0
+        entropy = -sum(k / len(ids) * math.log2(k / len(ids)) for k in Counter(ids).values()) if n and ids else 0.0
+        scripts = Counter("LATIN" if c.isascii() else unicodedata.name(c, "OTHER").split(" ")[0] for c in text if c.isalpha())
+        top = min((s for s in scripts if scripts[s] == max(scripts.values())), default="OTHER")
+        name = lang if lang in op3_fertility.BANDS else top if top in op3_fertility.BANDS else "OTHER"
+        b = op3_fertility.BANDS[name]
+        least = b.least_entropy if chars >= 3.5 else max(b.least_entropy, b.broken_entropy + b.more_entropy * min(math.log2(max(len(ids) if n else 0, 1)), 11))
+        inside = b.least_chars_per_token <= chars <= b.most_chars_per_token and share <= b.most_byte_share and entropy >= least
+        want[(doc, name, round(chars, 6), round(share, 6), round(entropy, 6), inside and not brute_quality(text)[5])] += 1
+    both = docs.select("doc_id", "text", "lang").union(whole)
+    got = Counter((r.doc_id, r.band, round(r.chars_per_token, 6), round(r.byte_share, 6), round(r.token_entropy, 6), r.kept) for r in op3_fertility.judge_documents(both, MANY, PIECES).collect())
+    assert got == want and {k[5] for k in want} == {True, False}
+    assert op3_fertility.keep_good(both.drop("lang"), MANY, PIECES).columns == ["doc_id", "text"]
+
+
+def test_bands_keep_good_texts_and_reject_menus(spark):
+    """Labelled documents that the base rules let through: no good one goes, and most others do."""
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    got = Counter((r.quality, r.kept) for r in op3_fertility.judge_documents(docs, MANY, PIECES).filter("not base_failed").join(labels, "doc_id").collect())
+    assert not got[1, False] and got[1, True] > 300 and got[0, False] > 9 * got[0, True]
+
+
 def brute_exact(rows):
     groups = defaultdict(list)
     for r in rows:
@@ -252,6 +294,47 @@ def test_html():
     assert op6_html.Page("<p>x<script>never closed").main_text(set()) == "x"
 
 
+def test_html_tags_as_the_standard_reads_them():
+    text = lambda page: op6_html.Page(page).main_text(set())
+    assert text('<p>a <a href="x"">link</a> b</p>') == "a link b"
+    assert text("<p title='it>hello</p><p>w</p>") == "hello\n\nw"
+    assert text('<p title="a>b" x=\'<p>\'>c</p>') == "c" and text("<p>a<3 b</p>") == "a<3 b" and text("<p>a</ b>c<p x") == "ac"
+    assert text("<p>a <math><mi>x</mi></math> b</p>") == "a x b"
+    assert text("<article><p>Main words</p><section class='related-work'><p>Related work</p></section><div class='related-posts'>no</div></article>") == "Main words\n\nRelated work"
+
+
+def test_html_takes_time_in_proportion():
+    import time
+
+    def seconds(n):
+        began = time.process_time()
+        for page in ("<div>" * n + "x", "<b>" * n + "x<p>y" * n, "<div><p>" * n + "</li>" * n, "<a <b " * n, "<p a='" * n, "<div class=ad>" * n + "y", "<!-- " * n):
+            op6_html.Page(page).main_text({1})
+        return time.process_time() - began
+
+    seconds(500)
+    assert seconds(16_000) < 10 * seconds(4_000) + 1
+
+
+def test_extraction_equals_brute_force(spark):
+    """Counts of subtrees and what is deleted, page by page in plain loops, over the driver's pages and some without telling names."""
+    own = [(-1 - k, f"http://plain.example/{k}", f"<div><p>Read this first</p><p>Number {k % 9}</p></div><div><p>Body of {k}</p></div><div><i>The end of it all</i></div>") for k in range(30)]
+    rows = [tuple(r) for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").select("page_id", "url", "html").collect()] + own
+    rows += [(10**9 + k, u, h) for k, u, h in rows[:5]]
+    host = lambda url: (re.match(r"[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", url or "") or [None, ""])[1].lower()
+    seen = defaultdict(set)
+    for _, url, html in rows:
+        for d, _, _ in op6_html.Page(html or "").subtrees:
+            seen[host(url), d].add(html)
+    template = defaultdict(set)
+    for (h, d), found in seen.items():
+        if len(found) >= op6_html.LEAST_PAGES:
+            template[h].add(d)
+    want = {k: op6_html.Page(html or "").main_text(template[host(url)]) for k, url, html in rows}
+    got = {r.page_id: r.text for r in op6_html.extract(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(4)).collect()}
+    assert got == want and got[-30] == "Body of 29" and any(template.values())
+
+
 def test_html_keeps_the_article():
     text = lambda page: op6_html.Page(page).main_text(set())
     long = "Long words of the article. " * 9
@@ -427,17 +510,43 @@ def test_estimates_are_near_the_truth():
 
 
 def test_url_lists(spark):
+    day = "{} 00:00:00".format
     entries = spark.createDataFrame(
-        [("host", "a.b.example", "spam", "add", "2024-01-10"), ("host", "a.b.example", "spam", "remove", "2024-02-01"), ("domain", "b.example", "adult", "add", "2024-03-01"), ("prefix", "c.example/x", "bad", "add", "2024-01-01"), ("host", "d.example", "day", "add", "2024-01-05"), ("host", "d.example", "day", "remove", "2024-01-05"), ("host", None, "n", "add", "2024-01-01")],
-        "kind string, pattern string, category string, action string, listed_on string",
-    ).selectExpr("kind", "pattern", "category", "action", "cast(listed_on as date) as listed_on")
-    rows = [(1, "http://a.b.example/p", "2024-01-10"), (2, "http://A.B.example:80/p?q", "2024-01-31"), (3, "http://a.b.example/p", "2024-02-01"), (4, "https://z.a.b.example/", "2024-03-05"), (5, "http://c.example/x/y#f", "2024-05-01"), (6, "http://c.example/xy", "2024-05-01"), (7, "http://d.example/", "2024-01-05"), (8, None, "2024-01-05"), (9, "", None), (None, "http://u@a.b.example/p", "2024-01-10"), (1, "http://a.b.example/p", "2024-01-10")]
-    c = spark.createDataFrame(rows, "page_id long, url string, day string").selectExpr("page_id", "url", "cast(day as date) as fetched_on", "1 as n_active", "'x' as kind")
+        [("host", "a.b.example", "spam", "add", day("2024-01-10")), ("host", "a.b.example", "spam", "remove", "2024-02-01 07:00:00"), ("domain", "b.example", "adult", "add", day("2024-03-01")), ("prefix", "c.example/x", "bad", "add", day("2024-01-01")), ("host", "d.example", "day", "add", day("2024-01-05")), ("host", "d.example", "day", "remove", day("2024-01-05")), ("host", None, "n", "add", day("2024-01-01")), ("path", "/q", "p", "add", "2024-04-01 10:00:30"), ("path", "/q", "p", "remove", "2024-04-01 10:00:45"), ("label", "w", "l", "add", "1969-12-31 23:00:00")],
+        "kind string, pattern string, category string, action string, listed_at string",
+    )
+    rows = [
+        (1, "http://a.b.example/p", day("2024-01-10")), (2, "http://A.B.example:80/p?q", "2024-01-31 23:59:59"), (3, "http://a.b.example/p", "2024-02-01 06:59:59"), (4, "http://a.b.example/p", "2024-02-01 07:00:00"),
+        (5, "https://z.a.b.example/", day("2024-03-05")), (6, "http://c.example/x/y#f", day("2024-05-01")), (7, "http://c.example/xy", day("2024-05-01")), (8, "http://d.example/", day("2024-01-05")), (9, None, day("2024-01-05")),
+        (10, "", None), (None, "http://u@a.b.example/p", day("2024-01-10")), (1, "http://a.b.example/p", day("2024-01-10")), (11, "http://q/q/r", "2024-04-01 10:00:30"), (12, "http://q/q/r", "2024-04-01 10:00:45"), (13, "http://q/q", "2024-04-01 10:00:29"),
+        (14, "ftp://w.q/" + "a/" * 3000, day("2024-01-05")),
+    ]
+    c = spark.createDataFrame(rows, "page_id long, url string, day string").selectExpr("page_id", "url", "cast(day as timestamp) as fetched_at", "1 as n_active", "'x' as kind")
     got = Counter((r.page_id, r.n_active, r.blocked, r.first_reason) for r in op9_url_lists.active_entries(c, entries).collect())
-    assert got == Counter([(1, 1, True, "spam"), (1, 1, True, "spam"), (2, 1, True, "spam"), (3, 0, False, None), (4, 1, True, "adult"), (5, 1, True, "bad"), (6, 0, False, None), (7, 0, False, None), (8, 0, False, None), (9, 0, False, None), (None, 1, True, "spam")])
+    one = lambda k, reason: (k, 1, True, reason)
+    assert got == Counter([one(1, "spam"), one(1, "spam"), one(2, "spam"), one(3, "spam"), one(5, "adult"), one(6, "bad"), one(None, "spam"), one(11, "p"), one(14, "l"), *((k, 0, False, None) for k in (4, 7, 8, 9, 10, 12, 13))])
     assert op9_url_lists.active_entries(c.limit(0), entries).count() == 0 and not op9_url_lists.active_entries(c, entries.limit(0)).filter("blocked").count()
 
 
+def test_a_moment_lies_in_one_piece_of_each_interval_that_holds_it(spark, monkeypatch):
+    """Random intervals and captures, to the second, against all pairs; the list joined instead of broadcast."""
+    monkeypatch.setattr(op9_url_lists, "MOST_PATTERNS", 0)
+    r = random.Random(11)
+    entries = [("host", f"h{r.randrange(3)}", r.choice("abc"), r.choice(["add", "add", "remove"]), 1_700_000_000 + r.randrange(4000)) for _ in range(300)]
+    captures = [(k, f"http://h{r.randrange(4)}/", 1_700_000_000 + r.randrange(4200)) for k in range(400)]
+    e = spark.createDataFrame(entries, "kind string, pattern string, category string, action string, at long").selectExpr("kind", "pattern", "category", "action", "timestamp_seconds(at) as listed_at")
+    c = spark.createDataFrame(captures, "page_id long, url string, at long").selectExpr("page_id", "url", "timestamp_seconds(at) as fetched_at")
+    got = {x.page_id: (x.n_active, x.first_reason) for x in op9_url_lists.active_entries(c, e).collect()}
+    want = {}
+    for k, url, at in captures:
+        live = []
+        for key in {(x[1], x[2]) for x in entries}:
+            last = max(((x[4], x[3]) for x in entries if (x[1], x[2]) == key and x[4] <= at), default=(0, "remove"))
+            live += [key[1]] * (url == f"http://{key[0]}/" and last[1] == "add")
+        want[k] = (len(live), min(live, default=None))
+    assert got == want
+
+
 def test_arc_parses_both_versions_and_recovers():
     one = op10_arc.version_block(1, "f.arc", "20240101000000") + b"\n" + op10_arc.header_line(1, "http://a/x y", "1.2.3.4", "20011231", "text/html", 5) + b"a\nb\nc\nnot a header\n" + op10_arc.header_line(1, "dns:a", "1.2.3.4", "20011231235959", "text/dns", 9) + b"short"
     got = list(op10_arc.read_arc(io.BytesIO(one)))

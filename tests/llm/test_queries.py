@@ -64,3 +64,24 @@ def test_pipeline(spark):
     for r in corpus_pipeline.run(spark, SF).collect():
         got[r.doc_id] += r.length
     assert +got == +tokens
+
+
+def test_stages_take_any_rows(spark):
+    """Nulls in every column, empty and very long texts, ties, repeated rows, names that clash with those made on the way, no rows."""
+    from test_operators import corpus
+
+    prose = spark.read.parquet(f"{SF}/documents.parquet").select("text", "lang").limit(40).collect()
+    rows = [(k, t, lang, source, 7, "x", "y", "z") for k, t, lang, source, *_ in corpus(n=20)]
+    rows += [(1000 + k, r.text, r.lang, "s1", 7, None, "y", "z") for k, r in enumerate(prose)]
+    rows += [(2000, prose[0].text, "en", None, None, "x", None, None), (1001, prose[1].text, "en", "s1", 7, "x", "y", "z"), (None, prose[2].text * 50, None, None, None, None, None, None), (3000, None, None, None, None, None, None, None)]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, bucket string, TAKEN string, stays string"
+    for data in (rows, []):
+        docs = spark.createDataFrame(data, schema).repartition(3)
+        counts = []
+        for name, stage in corpus_pipeline.STAGES:
+            found = stage(spark, docs, SF)
+            after = spark.createDataFrame(found.collect(), found.schema)
+            assert name == "packing" or after.columns == docs.columns
+            docs = after
+            counts.append(docs.count())
+        assert (counts[0] < len(rows) and counts[1] < counts[0] and counts[4] >= counts[3] > 0) if data else not any(counts)
