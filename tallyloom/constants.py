@@ -55,6 +55,29 @@ ADVICE = {
     "unreviewed-ship": ("{fired} of {sessions} sessions committed code that no review had looked at.", "Run a review before the commit, for instance as a step that the commit needs."),
 }
 
+#: The wording of an evidence line for each rule, and of its parts that not every line has. Names in braces
+#: are a session's values as they are shown.
+EVIDENCE = {
+    "high-tool-error-rate": "{name} {errors} of {attempts} calls failed ({error_rate})",
+    "retry-loop": "one command run {busiest_runs} times; {repeats} of {command_events} command-bearing calls were repeats ({repeat_share}), across {repeated_commands} repeated commands",
+    "marathon-session": "longest sitting {longest_sitting_ms} within a {span_ms} span across {sittings} sittings, {user_requests} user requests, {tool_activities} tool activities",
+    "resumed-session": "active {active_ms} across {sittings} sittings, span {span_ms} ({dilution})",
+    "babysitting": "{user_requests} user requests, {tool_activities} tool activities ({tools_per_request} per request)",
+    "fire-and-forget": "1 user request, {tool_activities} tool activities ({tools_per_request} per request), {errors} of {attempts} calls failed",
+    "compaction-churn": "compacted {compactions_completed} times{attempts_failed}; {window}",
+    "unreviewed-ship": "committed {commits} time{plural_commits}; {skills_run}",
+}
+EVIDENCE_PARTS = {
+    "session": "session-wide",
+    "never": "no gap short enough to count as work",
+    "failed": ", {compactions_failed} further attempt{plural_failed} failed",
+    "window-mean": "largest window compacted {pre_tokens_max} tokens, mean {pre_tokens_mean}",
+    "window-some": "largest window compacted {pre_tokens_max} tokens, stated on {pre_tokens_stated} of them",
+    "window-none": "no compaction stated the size of the window it compacted",
+    "skills": "no review pass among {skills} skill invocation{plural_skills}",
+    "no-skill": "no skill was invoked at all",
+}
+
 #: (key, title, signals), in order.
 LANES = (
     ("prompt-quality", "Prompt Quality", ("fire-rate:babysitting", "fire-rate:fire-and-forget")),

@@ -42,48 +42,38 @@ def findings(metrics: DataFrame, marathon_ms: int = C.MARATHON_SITTING_MS) -> Da
     return verdicts(metrics, marathon_ms).groupBy("rule").agg(F.count("fired").alias("eligible"), F.sum(F.coalesce(F.col("fired").cast("long"), F.lit(0))).alias("fired"))
 
 
-def _some(n: int, what: str) -> str:
-    return f"{n} {what}" if n == 1 else f"{n} {what}s"
-
-
-def _failed(name: str, errors: int, attempts: int) -> str:
-    return f"{name} {errors} of {attempts} calls failed ({display.percent(errors / attempts)})"
-
-
-def _detail(r) -> str:
-    """What made a session match: counts and names of tools, never what was said. Wording and order are part of the result."""
-    if r.rule == "high-tool-error-rate":
-        whole = [_failed("session-wide", r.errors, r.attempts)] if r.attempts >= C.MIN_SESSION_TOOL_ATTEMPTS and r.errors / r.attempts > C.SESSION_TOOL_ERROR_RATE else []
-        return "; ".join(whole + [_failed(t["tool"], t["errors"], t["attempts"]) for t in r.tools])
-    if r.rule == "retry-loop":
-        return f"one command run {r.busiest_runs:.0f} times; {r.repeats:.0f} of {r.command_events:.0f} command-bearing calls were repeats ({display.percent(r.repeats / r.command_events)}), across {r.repeated_commands:.0f} repeated commands"
-    if r.rule == "marathon-session":
-        return f"longest sitting {display.span(int(r.longest_sitting_ms))} within a {display.span(int(r.span_ms))} span across {r.sittings:.0f} sittings, {r.user_requests} user requests, {r.tool_activities} tool activities"
-    if r.rule == "resumed-session":
-        times = "no gap short enough to count as work" if r.dilution == float("inf") else f"{display.ratio(r.dilution)}x"
-        return f"active {display.span(int(r.active_ms))} across {r.sittings:.0f} sittings, span {display.span(int(r.span_ms))} ({times})"
-    if r.rule == "babysitting":
-        return f"{r.user_requests} user requests, {r.tool_activities} tool activities ({display.ratio(r.tools_per_request)} per request)"
-    if r.rule == "fire-and-forget":
-        return f"1 user request, {r.tool_activities} tool activities ({display.ratio(r.tools_per_request)} per request), {r.errors} of {r.attempts} calls failed"
-    if r.rule == "compaction-churn":
-        done, stated = int(r.compactions_completed), 0 if pd.isna(r.pre_tokens_stated) else int(r.pre_tokens_stated)
-        more = f", {_some(int(r.compactions_failed), 'further attempt')} failed" if r.compactions_failed > 0 else ""
-        if not stated:
-            size = "; no compaction stated the size of the window it compacted"
-        else:
-            size = f"; largest window compacted {display.tokens(int(r.pre_tokens_max))} tokens, " + (f"mean {display.tokens(int(r.pre_tokens_mean))}" if stated == done else f"stated on {stated} of them")
-        return f"compacted {done} times{more}{size}"
-    skills = f"; no review pass among {_some(r.skills, 'skill invocation')}" if r.skills else "; no skill was invoked at all"
-    return f"committed {_some(r.commits, 'time')}{skills}"
-
-
+#: How a column of session_metrics is shown in a line of evidence; others are whole numbers.
+_SHOWN = {
+    **dict.fromkeys(("longest_sitting_ms", "active_ms", "span_ms"), lambda x: display.span(int(x))),
+    **dict.fromkeys(("error_rate", "repeat_share"), display.percent),
+    **dict.fromkeys(("pre_tokens_max", "pre_tokens_mean"), lambda x: display.tokens(int(x))),
+    "tools_per_request": display.ratio,
+    "dilution": lambda x: C.EVIDENCE_PARTS["never"] if x == float("inf") else f"{display.ratio(x)}x",
+}
 _READ = (
-    "attempts", "errors", "busiest_runs", "repeats", "command_events", "repeated_commands", "longest_sitting_ms", "active_ms", "span_ms", "sittings", "user_requests", "tool_activities", "dilution", "tools_per_request",
-    "compactions_completed", "compactions_failed", "pre_tokens_max", "pre_tokens_mean", "pre_tokens_stated", "commits", "skills",
+    "attempts", "errors", "error_rate", "busiest_runs", "repeats", "command_events", "repeated_commands", "repeat_share", "longest_sitting_ms", "active_ms", "span_ms", "sittings", "user_requests", "tool_activities", "dilution",
+    "tools_per_request", "compactions_completed", "compactions_failed", "pre_tokens_max", "pre_tokens_mean", "pre_tokens_stated", "commits", "skills",
 )
 
 
+def _line(session: dict) -> str:
+    """What made a session match: counts and names of tools, never what was said."""
+    known = {n: session[n] for n in _READ if not pd.isna(session[n])}
+    shown = {n: _SHOWN.get(n, lambda x: str(int(x)))(x) for n, x in known.items()}
+    number = lambda n: int(known.get(n, 0))
+    shown |= {f"plural_{to}": "" if number(n) == 1 else "s" for to, n in (("commits", "commits"), ("skills", "skills"), ("failed", "compactions_failed"))}
+    part = lambda name: C.EVIDENCE_PARTS[name].format_map(shown)
+    if session["rule"] == "high-tool-error-rate":
+        over = [{"tool": part("session"), "errors": number("errors"), "attempts": number("attempts")}] if session["wholly"] else []
+        rows = ({"name": t["tool"], "errors": t["errors"], "attempts": t["attempts"], "error_rate": display.percent(t["errors"] / t["attempts"])} for t in [*over, *session["tools"]])
+        return "; ".join(C.EVIDENCE["high-tool-error-rate"].format_map(r) for r in rows)
+    stated = number("pre_tokens_stated")
+    shown["attempts_failed"] = part("failed") if number("compactions_failed") else ""
+    shown["window"] = part("window-none" if not stated else "window-mean" if stated == number("compactions_completed") else "window-some")
+    shown["skills_run"] = part("skills" if number("skills") else "no-skill")
+    return C.EVIDENCE[session["rule"]].format_map(shown)
+
+
 def evidence(metrics: DataFrame, tally: DataFrame, marathon_ms: int = C.MARATHON_SITTING_MS) -> DataFrame:
     """(session_id, rule, detail): one line for each session on which a rule fires.
 
@@ -93,13 +83,14 @@ def evidence(metrics: DataFrame, tally: DataFrame, marathon_ms: int = C.MARATHON
     over = (F.col("attempts") >= C.MIN_TOOL_ATTEMPTS) & (F.col("errors") / F.col("attempts") > C.TOOL_ERROR_RATE) & F.col("tool").isNotNull()
     named = tally.filter(over).groupBy("session_id").agg(F.array_sort(F.collect_list(F.struct("tool", "errors", "attempts"))).alias("tools"))
     fired = verdicts(metrics, marathon_ms, ("session_id", *_READ)).filter("fired").join(named, "session_id", "left")
-    read = fired.select("session_id", "rule", *_READ, F.coalesce("tools", F.array().cast("array<struct<tool:string,errors:bigint,attempts:bigint>>")).alias("tools"))
+    wholly = F.coalesce((F.col("attempts") >= C.MIN_SESSION_TOOL_ATTEMPTS) & (F.col("error_rate") > C.SESSION_TOOL_ERROR_RATE), F.lit(False))
+    read = fired.select("session_id", "rule", *_READ, wholly.alias("wholly"), F.coalesce("tools", F.array().cast("array<struct<tool:string,errors:bigint,attempts:bigint>>")).alias("tools"))
 
     @F.pandas_udf("string")
     def detail(rows: pd.DataFrame) -> pd.Series:
-        return pd.Series([_detail(r) for r in rows.itertuples(index=False)], dtype=object)
+        return pd.Series([_line(r) for r in rows.to_dict("records")], dtype=object)
 
-    return read.select("session_id", "rule", detail(F.struct("rule", *_READ, "tools")).alias("detail"))
+    return read.select("session_id", "rule", detail(F.struct("rule", *_READ, "wholly", "tools")).alias("detail"))
 
 
 def stated(metrics: DataFrame, marathon_ms: int = C.MARATHON_SITTING_MS) -> DataFrame:

@@ -287,3 +287,42 @@ def fun21_parameters(spark, sf_dir):
         return pd.DataFrame([(p.get("q"), p.get("limit")) for p in map(parameters, column)], columns=["q", "limit"]).astype(object)
 
     return B.table(spark, sf_dir, "customer").select("c_custkey", parsed(target).alias("p")).select("c_custkey", "p.*")
+
+
+_TARGETS = "CASE c_custkey % 9 WHEN 0 THEN '/' WHEN 1 THEN '/rules' WHEN 2 THEN '/api/data?x=1' WHEN 3 THEN '/api/events' WHEN 4 THEN '/api/evidence/' || {sha} || '/' || CAST(c_custkey AS STRING) WHEN 5 THEN '/api/evidence/' || {sha} || '/0' || CAST(c_custkey AS STRING) WHEN 6 THEN '/api/ask?q=what+was&limit=' || CAST(c_custkey % 4 AS STRING) WHEN 7 THEN '/api/ask?limit=3' ELSE '/other' END"
+
+
+@query(f"""WITH t AS (SELECT c_custkey, {_TARGETS.format(sha="sha256(c_name)")} AS target, CASE WHEN c_custkey % 10 = 3 THEN 'POST' ELSE 'GET' END AS method FROM customer)
+    SELECT c_custkey, CASE WHEN method <> 'GET' THEN 'method-not-allowed' WHEN target = '/' THEN 'page' WHEN target = '/rules' THEN 'rules' WHEN target LIKE '/api/data%' THEN 'data' WHEN target = '/api/events' THEN 'events'
+        WHEN regexp_full_match(target, '/api/evidence/[0-9a-f]{{64}}/[1-9][0-9]{{0,8}}') THEN 'evidence' WHEN target LIKE '/api/ask%' THEN CASE WHEN target LIKE '%q=%' AND NOT target LIKE '%limit=0' THEN 'ask' ELSE 'bad-request' END ELSE 'not-found' END AS route FROM t""")
+def snk4_routes(spark, sf_dir):
+    """Requests to the dashboard and what they are taken for or why they are refused."""
+    from tallyloom.functions.web import route
+
+    @F.pandas_udf("string")
+    def routed(method: pd.Series, target: pd.Series) -> pd.Series:
+        return pd.Series([route(m, t).route for m, t in zip(method, target, strict=True)], dtype=object)
+
+    method = F.when(F.col("c_custkey") % 10 == 3, "POST").otherwise("GET")
+    return B.table(spark, sf_dir, "customer").select("c_custkey", routed(method, F.expr(_TARGETS.format(sha="sha2(c_name, 256)"))).alias("route"))
+
+
+_CATALOGUE = ", ".join([*(f"('rule', {k}, {_quoted(key)})" for k, (key, _) in enumerate(C.RULES, 1)), *(f"('price', {k}, {_quoted(r.model)})" for k, r in enumerate(C.PRICES, 1)), *(f"('search', {k}, {_quoted(n)})" for k, (n, _, _) in enumerate(C.ASK_FIELDS, 1))])
+
+
+@query(f"SELECT section, CAST(place AS BIGINT) AS place, name FROM (VALUES {_CATALOGUE}) t(section, place, name)")
+def snk5_catalogue(spark, sf_dir):
+    """Rules, prices and search fields as the Markdown catalogue lists them, in order."""
+    import re
+
+    from tallyloom.plans import reports
+
+    rows, section, place = [], "", 0
+    for line in reports.catalogue().split("\n"):
+        if line.startswith("## "):
+            section, place = {"Rules": "rule", "Prices": "price", "Search": "search"}.get(line[3:], ""), 0
+        elif section and (m := re.match(r"\d+\. .* — `([^`]+)`|\| (?:`)?([a-z][a-z0-9_.-]*)(?:`)? \|", line)):
+            place += 1
+            rows.append((section, place, m[1] or m[2]))
+    return spark.createDataFrame(rows, "section string, place long, name string")
+
