@@ -485,14 +485,6 @@ def srt14_verbatim(spark, sf_dir):
     return summaries.verbatim(lines, QUESTION).select("session_id", "locator", "total")
 
 
-@query()
-def red14_redaction(spark, sf_dir):
-    """(pattern, times) over all documents: arbitration between rules has no SQL; tests hold it against its cases."""
-    from tallyloom.functions.redact import redaction_report
-
-    return redaction_report(B.table(spark, sf_dir, "documents"))
-
-
 _TALK_SQL = r"""WITH t AS (
         SELECT CAST(conv_id AS VARCHAR) AS session_id, turn + 1 AS locator, role, text,
                len(list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> '')) AS n FROM conversations)
