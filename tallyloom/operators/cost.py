@@ -14,6 +14,15 @@ from tallyloom import constants as C
 from tallyloom.functions.predicates import billing_signal
 from tallyloom.shared import cut
 
+#: Rows of a price table up to which it is broadcast (some 200 bytes each).
+MOST_PRICES = 10_000
+
+
+def _small(table: DataFrame) -> DataFrame:
+    """A table with the hint to broadcast it, if it is as small as price tables are."""
+    return F.broadcast(table) if table.count() <= MOST_PRICES else table
+
+
 KEY = ["model", "speed", "service_tier", "inference_geo"]
 COUNTS = ["input", "output", "cache_write_5m", "cache_write_1h", "cache_write_untiered", "cache_read"]
 
@@ -51,7 +60,7 @@ def price_table(spark: SparkSession, rows: tuple = C.PRICES) -> DataFrame:
 def top_rates(prices: DataFrame) -> DataFrame:
     """(opens, closes, top_output): between two dates of the price table the highest output rate of any model."""
     dates = prices.select(F.col("effective_from").alias("opens")).distinct()
-    live = dates.join(F.broadcast(prices), (F.col("effective_from") <= F.col("opens")) & (F.col("effective_to").isNull() | (F.col("opens") < F.col("effective_to"))))
+    live = dates.join(_small(prices), (F.col("effective_from") <= F.col("opens")) & (F.col("effective_to").isNull() | (F.col("opens") < F.col("effective_to"))))
     tops = live.groupBy("opens").agg(F.max("rates.output").alias("top_output"))
     return tops.withColumn("closes", F.lead("opens").over(Window.orderBy("opens")))
 
@@ -64,10 +73,10 @@ def priced(tally: DataFrame, sessions: DataFrame, prices: DataFrame) -> DataFram
     """tally with state (priced, unbilled or the reason it isn't priced), dollars and cache economics.
 
     The price row is that of the session's archive time. The order of refusals is part of the result: no model,
-    synthetic, no archive time, no row (unknown model or no rate yet), tier, speed, region. Prices are a handful of
-    constants and broadcast.
+    synthetic, no archive time, no row (unknown model or no rate yet), tier, speed, region. Prices are broadcast up to
+    MOST_PRICES rows.
     """
-    p = F.broadcast(prices)
+    p = _small(prices)
     t = tally.join(sessions.select("session_id", "source_agent", "archived_at", "repository"), "session_id")
     at = F.col("archived_at")
     joined = t.alias("t").join(
@@ -126,8 +135,8 @@ def premium_sessions(lines: DataFrame, prices: DataFrame, most_output: int = C.P
 
     A model is of the top tier if its own output rate is the highest of all models at the session's archive time.
     """
-    tops = F.broadcast(top_rates(prices))  # one row for each date of the price table
-    base = F.broadcast(prices.select(F.col("model").alias("m"), "effective_from", "effective_to", F.col("rates.output").alias("own")))
+    tops = _small(top_rates(prices))  # one row for each date of the price table
+    base = _small(prices.select(F.col("model").alias("m"), "effective_from", "effective_to", F.col("rates.output").alias("own")))
     at = F.col("archived_at")
     j = lines.join(tops, (F.col("opens") <= at) & (F.col("closes").isNull() | (at < F.col("closes"))), "left").join(
         base, (F.col("model") == F.col("m")) & (F.col("effective_from") <= at) & (F.col("effective_to").isNull() | (at < F.col("effective_to"))), "left"

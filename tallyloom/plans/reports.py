@@ -115,12 +115,11 @@ def dashboard(windows: dict[str, DataFrame], metrics: DataFrame, now: dt.datetim
     the standup.
     """
     tally = None if events is None else tool_tally(events)
-    sided = next(iter(windows.values()))
     tags = metrics.select("session_id", F.col("repository").alias("scope"), "source_agent")
     fired = rules.verdicts(metrics, marathon_ms, ("session_id",)).filter("fired")
     data = {
         "windows": {w: report(m, now, w, marathon_ms, tally)["data"] for w, m in windows.items()},
-        "scopes": {label: _rows(calendar.scopes(sided.filter("side <> 'unplaceable'"), label, marathon_ms).orderBy(F.col("label").isNull(), F.desc("sessions"), "label", "side", "lane")) for label in ("repository", "hostname")},
+        "scopes": {w: {label: _rows(calendar.scopes(m.filter("side <> 'unplaceable'"), label, marathon_ms).orderBy(F.col("label").isNull(), F.desc("sessions"), "label", "side", "lane")) for label in ("repository", "hostname")} for w, m in windows.items()},
         "scope_findings": _rows(rules.findings_by_scope(fired, tags).orderBy("rule", F.col("scope").isNull(), "scope", "source_agent")),
         "landing": _rows(calendar.landing(metrics, metrics.filter("hostname is not null").select("hostname").distinct()).orderBy("day", "hostname")),
         "timeline": _rows(calendar.timeline(metrics).orderBy("day", "source_agent")),
@@ -223,8 +222,8 @@ def standup_markdown(document: dict) -> str:
     return "\n".join(out)
 
 
-def repetition_report(command: str, found: DataFrame, flows_found: DataFrame | None, read: DataFrame, now: dt.datetime, most: int = 20) -> dict:
-    """doctor (clusters of each repository) or flows (pooled clusters and sequences): what is shown is scrubbed."""
+def repetition_report(command: str, found: DataFrame, flows_found: DataFrame | None, read: DataFrame, now: dt.datetime, most: int = 20, friction: DataFrame | None = None, unexamined: DataFrame | None = None, instances: DataFrame | None = None) -> dict:
+    """doctor (clusters of each repository, friction, what wasn't examined) or flows (pooled clusters, sequences and where they begin): what is shown is scrubbed."""
     from tallyloom.functions.redact import scrub
     from tallyloom.operators.repetition import ranked
 
@@ -236,7 +235,16 @@ def repetition_report(command: str, found: DataFrame, flows_found: DataFrame | N
     sequences = _rows(flows_found.orderBy(*order).limit(most)) if flows_found is not None else []
     for s in sequences:
         s["wording"] = [steps.get(x) for x in s["steps"]]
-    return envelope(command, {"clusters": clusters, "flows": sequences, "read": _rows(read)}, now)
+    data = {"clusters": clusters, "flows": sequences, "read": _rows(read)}
+    if friction is not None:
+        data["friction"] = _rows(friction.orderBy("place"))
+    if unexamined is not None:
+        data["unexamined"] = _rows(unexamined.orderBy("place"))
+    if instances is not None:
+        begins = _rows(instances.orderBy("nth"))
+        for s in sequences:
+            s["instances"] = [{k: i[k] for k in ("session_id", "locator", "ts")} for i in begins if i["pool"] == s["pool"] and i["steps"] == s["steps"]]
+    return envelope(command, data, now)
 
 
 def repetition_markdown(document: dict) -> str:
@@ -245,4 +253,8 @@ def repetition_markdown(document: dict) -> str:
     out += [f"- {c['occurrences']}× in {c['conversations']} conversations ({c['pool']}): {display.logged(c['representative'] or '')}" for c in d["clusters"]] or ["Nothing was asked twice."]
     if d["flows"]:
         out += ["", "## Flows", "", *(f"- {s['occurrences']}×: " + " → ".join(display.logged(w or "…", 60) for w in s["wording"]) for s in d["flows"])]
+    if d.get("friction"):
+        out += ["", "## Requests after a failure", "", *(f"- {f['repository'] or 'Without a repository'}: {f['after_error']} of {f['messages']}" for f in d["friction"])]
+    if d.get("unexamined"):
+        out += ["", "## Not examined", "", *(f"- {u['repository'] or 'Without a repository'}: {u['sessions']} sessions" for u in d["unexamined"])]
     return "\n".join([*out, ""])

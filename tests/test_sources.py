@@ -144,7 +144,10 @@ def test_text_reports(spark):
     c = repetition.clusters(m)
     talks = repetition.conversations(m, c)
     found = repetition.repetitions(c, talks)
-    doc = reports.repetition_report("flows", found, repetition.flows(c, talks, found), repetition.coverage(m), now)
+    found_flows = repetition.flows(c, talks, found)
+    after = spark.createDataFrame([("r", 4, 1, 1)], "repository string, messages long, after_error long, place long")
+    doc = reports.repetition_report("flows", found, found_flows, repetition.coverage(m), now, friction=after, unexamined=repetition.unexamined(m.withColumn("pool", F.lit("all"))), instances=repetition.flow_instances(c, talks, found, found_flows))
+    assert doc["data"]["friction"][0]["after_error"] == 1 and doc["data"]["unexamined"] == [] and "## Requests after a failure" in reports.repetition_markdown(doc)
     assert [(x["occurrences"], x["conversations"], x["representative"]) for x in doc["data"]["clusters"]] == [(2, 2, f"{text} request")]
     assert "2×" in reports.repetition_markdown(doc)
 
