@@ -131,16 +131,18 @@ def session_metrics(events: DataFrame, sessions: DataFrame, idle_gap_ms: int = C
 
     Counts that a harness can't express are null, never zero: commands where it records none, compactions and reviews
     where it isn't observable, activity with fewer than two dated records. One windowed pass marks each event with its
-    outcome, tool, ordinals, gap and sitting; each then counts for its session, tool, command and sitting at once.
+    outcome, tool, ordinals, gap and sitting; each then counts for its sitting, tool and command at once, and a session is the sum of its sittings.
     """
     order = [F.col("record"), F.col("pos")]
     session = Window.partitionBy("session_id").orderBy(*order)
-    dated = F.when(F.col("ts").isNotNull() & (F.row_number().over(Window.partitionBy("session_id", "record").orderBy(F.col("ts").isNull(), "pos")) == 1), F.min("ts").over(Window.partitionBy("session_id", "record")))
+    before = session.rowsBetween(Window.unboundedPreceding, -1)
+    told = F.last(F.when(F.col("ts").isNotNull(), F.col("record")), ignorenulls=True).over(before)  # all events of a record have its time
+    dated = F.when(F.col("ts").isNotNull() & ~told.eqNullSafe(F.col("record")), F.col("ts"))
     gap = F.greatest(F.unix_millis("at") - F.unix_millis("was"), F.lit(0))
     e = (
         with_outcomes(events)
         .withColumn("at", dated)
-        .withColumn("was", F.last("at", ignorenulls=True).over(session.rowsBetween(Window.unboundedPreceding, -1)))
+        .withColumn("was", F.last("at", ignorenulls=True).over(before))
         .withColumn("gap", F.when(F.col("at").isNotNull(), gap))
         .withColumn("sitting", F.sum(F.when(F.col("gap") > idle_gap_ms, 1).otherwise(0)).over(session.rowsBetween(Window.unboundedPreceding, 0)))
     )
@@ -149,10 +151,9 @@ def session_metrics(events: DataFrame, sessions: DataFrame, idle_gap_ms: int = C
     stated = F.when((phase == "complete") & good, F.col("pre_tokens"))
     one = lambda of, label, when: F.when(when, F.struct(F.lit(of).alias("of"), label.cast("string").alias("label")))
     of = F.array(
-        one("session", F.lit(None), F.lit(True)),
+        one("sitting", F.col("sitting"), F.lit(True)),
         one("tool", F.col("tool"), F.col("ok").isNotNull()),
         one("command", F.col("command"), F.col("command").isNotNull()),
-        one("sitting", F.col("sitting"), F.col("at").isNotNull()),
     )
     # a session's events are together: neither of the two aggregations moves them again
     parts = (
@@ -160,6 +161,7 @@ def session_metrics(events: DataFrame, sessions: DataFrame, idle_gap_ms: int = C
         .groupBy("session_id", "part.of", "part.label")
         .agg(
             F.count(F.lit(1)).alias("n"),
+            F.count("at").alias("dated"),
             _n(is_kind("user")).alias("user"),
             _n(is_kind("assistant")).alias("assistant"),
             _n(is_kind("tool")).alias("tools"),
@@ -181,16 +183,16 @@ def session_metrics(events: DataFrame, sessions: DataFrame, idle_gap_ms: int = C
     )
     c = F.col
     at = lambda of, x: F.when(c("of") == of, x)
-    sums = {n: F.sum(at("session", c(old))).alias(n) for n, old in {"user_requests": "user", "assistant_messages": "assistant", "tool_activities": "tools", "commits": "commits", "skills": "skills", "review_passes": "review_passes", "compactions_started": "started", "compactions_completed": "completed", "compactions_failed": "failed"}.items()}
+    sums = {n: F.sum(at("sitting", c(old))).alias(n) for n, old in {"user_requests": "user", "assistant_messages": "assistant", "tool_activities": "tools", "commits": "commits", "skills": "skills", "review_passes": "review_passes", "compactions_started": "started", "compactions_completed": "completed", "compactions_failed": "failed"}.items()}
     worst = (c("n") >= C.MIN_TOOL_ATTEMPTS) & (c("errors") / c("n") > C.TOOL_ERROR_RATE) & c("label").isNotNull()
     busiest = F.max(at("command", F.struct(c("n").alias("runs"), (-c("first_locator")).alias("sooner"), c("label").alias("command"))))
     folded = parts.groupBy("session_id").agg(
         *sums.values(),
-        F.min(at("session", c("first_at"))).alias("first_at"),
-        F.max(at("session", c("last_at"))).alias("last_at"),
-        F.max(at("session", c("pre_tokens_max"))).alias("pre_tokens_max"),
-        F.sum(at("session", c("pre_tokens_sum"))).alias("pre_tokens_sum"),
-        F.sum(at("session", c("pre_tokens_stated"))).alias("pre_tokens_stated"),
+        F.min(at("sitting", c("first_at"))).alias("first_at"),
+        F.max(at("sitting", c("last_at"))).alias("last_at"),
+        F.max(at("sitting", c("pre_tokens_max"))).alias("pre_tokens_max"),
+        F.sum(at("sitting", c("pre_tokens_sum"))).alias("pre_tokens_sum"),
+        F.sum(at("sitting", c("pre_tokens_stated"))).alias("pre_tokens_stated"),
         F.sum(at("tool", c("n"))).alias("attempts"),
         F.sum(at("tool", c("errors"))).alias("errors"),
         F.max(at("tool", worst.cast("int"))).alias("bad_tool"),
@@ -200,9 +202,9 @@ def session_metrics(events: DataFrame, sessions: DataFrame, idle_gap_ms: int = C
         F.sum(at("command", (c("n") > 1).cast("long"))).alias("repeated_commands"),
         busiest["runs"].alias("busiest_runs"),
         busiest["command"].alias("busiest_command"),
-        F.sum(at("sitting", c("n"))).alias("dated"),
+        F.sum(at("sitting", c("dated"))).alias("dated"),
         F.sum(at("sitting", c("active_ms"))).alias("active_ms"),
-        F.count(at("sitting", F.lit(1))).alias("sittings"),
+        F.count(at("sitting", F.when(c("dated") > 0, 1))).alias("sittings"),
         F.max(at("sitting", c("active_ms"))).alias("longest_sitting_ms"),
     )
     measurable = F.coalesce(c("dated") >= 2, F.lit(False))
