@@ -15,6 +15,9 @@ BLANKS = " \t\n\x0b\x0c\r"
 #: Fixed value: a word.
 WORD = r"[^\x20\x09-\x0D]+"
 
+#: Rows of an Arrow batch.
+BATCH = 1000
+
 _kept: dict[Hashable, object] = {}
 
 
@@ -31,9 +34,25 @@ def forget_values() -> None:
     if _kept:
         _kept.clear()
         gc.collect()
-        pa.default_memory_pool().release_unused()
-        with contextlib.suppress(OSError, AttributeError):  # glibc keeps freed memory otherwise
-            ctypes.CDLL("libc.so.6").malloc_trim(0)
+        give_back()
+
+
+def give_back() -> None:
+    """Give freed memory back to the system: an idle worker waits with little, beside the JVM that needs it."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # glibc keeps freed memory otherwise
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
+def in_small_batches(df: DataFrame) -> DataFrame:
+    """df, after telling its session to send BATCH rows at a time to Python where it would send more.
+
+    Rows are whole texts here, and Arrow holds a batch outside the heap on both sides.
+    """
+    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(conf.get(name)) <= BATCH:
+        conf.set(name, str(BATCH))
+    return df
 
 
 def fresh(df: DataFrame, *names: str) -> list[str]:

@@ -18,7 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
-from tallyloom.llm.columns import as_id
+from tallyloom.llm.columns import as_id, in_small_batches
 from tallyloom.llm.shingles import in_groups
 from tallyloom.shared import cut, table_path
 
@@ -239,7 +239,7 @@ def write_arc(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str
 
     Returns the number of pages. The column html may be text (written as UTF-8) or binary.
     """
-    base = pages.select(as_id(pages, id_col, "page_id"), pages[url_col].cast("string"), F.coalesce(pages[html_col].cast("binary"), F.lit(b"")))
+    base = in_small_batches(pages).select(as_id(pages, id_col, "page_id"), pages[url_col].cast("string"), F.coalesce(pages[html_col].cast("binary"), F.lit(b"")))
 
     def records(batches: Iterator[pa.RecordBatch]) -> Iterator[bytes]:
         part = TaskContext.get().partitionId()

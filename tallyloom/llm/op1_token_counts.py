@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from tallyloom.llm.bpe import MergeCounter, read_vocabulary
-from tallyloom.llm.columns import as_id, worker_value
+from tallyloom.llm.columns import as_id, in_small_batches, worker_value
 from tallyloom.llm.shingles import in_groups
 
 SCHEMA = "doc_id long, n_bytes long, n_tokens long, over_limit boolean"
@@ -37,4 +37,4 @@ def count_tokens(docs: DataFrame, vocabulary_path: str, limit: int = 512, id_col
                 names=["doc_id", "n_bytes", "n_tokens", "over_limit"],
             )
 
-    return docs.select(as_id(docs, id_col), docs[text_col].alias("text")).mapInArrow(run, SCHEMA)
+    return in_small_batches(docs).select(as_id(docs, id_col), docs[text_col].alias("text")).mapInArrow(run, SCHEMA)

@@ -12,7 +12,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
 from tallyloom.llm.bpe import IdEncoder, read_vocabulary
-from tallyloom.llm.columns import as_id, worker_value
+from tallyloom.llm.columns import as_id, in_small_batches, worker_value
 from tallyloom.llm.shingles import in_groups
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
@@ -182,4 +182,4 @@ def pack(docs: DataFrame, vocabulary_path: str, capacity: int = 1024, end_id: in
         packer.finish()
         yield packer.drain()
 
-    return docs.select(as_id(docs, id_col), docs[text_col].alias("text")).mapInArrow(run, SCHEMA)
+    return in_small_batches(docs).select(as_id(docs, id_col), docs[text_col].alias("text")).mapInArrow(run, SCHEMA)

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from tallyloom.llm.bpe import PATTERN, read_vocabulary
-from tallyloom.llm.columns import BLANKS, as_id, worker_value
+from tallyloom.llm.columns import BLANKS, as_id, in_small_batches, worker_value
 from tallyloom.llm.shingles import in_groups
 
 #: Fixed value: the characters that count as symbols.
@@ -181,7 +181,7 @@ def judge_documents(docs: DataFrame, many_path: str, pieces_path: str, id_col: s
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, types, strict=True)], names=NAMES)
 
     lang = docs[lang_col].cast("string") if lang_col and lang_col in docs.columns else F.lit(None).cast("string")
-    return docs.select(as_id(docs, id_col), docs[text_col].alias("text"), lang.alias("lang")).mapInArrow(run, SCHEMA)
+    return in_small_batches(docs).select(as_id(docs, id_col), docs[text_col].alias("text"), lang.alias("lang")).mapInArrow(run, SCHEMA)
 
 
 def keep_good(docs: DataFrame, many_path: str, pieces_path: str, text_col: str = "text", lang_col: str | None = "lang") -> DataFrame:
@@ -200,4 +200,4 @@ def keep_good(docs: DataFrame, many_path: str, pieces_path: str, text_col: str =
             langs = [None] * len(texts) if lang_at is None else b.column(lang_at).to_pylist()
             yield b.filter(pa.array([f.judge(t, g)[6] for t, g in zip(texts, langs, strict=True)], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return in_small_batches(docs).mapInArrow(run, docs.schema)

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyloom.llm.bits import bitmap_of, bitmap_table, maybe_in, with_hits
-from tallyloom.llm.columns import BLANKS, as_id, fresh, worker_value
+from tallyloom.llm.columns import BLANKS, as_id, fresh, in_small_batches, worker_value
 from tallyloom.llm.shingles import in_groups
 from tallyloom.shared import cut
 
@@ -104,7 +104,7 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     marked kept each if their id is the one that stays (keep_first takes one of them). Empty table: no rows. Other
     columns are ignored.
     """
-    spark = docs.sparkSession
+    spark = in_small_batches(docs).sparkSession
     base = docs.select(as_id(docs, id_col), docs[text_col].alias("text"))
     make = lambda: worker_value(("Polynomials", prime, bases), lambda: Polynomials(prime, bases))
     residues = [f"r{k}" for k in range(len(bases))]

@@ -15,7 +15,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyloom.llm.columns import as_id
+from tallyloom.llm.columns import as_id, in_small_batches
 from tallyloom.llm.shingles import GROUP, in_groups
 from tallyloom.shared import cut
 
@@ -299,7 +299,7 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     repeated rows: each row has its own result. Empty table: no rows. Other columns are ignored.
     """
     host = F.coalesce(F.lower(F.regexp_extract(pages[url_col], r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1)), F.lit(""))
-    base = pages.select(as_id(pages, id_col, "page_id"), pages[url_col].cast("string").alias("url"), host.alias("host"), F.coalesce(pages[html_col], F.lit("")).alias("html"))
+    base = in_small_batches(pages).select(as_id(pages, id_col, "page_id"), pages[url_col].cast("string").alias("url"), host.alias("host"), F.coalesce(pages[html_col], F.lit("")).alias("html"))
 
     def digest_of(source: str) -> int:
         return xxhash.xxh64_intdigest(source.encode("utf-8", "replace")) - (1 << 63)

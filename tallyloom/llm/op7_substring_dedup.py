@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyloom.llm.bits import bitmap_of, maybe_in
-from tallyloom.llm.columns import as_id, forget_values
+from tallyloom.llm.columns import as_id, forget_values, in_small_batches
 from tallyloom.llm.shingles import Words, in_groups, minimisers
 from tallyloom.shared import cut
 
@@ -112,7 +112,7 @@ def repeated_passages(docs: DataFrame, window: int = 20, id_col: str = "doc_id",
     strings of GROUP documents are one row (the later ones are marked at once and dealt by document), so a passage that
     a third of all rows share reaches its bucket once a group. A bucket is read as a sorted stream and sorted CHUNK strings at a time.
     """
-    spark = docs.sparkSession
+    spark = in_small_batches(docs).sparkSession
     base = docs.select(F.coalesce(as_id(docs, id_col), F.lit(_NO_ID).cast("long")).alias("doc_id"), docs[text_col].alias("text"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -198,7 +198,8 @@ def remove_repeats(docs: DataFrame, window: int = 20, id_col: str = "doc_id", te
 
     Only documents whose id may be among those with removed words (a bitmap of fixed size tells) are shuffled.
 
-    Nulls: a null text has no words; a null id is one document, before all others. Empty or short text: no window,
+    Nulls: a null text has no words; a null id is one document, before all others (held as -2^63, so a row with that id
+    comes back with null). Empty or short text: no window,
     nothing removed. Very long text: whole. Ties: equal windows at the same place of rows with one id (repeated rows)
     are one window, so such rows are treated alike; rows of one id are one document. Empty table: no rows. Other
     columns, whatever their names, are ignored.

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyloom.llm.bits import bitmap_of, maybe_in
-from tallyloom.llm.columns import as_id, forget_values
+from tallyloom.llm.columns import as_id, forget_values, in_small_batches
 from tallyloom.llm.op4_exact_dedup import one_each
 from tallyloom.llm.shingles import GROUP, Words, in_groups, lowered, mix
 from tallyloom.operators.components import components
@@ -197,7 +197,7 @@ def near_groups(docs: DataFrame, threshold_percent: int = 80, width: int = 5, id
     linked with nothing. Very long text: whole set. Ties: smallest id. Repeated rows: rows of one id are one vertex if
     their texts agree. Empty table: no rows. Other columns, whatever their names, are ignored.
     """
-    spark = docs.sparkSession
+    spark = in_small_batches(docs).sparkSession
     ident = F.coalesce(as_id(docs, id_col), F.lit(_NO_ID).cast("long"))
     base = docs.select(ident.alias("doc_id"), docs[text_col].alias("text"))
     least = threshold_percent / 100

@@ -9,7 +9,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
 
-from tallyloom.llm.columns import BLANKS
+from tallyloom.llm.columns import BLANKS, give_back
 
 _MIX = (np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53))
 _ODD = tuple(np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3))
@@ -44,6 +44,7 @@ def in_groups(batches: Iterator[pa.RecordBatch], text: int | str = 1, rows: int
             to = min(at + rows, max(at + 1, int(np.searchsorted(size, before + size_in_bytes))))
             yield b.slice(at, to - at)
             at = to
+    give_back()
 
 
 class Words:
