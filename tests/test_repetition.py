@@ -62,7 +62,7 @@ def test_harness_openings_after_white_space(spark):
 
 
 #: Queries whose result reads tables in the shared folder only; recomputed clusters would read the documents again.
-ONCE = ["clu3_conversations", "srt4_citations", "srt8_flow_order", "srt9_flow_instances"]
+ONCE = ["clu3_conversations", "srt4_citations", "srt8_flow_order", "srt9_flow_instances", "agg33_flows"]
 
 
 @pytest.mark.parametrize("name", ONCE)
