@@ -70,3 +70,52 @@ def test_documents_are_read_once(spark, name):
     from __spark_entry__ import queries
 
     assert not [f for f in queries()[name](spark, SF).inputFiles() if "documents.parquet" in f]
+
+
+def test_words_of_plain_and_other_texts_are_alike(spark):
+    from pyspark.sql import functions as F
+
+    from tallyloom.functions.text import words
+
+    texts = ["", " ", "One two-THREE_4", "a\x00b\x7fc\td", "Ünï 4½ x²", "İstanbul Kelvin", "ß ẞ ﬁ", "...", "日本 語a", "I'ḿ ok", None]
+    plain = F.filter(F.split(F.lower("text"), r"[^\p{IsAlphabetic}\p{N}]+"), lambda w: w != "")
+    found = spark.createDataFrame([(t,) for t in texts], "text string").select("text", words(F.col("text")).alias("new"), plain.alias("old")).collect()
+    assert len(found) == len(texts) and [r.new for r in found] == [r.old for r in found] and [r.new for r in found if r.text == "One two-THREE_4"] == [["one", "two", "three", "4"]]
+
+
+def test_messages_are_split_once(spark):
+    from pyspark.sql import functions as F
+
+    from tallyloom.operators import repetition
+
+    m = repetition.clusterable(spark.createDataFrame([("a b c d e f g h",), ("a b",), (None,)], "text string"))
+    assert "split(" not in m._jdf.queryExecution().optimizedPlan().toString().split("Filter (size(words")[0] and "Filter (size(words" in m._jdf.queryExecution().optimizedPlan().toString()
+    assert [r.words for r in m.select(F.size("words").alias("words")).collect()] == [8]
+
+
+@pytest.mark.parametrize("name", ["srt9_flow_instances", "agg33_flows"])
+def test_texts_that_no_result_needs_are_not_stored(spark, monkeypatch, name):
+    from __spark_entry__ import queries
+    from tallyloom.operators import repetition
+
+    stored, plain = [], repetition.stored
+    monkeypatch.setattr(repetition, "stored", lambda m: stored.append(m.columns) or plain(m))
+    queries()[name](spark, SF)
+    assert len(stored) == 1 and "text" not in stored[0]
+
+
+def test_light_phrases_are_found_in_two_messages_or_more_and_not_in_too_many(spark):
+    from collections import Counter
+
+    from tallyloom.operators import repetition
+
+    rnd = random.Random(5)
+    sets = {k: sorted(rnd.sample(range(40), 6) + rnd.sample(range(100, 900), 3)) for k in range(80)} | {200: [-1, 5], 201: [-1, 5], 202: [-(1 << 63), (1 << 63) - 1], 203: [-(1 << 63)], 204: []}
+    rows = [("all", k, s, len(s), hash(tuple(s)) & 0xFFFFFFFF, 7) for k, s in sets.items()]
+    m = spark.createDataFrame(rows, "pool string, id long, hashes array<long>, n_phrases int, one long, two long")
+    often = Counter(p for s in sets.values() for p in s)
+    reps = {tuple(s): k for k, s in reversed(sets.items())}
+    want = {k: (sum(tuple(x) == s for x in sets.values()), len(s), light) for s, k in reps.items() if (light := [p for _, p in sorted((often[p], p) for p in s if 2 <= often[p] <= 12)])}
+    member, light = repetition.wordings(m, 12)
+    assert {r.wording: (r.copies, r.n_phrases, r.light) for r in light.collect()} == want and max(often.values()) > 12
+    assert {r.id: r.wording for r in member.collect()} == {k: reps[tuple(s)] for k, s in sets.items()}
