@@ -619,3 +619,16 @@ def test_archive_keeps_pages_of_any_url(spark, tmp_path):
     assert op10_arc.write_arc(pages, arc) == len(rows)
     with pytest.raises(ValueError, match=f"{len(rows)} captures were read of {len(rows) + 1}"):
         op10_arc.convert(spark, arc, str(tmp_path / "warc"), pages=len(rows) + 1)
+
+
+def test_shared_tables_have_no_checksum_files(spark, docs):
+    """For each of them, and for closing the file that it belongs to, Hadoop would start a process of the executor's size."""
+    from pathlib import Path
+
+    from tallyloom.shared import shared_dir
+
+    folder = Path(shared_dir(spark).removeprefix("file:"), "tallyloom")
+    before = set(folder.glob("*"))
+    op4_exact_dedup.exact_groups(docs)
+    made = [f.name for d in set(folder.glob("*")) - before for f in d.iterdir()]
+    assert any(f.endswith(".parquet") for f in made) and not [f for f in made if f.endswith(".crc")]
