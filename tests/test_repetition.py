@@ -119,3 +119,13 @@ def test_light_phrases_are_found_in_two_messages_or_more_and_not_in_too_many(spa
     member, light = repetition.wordings(m, 12)
     assert {r.wording: (r.copies, r.n_phrases, r.light) for r in light.collect()} == want and max(often.values()) > 12
     assert {r.id: r.wording for r in member.collect()} == {k: reps[tuple(s)] for k, s in sets.items()}
+
+
+def test_long_chains_end_in_few_rounds(spark):
+    from tallyloom.operators.components import components
+
+    names = list(range(600))
+    random.Random(4).shuffle(names)
+    chains = [names[:500], names[500:598], names[598:]]
+    edges = spark.createDataFrame([(a, b) for c in chains for a, b in zip(c, c[1:])], "a long, b long")
+    assert {r.vertex: r.component for r in components(edges, 8).collect()} == {v: min(c) for c in chains for v in c}
